@@ -57,7 +57,7 @@ _REPLACEMENT = _MARK + _SEP + _SEP.join("".join(f"${{{g}}}" for g in groups) for
 
 
 def _lookup(values: dict[str, int], key: Column) -> Column:
-    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))])[key]
+    return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in values.items()) + ")")[key]
 
 
 def _fence(value: Column) -> Column:
@@ -78,9 +78,10 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return shifted * 365 + _div(shifted, 4) - _div(shifted, 100) + _div(shifted, 400) + _div((m + 9) % 12 * 153 + 2, 5) + d - 1 - 719468 - 146097
 
 
-def known_zone(zone: Column) -> Column:
-    """``zone`` if it is a region of the time zone database, else null (a wrong name must not end the job)."""
-    return F.when(zone.isin(sorted(zoneinfo.available_timezones())), zone)
+def known_zone(column: str) -> Column:
+    """The column if it is a region of the time zone database, else null (a wrong name must not end the job)."""
+    names = ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
+    return F.expr(f"CASE WHEN `{column}` IN ({names}) THEN `{column}` END")
 
 
 def with_instant(df: DataFrame, text: str, out: str, zone: Column | None = None, day_order: Column | None = None) -> DataFrame:
@@ -147,8 +148,8 @@ def with_instant(df: DataFrame, text: str, out: str, zone: Column | None = None,
     df = df.withColumn(v + "4", _fence(F.array(one(local), one(east), one(_lookup(ZONE_MINUTES, c("zn"))))))
     local, east, named = (F.col(v + "4")[k] for k in range(3))
     fixed = F.when(c("zn").isNull(), east).when(c("zo").isNull(), named).otherwise(east + named)
-    region = known_zone(F.coalesce(c("rg"), zone))
-    in_region = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), region))
+    df = df.withColumn(v + "5", F.coalesce(c("rg"), zone))
+    in_region = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), known_zone(v + "5")))
     epoch = F.when(c("ep_len") <= 10, c("ep") * 1000000).when(c("ep_len") == 13, c("ep") * 1000).when(c("ep_len") == 16, c("ep")).otherwise(_div(c("ep"), 1000))
     value = F.when(c("ep").isNotNull(), epoch).when(c("zo").isNotNull() | c("zn").isNotNull(), local - fixed.cast("long") * 60000000).otherwise(in_region)
-    return df.withColumn(out, _fence(value.cast("long"))).drop(*[v + x for x in ("d", "c", "z", "1", "2", "3", "4")])
+    return df.withColumn(out, _fence(value.cast("long"))).drop(*[v + x for x in ("d", "c", "z", "1", "2", "3", "4", "5")])
