@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from urbanloom.llm.addresses import places, same_place_pairs
+from urbanloom.llm.leaks import leaks, without_leaks
 from urbanloom.llm.tokenizer import encode
 from urbanloom.session import table
 
@@ -24,5 +25,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_places": p2_places, "p8_ids": p8_ids}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation text, and these texts."""
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents that hold no passage of an evaluation text."""
+    return without_leaks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", p9_found(spark, sf_dir))
+
+
+QUERIES = {"p2_found": p2_found, "p2_places": p2_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean}
 SQL: dict[str, str] = {}
