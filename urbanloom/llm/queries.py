@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from urbanloom.llm.addresses import places, same_place_pairs
 from urbanloom.llm.leaks import leaks, without_leaks
+from urbanloom.llm.quality import classify, text_statistics
 from urbanloom.llm.tokenizer import encode
 from urbanloom.session import table
 
@@ -35,5 +37,15 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_leaks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", p9_found(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_places": p2_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean}
+def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document that isn't blank."""
+    return text_statistics(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't prose, and what they are."""
+    return classify(table(spark, sf_dir, "documents"), "doc_id", "text").filter(F.col("kind") != "prose").select("doc_id", "kind").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_places": p2_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_stats": p10_stats}
 SQL: dict[str, str] = {}
