@@ -165,13 +165,18 @@ def cycles(edges: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     alone = loops[0]
     for x in loops[1:]:
         alone = alone.unionAll(x)
-    groups = groups.unionAll(alone.distinct().select("node", F.col("node").alias("cycle"))).groupBy("node").agg(F.min("cycle").alias("cycle"))
+    own = alone.distinct().select("node", F.col("node").alias("cycle"), F.lit(True).alias("alone"))
+    one = lambda df: df.groupBy("node").agg(F.min_by(F.struct("cycle", "alone"), F.struct("alone", "cycle")).alias("g")).select("node", "g.cycle", "g.alone")
+    groups = one(groups.select("node", "cycle", F.lit(False).alias("alone")).unionAll(own))
     for taken in reversed(spliced):
+        # a node that was spliced out between two nodes is in their group if they are in one
         groups = cut(groups)
-        ends = taken.join(groups.select(F.col("node").alias("u"), F.col("cycle").alias("cu")), "u").join(groups.select(F.col("node").alias("w"), F.col("cycle").alias("cw")), "w")
-        groups = groups.unionAll(ends.filter("cu = cw").select(F.col("v").alias("node"), F.col("cu").alias("cycle")))
+        end = lambda name: groups.select(F.col("node").alias(name), F.col("cycle").alias(f"c{name}"), F.col("alone").alias(f"a{name}"))  # noqa: E731, B023
+        inner = taken.join(end("u"), "u").join(end("w"), "w").filter("cu = cw").select(F.col("v").alias("node"), F.col("cu").alias("cycle"), (F.col("au") & F.col("aw")).alias("alone"))
+        groups = one(groups.unionAll(inner))
     if not spliced:
-        return groups
+        return groups.select("node", "cycle")
+    groups = cut(groups)
     least = groups.groupBy("cycle").agg(F.min("node").alias("least"))
     return groups.join(least, "cycle").select("node", F.col("least").alias("cycle"))
 
@@ -207,10 +212,10 @@ def subtree_sizes(forest: DataFrame, kernel_nodes: int = KERNEL_LINKS) -> DataFr
         turn += 1
         inner = alive.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.min("node").alias("only"))
         state = cut(alive.join(inner, "node", "left"))
-        leaves = cut(state.filter(F.col("kids").isNull() & F.col("parent").isNotNull()).select("node", "parent", "acc", "extra"))
+        leaves = cut(state.filter(F.col("kids").isNull()).select("node", "parent", "acc", "extra"))
         gone.append(("leaf", leaves.select("node", F.col("acc").alias("size"))))
-        given = leaves.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("acc") + F.col("extra")).alias("given"))
-        alive = state.filter(F.col("kids").isNotNull() | F.col("parent").isNull()).join(given, "node", "left").select("node", "parent", (F.col("acc") + F.coalesce("given", F.lit(0))).alias("acc"), "extra")
+        given = leaves.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("acc") + F.col("extra")).alias("given"))
+        alive = state.filter(F.col("kids").isNotNull()).join(given, "node", "left").select("node", "parent", (F.col("acc") + F.coalesce("given", F.lit(0))).alias("acc"), "extra")
         alive = cut(alive)
         # splice out nodes with one child and a parent, an independent set of them
         kids = alive.filter(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("kids"), F.min("node").alias("only")).filter("kids = 1")
