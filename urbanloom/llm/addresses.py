@@ -33,6 +33,9 @@ KINDS_FIRST = {
 #: Kinds of street that German joins to the word before.
 SUFFIXES = ["strasse", "platz", "allee", "gasse", "weg", "ring", "damm", "ufer", "str", "pl", "wg"]
 
+#: Letters from which a name is matched by its ends, with one edit at most.
+LONG_NAME = 120
+
 _LAST = {form: kind for kind, forms in KINDS_LAST.items() for form in forms}
 _FIRST = {form: kind for kind, forms in KINDS_FIRST.items() for form in forms}
 _NUMBER = r"(?:n[ro°º]?\.?\s*°?\s*)?(?P<n>\d{1,5})\s*[-/]?\s*(?P<u>[a-z])?"
@@ -53,18 +56,22 @@ def osa(a: str, b: str, most: int = 2) -> int:
     """Edit distance with swaps of neighbours; ``most + 1`` if it is larger than ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    older, old = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, new[j - 1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
+    far = most + 1
+    older, old = {}, {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):  # only the band of cells that can stay within ``most``
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                new[0] = i
+                continue
+            d = min(old.get(j, far) + 1, new.get(j - 1, far) + 1, old.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, older.get(j - 2, far) + 1)
+            new[j] = d
+        if min(new.values(), default=far) > most:
+            return far
         older, old = old, new
-    return min(old[-1], most + 1)
+    return min(old.get(len(b), far), far)
 
 
 def word_cost(a: list[str], b: list[str], most: int = 2) -> int:
@@ -186,10 +193,11 @@ def read_addresses(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def _variants(name: str, block: list[str], df: DataFrame) -> DataFrame:
-    """Forms of ``name`` with no or one letter deleted, by block."""
+    """Forms of ``name`` with no or one letter deleted, by block; of a name of more than LONG_NAME letters its first and its last 32, of which one edit leaves one."""
     size = F.length(name)
     forms = F.array_distinct(F.concat(F.array(F.col(name)), F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col(name), F.lit(1), i - 1), F.substring(F.col(name), i + 1, size)))))
-    return df.select(*block, name, F.explode(forms).alias("form"))
+    ends = F.array(F.substring(name, 1, 32), F.right(F.col(name), F.lit(32)))
+    return df.select(*block, name, F.explode(F.when(size > F.lit(LONG_NAME), ends).otherwise(forms)).alias("form"))
 
 
 def _decide(most: int):
@@ -197,7 +205,7 @@ def _decide(most: int):
         for batch in batches:
             a, b = batch.column("name").to_pylist(), batch.column("other").to_pylist()
             cost = [word_cost(x.split(" "), y.split(" "), most) for x, y in zip(a, b, strict=True)]
-            keep = [c <= (most if min(len(x), len(y)) >= 8 else 1) for c, x, y in zip(cost, a, b, strict=True)]
+            keep = [c <= (most if 8 <= min(len(x), len(y)) <= LONG_NAME else 1) for c, x, y in zip(cost, a, b, strict=True)]
             out = batch.set_column(batch.schema.get_field_index("cost"), "cost", pa.array(cost, pa.int32())).filter(pa.array(keep, pa.bool_()))
             if out.num_rows:
                 yield out
@@ -209,7 +217,7 @@ def same_names(names: DataFrame, block: list[str], ratio: int = 1, most: int = 2
     """(block..., name, hub): the name that each of the distinct ``names`` (block..., name, n) is a variant of.
 
     Names are matched inside a block if they share a form with one letter deleted and their words can be assigned with at
-    most ``most`` edits (one for short names). Of two matching names the rarer one, by n and then by the alphabet, is the
+    most ``most`` edits (one for names of fewer than 8 or more than LONG_NAME letters). Of two matching names the rarer one, by n and then by the alphabet, is the
     variant, and of the nearest matches the commonest is its hub; ``ratio``: how many times commoner the other must be, unless the rarer one occurs at most twice.
     """
     names = cut(names)
