@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 POINTS = "array<struct<x:double,y:double,z:double>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), z.cast("double").alias("z"))
 
@@ -24,7 +31,10 @@ def parse_points(text: Column, dimension: Column | None = None, swap: Column | N
     dimension: 2 or 3; where null, 3 if the count divides by three, else 2. Points of dimension 2 get z 0. swap: latitude
     comes first. close: three points or more that don't end where they start are closed. An incomplete last point is dropped.
     """
-    n = numbers(text)
+    return let(numbers(text), lambda n: _grouped(n, dimension, swap, close))
+
+
+def _grouped(n: Column, dimension: Column | None, swap: Column | None, close: bool) -> Column:
     dim = F.when(F.size(n) % 3 == 0, 3).otherwise(2) if dimension is None else F.coalesce(dimension, F.when(F.size(n) % 3 == 0, 3).otherwise(2))
     count = F.floor(F.size(n) / dim).cast("int")
     at = lambda i, k: F.get(n, (i * dim + k).cast("int"))
@@ -40,12 +50,12 @@ def parse_points(text: Column, dimension: Column | None = None, swap: Column | N
 
 def closed(points: Column) -> Column:
     """``points`` with the first again at the end, if there are three or more and they aren't closed."""
-    return F.when((F.size(points) >= 3) & (F.element_at(points, 1) != F.element_at(points, -1)), F.concat(points, F.array(F.element_at(points, 1)))).otherwise(points)
+    return let(points, lambda p: F.when((F.size(p) >= 3) & (F.try_element_at(p, F.lit(1)) != F.try_element_at(p, F.lit(-1))), F.concat(p, F.array(F.try_element_at(p, F.lit(1))))).otherwise(p))
 
 
 def is_closed(points: Column) -> Column:
     """Four points or more, the last equal to the first."""
-    return (F.size(points) >= 4) & (F.element_at(points, 1) == F.element_at(points, -1))
+    return let(points, lambda p: (F.size(p) >= 4) & (F.try_element_at(p, F.lit(1)) == F.try_element_at(p, F.lit(-1))))
 
 
 def shifted(points: Column, dx: Column, dy: Column, dz: Column) -> Column:
@@ -74,6 +84,10 @@ def matrix_product(a: Column, b: Column) -> Column:
 
 def newell(points: Column) -> Column:
     """Newell's normal of a ring (struct x, y, z), not of unit length; closed or not."""
+    return let(points, _newell)
+
+
+def _newell(points: Column) -> Column:
     n = F.size(points)
     zero = point(F.lit(0.0), F.lit(0.0), F.lit(0.0))
 
@@ -90,18 +104,23 @@ def _length(v: Column) -> Column:
 
 def area(points: Column) -> Column:
     """Area of a planar ring in space; 0 for fewer than three points."""
-    return _length(newell(points)) / 2
+    return let(newell(points), _length) / 2
 
 
 def unit_normal(points: Column) -> Column:
     """Unit normal of a ring; (0, 0, 1) for degenerate rings."""
-    v = newell(points)
-    d = _length(v)
-    return F.when(d < 1e-12, point(F.lit(0.0), F.lit(0.0), F.lit(1.0))).otherwise(point(v["x"] / d, v["y"] / d, v["z"] / d))
+    def unit(v: Column) -> Column:
+        return let(_length(v), lambda d: F.when(d < 1e-12, point(F.lit(0.0), F.lit(0.0), F.lit(1.0))).otherwise(point(v["x"] / d, v["y"] / d, v["z"] / d)))
+
+    return let(newell(points), unit)
 
 
 def signed_area(points: Column) -> Column:
     """Shoelace area in the xy plane, positive against the clock."""
+    return let(points, _signed_area)
+
+
+def _signed_area(points: Column) -> Column:
     n = F.size(points)
     part = lambda s, i: s + F.get(points, i)["x"] * F.get(points, (i + 1) % n)["y"] - F.get(points, (i + 1) % n)["x"] * F.get(points, i)["y"]
     return F.when(n >= 3, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), part) / 2).otherwise(F.lit(0.0))
@@ -109,6 +128,10 @@ def signed_area(points: Column) -> Column:
 
 def inside(x: Column, y: Column, points: Column) -> Column:
     """Even-odd test of (x, y) against a ring in the xy plane; a point on an edge may fall on either side."""
+    return let(points, lambda p: _inside(x, y, p))
+
+
+def _inside(x: Column, y: Column, points: Column) -> Column:
     n = F.size(points)
 
     def flip(s: Column, i: Column) -> Column:
@@ -121,16 +144,24 @@ def inside(x: Column, y: Column, points: Column) -> Column:
 
 def degenerate(points: Column, least_area: float = 1e-6) -> Column:
     """Why a ring is degenerate: 'few points', 'repeated point', 'no area', or null if it isn't."""
-    again = F.exists(F.sequence(F.lit(0), F.size(points) - 2), lambda i: F.get(points, i) == F.get(points, i + 1))
-    return F.when(F.size(points) < 4, "few points").when(again, "repeated point").when(area(points) < least_area, "no area")
+
+    def why(p: Column) -> Column:
+        again = F.exists(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.get(p, i) == F.get(p, i + 1))
+        return F.when(F.size(p) < 4, "few points").when(again, "repeated point").when(area(p) < least_area, "no area")
+
+    return let(points, why)
 
 
 def box(points: Column) -> Column:
     """Extent (min_x, min_y, min_z, max_x, max_y, max_z) of points; null for none."""
-    low = lambda k: F.array_min(F.transform(points, lambda p: p[k]))
-    high = lambda k: F.array_max(F.transform(points, lambda p: p[k]))
-    parts = [f(k).alias(f"{n}_{k}") for n, f in (("min", low), ("max", high)) for k in ("x", "y", "z")]
-    return F.when(F.size(points) > 0, F.struct(*parts))
+
+    def sides(points: Column) -> Column:
+        low = lambda k: F.array_min(F.transform(points, lambda p: p[k]))
+        high = lambda k: F.array_max(F.transform(points, lambda p: p[k]))
+        parts = [f(k).alias(f"{n}_{k}") for n, f in (("min", low), ("max", high)) for k in ("x", "y", "z")]
+        return F.when(F.size(points) > 0, F.struct(*parts))
+
+    return let(points, sides)
 
 
 def diagonal_ring(b: Column) -> Column:
