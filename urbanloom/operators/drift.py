@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from urbanloom.session import cut
+from urbanloom.session import cut, small
 
 #: Members of a file whose values a sketch keeps, about; a file with fewer members is kept whole.
 SKETCH_MEMBERS = 512
@@ -107,7 +107,7 @@ def field_changes(members: DataFrame, files: DataFrame, file_id: str = "file_id"
     # sampling by the hash of gml_id is coordinated: two files keep the same members
     share = F.least(F.lit(1.0), F.lit(float(SKETCH_MEMBERS)) / F.col("n_members"))
     kept = F.pmod(F.xxhash64("gml_id"), F.lit(1 << 20)) < share * (1 << 20)
-    counted = fields.filter(F.col("field").isNotNull()).join(sizes, "file_id")
+    counted = fields.filter(F.col("field").isNotNull()).join(small(cut(sizes)), "file_id")
     per_kind = counted.groupBy("file_id", "field", "kind").agg(F.count("*").alias("n"), F.collect_set(F.when(kept & F.col("text").isNotNull(), F.struct(F.xxhash64("gml_id").alias("m"), F.xxhash64("text").alias("t")))).alias("sketch"))
     profile = cut(
         per_kind.groupBy("file_id", "field").agg(
@@ -126,6 +126,8 @@ def field_changes(members: DataFrame, files: DataFrame, file_id: str = "file_id"
     pairs = cut(gone.join(new, "file_id").filter((shared < SKETCH_LEAST) | (agreeing >= SKETCH_AGREEMENT * shared)).select("file_id", "prev_id", "old_field", "new_field", "old_kind", "new_kind"))
     # the exact check: values of the candidates' fields on all members that both files hold
     values = fields.filter(F.col("text").isNotNull() & F.col("gml_id").isNotNull()).groupBy("file_id", "gml_id", "field").agg(F.min_by("text", F.struct("pos", "text")).alias("text"))
+    # a file may hold a third of all members: its values don't move for the join if the candidates fit a broadcast
+    pairs = small(pairs)
     old = pairs.join(values.select(F.col("file_id").alias("prev_id"), F.col("field").alias("old_field"), "gml_id", F.col("text").alias("old_text")), ["prev_id", "old_field"])
     seen = old.join(values.select("file_id", F.col("field").alias("new_field"), "gml_id", F.col("text").alias("new_text")), ["file_id", "new_field", "gml_id"])
     checked = seen.groupBy("file_id", "old_field", "new_field").agg(F.count("*").alias("n"), F.count_if(F.col("old_text") == F.col("new_text")).alias("agree"))

@@ -22,9 +22,9 @@ def dangling(refs: DataFrame, href: str, targets: DataFrame, target_id: str) ->
 
 
 def referrers(refs: DataFrame, source: str, target: str) -> DataFrame:
-    """(target, n_sources, sources): what refers to each target, smallest first."""
+    """(target, n_sources, first_source): how many different sources refer to each target, and the smallest of them."""
     pairs = refs.select(F.col(source).alias("s"), F.col(target).alias("t")).dropna().distinct()
-    return pairs.groupBy(F.col("t").alias(target)).agg(F.count("*").alias("n_sources"), F.array_sort(F.collect_list("s")).alias("sources"))
+    return pairs.groupBy(F.col("t").alias(target)).agg(F.count("*").alias("n_sources"), F.min("s").alias("first_source"))
 
 
 def reached(links: DataFrame, start: DataFrame) -> DataFrame:

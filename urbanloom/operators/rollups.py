@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from urbanloom.session import cut, partitions
+
 CORNERS = ["min_x", "min_y", "min_z", "max_x", "max_y", "max_z"]
 
 
@@ -43,6 +45,21 @@ def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.min_by(every, F.struct(*order)).alias("__row")).select("__row.*")
 
 
+def numbered(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """``df`` with the place of each row among those of its key, from 1 on, by ``order`` (unique within a key).
+
+    Ranges of (key, order) spread a hot key over tasks: each range numbers its own rows, and a small table of the ranges'
+    counts gives what comes before.
+    """
+    parts = cut(df.repartitionByRange(partitions(df.sparkSession), key, order).withColumn("__part", F.spark_partition_id()))
+    counts = parts.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(key).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(key).alias("__key"), F.col("__part").alias("__of"), before.alias("__before"))
+    local = parts.withColumn("__k", F.row_number().over(W.partitionBy(key, "__part").orderBy(order)))
+    placed = local.join(starts, local[key].eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
+    return placed.withColumn(out, (F.col("__before") + F.col("__k")).cast("long")).drop("__part", "__n", "__key", "__of", "__before", "__k")
+
+
 def duplicates(df: DataFrame, key: str, shown: str) -> DataFrame:
     """Keys that occur more than once, how often, and the distinct values of ``shown`` in order."""
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(shown).cast("string"))), ",").alias("shown")).filter("n > 1")

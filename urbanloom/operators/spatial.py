@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.functions.geometry import box_gap
@@ -66,14 +67,17 @@ def nearest(queries: DataFrame, boxes: DataFrame, key: str, box: str, k: int = 3
             .filter((F.col("query") != F.col("neighbour")) & (F.col("c.cx") == home(F.col("qb.min_x"), F.col("b.min_x"))) & (F.col("c.cy") == home(F.col("qb.min_y"), F.col("b.min_y"))))
             .withColumn("gap", box_gap(F.col("qb"), F.col("b"))).filter(F.col("gap") <= reach)
         )
-        best = near.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("gap", "neighbour"))), 1, k).alias("best"), F.count("*").alias("n"))
+        # a rank up to k is cut off before the shuffle, however many extents crowd around a query
+        rank = F.row_number().over(W.partitionBy("query").orderBy("gap", "neighbour"))
+        top = cut(near.select("query", "neighbour", "gap", rank.alias("rank")).filter(F.col("rank") <= k))
         last = reach > 4 * span
-        full = cut(best.filter(F.lit(True) if last else (F.col("n") >= min(k, max(0, total - 1)))))
+        enough = top.groupBy("query").agg(F.count("*").alias("n")).filter(F.lit(True) if last else (F.col("n") >= min(k, max(0, total - 1))))
+        full = cut(top.join(enough.select("query"), "query", "left_semi"))
         done = full if done is None else done.unionAll(full)
         if last:
             break
-        asked = cut(asked.join(full.select("query"), "query", "left_anti"))
+        asked = cut(asked.join(full.select("query").distinct(), "query", "left_anti"))
         reach *= 2
     if done is None:
-        done = asked.select("query", F.expr("cast(array() as array<struct<gap:double,neighbour:bigint>>)").alias("best"))
-    return done.select("query", F.posexplode("best").alias("pos", "x")).select("query", F.col("x.neighbour").alias("neighbour"), F.col("x.gap").alias("gap"), (F.col("pos") + 1).alias("rank"))
+        done = asked.select("query", F.col("query").alias("neighbour"), F.lit(0.0).alias("gap"), F.lit(0).alias("rank"))
+    return done

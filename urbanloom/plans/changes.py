@@ -8,15 +8,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions.instants import with_instant
 from urbanloom.operators.change_feed import apply_changes, resolve_key
 from urbanloom.operators.references import orphans
-from urbanloom.session import table
-
-#: Rows up to which the table of feeds (or of delivered files) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for a broadcast if it has at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+from urbanloom.session import small, table
 
 
 def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ def _(t):
 
 @query("referrers", "SELECT val_feature_id, count(DISTINCT feature_id) AS n_sources, min(feature_id) AS first_source FROM property WHERE val_feature_id IS NOT NULL AND feature_id IS NOT NULL GROUP BY val_feature_id")
 def _(t):
-    return relations.referrers(t("property"), "feature_id", "val_feature_id").select("val_feature_id", "n_sources", F.col("sources")[0].alias("first_source"))
+    return relations.referrers(t("property"), "feature_id", "val_feature_id")
 
 
 @query("relation_edges", "SELECT name, val_relation_type, count(*) AS n FROM (SELECT DISTINCT feature_id, val_feature_id, name, val_relation_type FROM property WHERE val_feature_id IS NOT NULL) GROUP BY ALL")
@@ -448,11 +448,8 @@ def _(t):
 
 @query("unique_ids", "SELECT id, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS gml_id FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM (SELECT id, regexp_replace(val_string, '[^A-Za-z0-9_.-]', '_', 'g') AS base FROM property WHERE name = 'name' AND val_string <> ''))")
 def _(t):
-    from pyspark.sql import Window as W
-
     named = t("property").filter("name = 'name' and val_string <> ''").select("id", F.regexp_replace("val_string", "[^A-Za-z0-9_.-]", "_").alias("base"))
-    k = F.row_number().over(W.partitionBy("base").orderBy("id"))
-    return named.withColumn("k", k).select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string"))).alias("gml_id"))
+    return rollups.numbered(named, "base", "id", "k").select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string"))).alias("gml_id"))
 
 
 @query("typed_values", "SELECT id, val_int BETWEEN 0 AND 4 AS as_lod_ok, CASE WHEN val_int BETWEEN 0 AND 4 THEN val_int END AS lod, CASE WHEN val_int IN (0, 1) THEN val_int = 1 END AS truth, least(1.0, greatest(0.0, val_int / 10.0)) AS part FROM property WHERE val_int IS NOT NULL")
