@@ -49,6 +49,39 @@ def test_same_places(spark):
     assert addresses.same_place_pairs(df.limit(0)).count() == 0
 
 
+def test_names_accepted_are_candidates():
+    rnd = random.Random(3)
+    for _ in range(3000):
+        a = [["ravenbrook", "alte", "muehlen", "pre", "lindengrund"][rnd.randrange(5)] for _ in range(rnd.randrange(1, 4))]
+        b = a[:]
+        rnd.shuffle(b)
+        for _ in range(rnd.randrange(4)):
+            k = rnd.randrange(len(b))
+            at = rnd.randrange(len(b[k]))
+            b[k] = b[k][:at] + rnd.choice(["", "x", b[k][at : at + 2][::-1], b[k][at] + "e"]) + b[k][at + rnd.randrange(1, 3) :] or "x"
+        for most in (1, 2):
+            if addresses.word_cost(a, b, most) <= most:
+                assert addresses.name_forms(" ".join(a), most) & addresses.name_forms(" ".join(b), most), (a, b)
+    long = ["x" * 70 + "yz", "w" * 70]
+    assert addresses.end_forms(" ".join(long)) & addresses.end_forms(" ".join([long[1], "x" * 70 + "zy"]))
+
+
+def test_places_two_letters_apart(spark):
+    table = [
+        (1, "Ravenbrook Street", "31", None, "Vruxtuquell"), (2, "Raoenbrook St", "31", None, "Vruxtuquell"), (3, "Laternengrund Platz", "8", None, "Vruxtuquell"), (4, "Laernengrund Platz", "8", None, "Vruxtuquell"),
+        (5, "Neue Muehlen Gasse", "4", None, "Vruxtuquell"), (6, "Muehlen Neue Gasse", "4", None, "Vruxtuquell"), (7, "Ravenbrook Street", "31", None, "Vruxtuqnell"), (8, "Raxenxrooxk Street", "31", None, "Vruxtuquell"),
+        (9, "Müllerweg", "2", None, "Vruxtuquell"), (10, "Mxellerweg", "2", None, "Vruxtuquell"),
+    ]
+    df = spark.createDataFrame(table, "id long, street string, house_number string, zip_code string, city string")
+    assert rows(addresses.same_place_pairs(df)) == [(1, 2), (1, 7), (2, 7), (3, 4), (5, 6), (9, 10)]
+
+
+def test_streets_joined_by_a_misspelling_stay_apart(spark):
+    names = [("b", "muhlenhorst", 3, []), ("b", "umlenhorst", 3, []), ("b", "ulmenhorst", 12, []), ("b", "mhlenhorst", 1, [])]
+    df = spark.createDataFrame(names, "b string, name string, n long, spelt array<string>")
+    assert rows(addresses.same_names(df, ["b"])) == [("b", "mhlenhorst", "muhlenhorst"), ("b", "muhlenhorst", "muhlenhorst"), ("b", "ulmenhorst", "ulmenhorst"), ("b", "umlenhorst", "ulmenhorst")]
+
+
 # tokens
 
 

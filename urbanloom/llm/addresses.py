@@ -1,9 +1,9 @@
 """Addresses of one place, written differently.
 
 Each row is read into components wherever they stand (street words, kind of street, house number, unit letter, postcode,
-locality). Localities and, inside a locality, street names are then matched as *distinct strings*: strings that share a form
-with at most one letter deleted are candidates, an optimal assignment of their words decides, and each string points to the
-commonest string that it is a variant of. Rows with the same locality, street, number and letter denote one place; a
+locality). Localities and, inside a locality, street names are then matched as *distinct strings*: strings whose words share
+forms with at most two letters deleted, in any order, are candidates, an optimal assignment of their words decides, and each
+string points to the commonest string that it is a variant of. Rows with the same locality, street, number and letter denote one place; a
 different number, letter, kind of street or count of words is a veto.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
+from itertools import combinations, permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +33,10 @@ KINDS_FIRST = {
 #: Kinds of street that German joins to the word before.
 SUFFIXES = ["strasse", "platz", "allee", "gasse", "weg", "ring", "damm", "ufer", "str", "pl", "wg"]
 
-#: Letters from which a name is matched by its ends, with one edit at most.
-LONG_NAME = 120
+#: Letters from which a name is matched by its ends, with one edit at most, and below which a name allows one edit.
+LONG_NAME, SHORT_NAME = 120, 8
+#: Words up to which a name's words are matched in any order, and forms of names that are handed over at once.
+ANY_ORDER, FORMS_AT_ONCE = 5, 50_000
 
 _LAST = {form: kind for kind, forms in KINDS_LAST.items() for form in forms}
 _FIRST = {form: kind for kind, forms in KINDS_FIRST.items() for form in forms}
@@ -46,10 +48,23 @@ _ZIP = re.compile(r"^\s*(?:[a-z]{1,2}[\s-]+)?(?P<z>\d[\d ]*)(?=\s|$)")
 _SPLIT = re.compile(r"\s*[,;]\s+|\s+[-–]\s+")
 
 
+def _flat(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+
+
+def _short(text: str) -> str:
+    return text.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+
+
 def fold(text: str) -> str:
     """Lower case without accents, with ``ae``, ``oe``, ``ue`` as the vowel alone and sharp s as ``ss``."""
-    flat = "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
-    return flat.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+    return _short(_flat(text))
+
+
+def spell(text: str) -> str:
+    """Lower case without accents, with umlauts written out as ``ae``, ``oe``, ``ue`` and sharp s as ``ss``."""
+    composed = unicodedata.normalize("NFC", text.casefold())
+    return _flat(composed.replace("ä", "ae").replace("ö", "oe").replace("ü", "ue"))
 
 
 def osa(a: str, b: str, most: int = 2) -> int:
@@ -78,7 +93,7 @@ def word_cost(a: list[str], b: list[str], most: int = 2) -> int:
     """Least sum of edits over all assignments of the words of ``a`` to those of ``b``; ``most + 1`` if their counts differ."""
     if len(a) != len(b):
         return most + 1
-    if len(a) > 5:  # long names: words in order
+    if len(a) > ANY_ORDER:  # long names: words in order
         return min(most + 1, sum(osa(x, y, most) for x, y in zip(a, b, strict=True)))
     return min(most + 1, min(sum(osa(x, y, most) for x, y in zip(a, p, strict=True)) for p in permutations(b)))
 
@@ -132,9 +147,9 @@ def _number(text: str | None) -> tuple[str, str] | None:
     return (str(int(m["n"])), m["u"] or "") if m else None
 
 
-def read_address(street: str | None, house_number: str | None, zip_code: str | None, city: str | None):
+def read_address(street: str | None, house_number: str | None, zip_code: str | None, city: str | None, form=fold):
     """(words, kind, number, letter, postcode, locality) or None if no house number is seen. Fields may be in each other's place."""
-    street, house_number, zip_code, city = (fold(x).strip() if x and x.strip() else "" for x in (street, house_number, zip_code, city))
+    street, house_number, zip_code, city = (form(x).strip() if x and x.strip() else "" for x in (street, house_number, zip_code, city))
     code_a, town_a = _place(zip_code) if zip_code else ("", "")
     code_b, town_b = _place(city) if city else ("", "")
     code, town = code_a or code_b, town_b or town_a
@@ -172,7 +187,18 @@ def read_address(street: str | None, house_number: str | None, zip_code: str | N
     return words, kind, *number, code, town
 
 
-_READ = "id long, words array<string>, kind string, number string, letter string, code string, town string"
+def spellings(fields: list[str | None], found: tuple) -> tuple[str | None, str | None]:
+    """Street name and locality of an address that was read, with ``ae``, ``oe``, ``ue`` written out; null if that changes nothing."""
+    if not any(x and fold(x) != spell(x) for x in fields):
+        return None, None
+    other = read_address(*fields, spell)
+    if other is None:
+        return None, None
+    pairs = (" ".join(found[0]), " ".join(other[0])), (found[-1], other[-1])
+    return tuple(y if x != y and _short(y) == x else None for x, y in pairs)
+
+
+_READ = "id long, words array<string>, kind string, number string, letter string, code string, town string, spelt string, spelt_town string"
 
 
 def read_addresses(df: DataFrame, key: str = "id") -> DataFrame:
@@ -184,28 +210,89 @@ def read_addresses(df: DataFrame, key: str = "id") -> DataFrame:
             for row_id, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = read_address(*fields)
                 if found and row_id is not None:
-                    out.append((row_id, *found))
+                    out.append((row_id, *found, *spellings(fields, found)))
             if out:
-                kinds = [pa.int64(), pa.list_(pa.string()), *[pa.string()] * 5]
+                kinds = [pa.int64(), pa.list_(pa.string()), *[pa.string()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
 
     return df.select(F.col(key).cast("long").alias("id"), "street", "house_number", "zip_code", "city").mapInArrow(run, _READ)
 
 
-def _variants(name: str, block: list[str], df: DataFrame) -> DataFrame:
-    """Forms of ``name`` with no or one letter deleted, by block; of a name of more than LONG_NAME letters its first and its last 32, of which one edit leaves one."""
-    size = F.length(name)
-    forms = F.array_distinct(F.concat(F.array(F.col(name)), F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col(name), F.lit(1), i - 1), F.substring(F.col(name), i + 1, size)))))
-    ends = F.array(F.substring(name, 1, 32), F.right(F.col(name), F.lit(32)))
-    return df.select(*block, name, F.explode(F.when(size > F.lit(LONG_NAME), ends).otherwise(forms)).alias("form"))
+def _deleted(word: str, most: int) -> list[set[str]]:
+    """Forms of ``word`` with 0, 1, ... ``most`` letters deleted."""
+    forms = [{word}]
+    for _ in range(most):
+        forms.append({x[:i] + x[i + 1 :] for x in forms[-1] for i in range(len(x))})
+    return forms
+
+
+def name_forms(name: str, most: int) -> set[str]:
+    """Forms of ``name`` with at most ``most`` (1 or 2) letters deleted, its words in the order of the alphabet.
+
+    An edit costs each of two words one deleted letter at most: names whose words can be assigned with ``most`` edits share
+    a form, whatever the order of their words.
+    """
+    words = name.split(" ")
+    cut_words = [_deleted(w, most) for w in words]
+    bag = lambda changed: " ".join(sorted([*(w for k, w in enumerate(words) if k not in changed), *changed.values()]))
+    out = {bag({})} | {bag({k: x}) for k, forms in enumerate(cut_words) for some in forms[1:] for x in some}
+    if most > 1:
+        out |= {bag({k: x, m: y}) for k, m in combinations(range(len(words)), 2) for x in cut_words[k][1] for y in cut_words[m][1]}
+    return out
+
+
+def end_forms(name: str) -> set[str]:
+    """Forms of a name of more than LONG_NAME letters, of which one edit leaves one: its ends, and of few words all but one."""
+    words = sorted(name.split(" "))
+    few = {" ".join(words[:k] + words[k + 1 :]) for k in range(len(words))} if 1 < len(words) <= ANY_ORDER else set()
+    return {name[:32], name[-32:]} | few
+
+
+def _all_forms(name: str, spelt: list[str], most: int) -> set[str]:
+    out = end_forms(name) if len(name) > LONG_NAME else set()
+    if len(name) <= LONG_NAME + most:  # what a name of LONG_NAME letters may still become
+        depth = most if len(name) >= SHORT_NAME else 1
+        out = out.union(*(name_forms(x, depth) for x in {name, *spelt}))
+    return out
+
+
+def _variants(names: DataFrame, block: list[str], most: int) -> DataFrame:
+    """(block..., name, n, form): the forms, hashed, that each name shares with all names that ``_decide`` accepts for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, forms = [], []
+
+            def close(batch=batch) -> pa.RecordBatch:
+                kept = batch.drop_columns(["spelt"]).take(pa.array(of, pa.int64()))
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(forms, pa.string())], names=[*kept.schema.names, "form"])
+
+            for k, (name, spelt) in enumerate(zip(batch.column("name").to_pylist(), batch.column("spelt").to_pylist(), strict=True)):
+                own = _all_forms(name, spelt, most)
+                of += [k] * len(own)
+                forms += own
+                if len(of) >= FORMS_AT_ONCE:
+                    yield close()
+                    of.clear()
+                    forms.clear()
+            if of:
+                yield close()
+
+    schema = ", ".join(f"`{c}` string" for c in [*block, "name"]) + ", n long, form string"
+    return names.select(*block, "name", "n", "spelt").mapInArrow(run, schema).withColumn("form", F.xxhash64("form"))
+
+
+def name_cost(a: str, b: str, spelt_a: list[str], spelt_b: list[str], most: int) -> int:
+    """Least ``word_cost`` over the spellings of two names."""
+    return min(word_cost(x.split(" "), y.split(" "), most) for x in {a, *spelt_a} for y in {b, *spelt_b})
 
 
 def _decide(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("name").to_pylist(), batch.column("other").to_pylist()
-            cost = [word_cost(x.split(" "), y.split(" "), most) for x, y in zip(a, b, strict=True)]
-            keep = [c <= (most if 8 <= min(len(x), len(y)) <= LONG_NAME else 1) for c, x, y in zip(cost, a, b, strict=True)]
+            a, b, sa, sb = (batch.column(c).to_pylist() for c in ("name", "other", "spelt", "other_spelt"))
+            cost = [name_cost(*x, most) for x in zip(a, b, sa, sb, strict=True)]
+            keep = [c <= (most if SHORT_NAME <= min(len(x), len(y)) <= LONG_NAME else 1) for c, x, y in zip(cost, a, b, strict=True)]
             out = batch.set_column(batch.schema.get_field_index("cost"), "cost", pa.array(cost, pa.int32())).filter(pa.array(keep, pa.bool_()))
             if out.num_rows:
                 yield out
@@ -214,19 +301,27 @@ def _decide(most: int):
 
 
 def same_names(names: DataFrame, block: list[str], ratio: int = 1, most: int = 2) -> DataFrame:
-    """(block..., name, hub): the name that each of the distinct ``names`` (block..., name, n) is a variant of.
+    """(block..., name, hub): the name that each of the distinct ``names`` (block..., name, n, spelt) is a variant of.
 
-    Names are matched inside a block if they share a form with one letter deleted and their words can be assigned with at
-    most ``most`` edits (one for names of fewer than 8 or more than LONG_NAME letters). Of two matching names the rarer one, by n and then by the alphabet, is the
+    ``spelt``: other spellings of the name. Names are matched inside a block if their words, in any order, or those of
+    their spellings, can be assigned with at most ``most`` edits (one for names of fewer than SHORT_NAME or more than LONG_NAME letters). Of two matching names the rarer one, by n and then by the alphabet, is the
     variant, and of the nearest matches the commonest is its hub; ``ratio``: how many times commoner the other must be, unless the rarer one occurs at most twice.
+    A name that occurs more often than that doesn't follow its hub to a name that it doesn't match itself.
     """
     names = cut(names)
-    forms = _variants("name", block, names)
-    pairs = forms.join(forms.select(*block, F.col("name").alias("other"), "form"), [*block, "form"]).filter("name <> other").select(*block, "name", "other").distinct()
-    counted = pairs.join(names, [*block, "name"]).join(names.select(*block, F.col("name").alias("other"), F.col("n").alias("m")), [*block, "other"])
-    up = counted.filter((F.struct("m", "other") > F.struct("n", "name")) & ((F.col("n") <= 2) | (F.col("m") >= ratio * F.col("n"))))
-    judged = up.select(*block, "name", "other", "m", F.lit(0).alias("cost"))
-    chosen = judged.mapInArrow(_decide(most), judged.schema).groupBy(*block, "name").agg(F.max_by("other", F.struct(-F.col("cost"), "m", "other")).alias("hub"))
+    forms = _variants(names, block, most)
+    others = forms.select(*block, F.col("name").alias("other"), F.col("n").alias("m"), "form")
+    commoner = (F.struct("m", "other") > F.struct("n", "name")) & ((F.col("n") <= 2) | (F.col("m") >= ratio * F.col("n")))
+    pairs = forms.join(others, [*block, "form"]).filter(commoner).select(*block, "name", "other", "n", "m").distinct()
+    spelt = names.filter(F.size("spelt") > 0)
+    for name, column in (("name", "spelt"), ("other", "other_spelt")):
+        pairs = pairs.join(spelt.select(*block, F.col("name").alias(name), F.col("spelt").alias(column)), [*block, name], "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    judged = pairs.select(*block, "name", "other", "n", "m", "spelt", "other_spelt", F.lit(0).alias("cost"))
+    accepted = cut(judged.mapInArrow(_decide(most), judged.schema))
+    nearest = cut(accepted.groupBy(*block, "name").agg(F.max_by("other", F.struct(-F.col("cost"), "m", "other")).alias("hub"), F.max("n").alias("n")))
+    further = nearest.filter("n > 2").join(nearest.select(*block, F.col("name").alias("hub"), F.col("hub").alias("other")), [*block, "hub"])
+    alone = further.join(accepted.select(*block, "name", "other"), [*block, "name", "other"], "left_anti").select(*block, "name")
+    chosen = nearest.drop("n").join(alone, [*block, "name"], "left_anti")
     hubs = cut(names.join(chosen, [*block, "name"], "left").select(*block, "name", F.coalesce("hub", "name").alias("hub")))
     while True:  # pointer doubling; every step leads to a commoner name
         step = hubs.join(hubs.select(*block, F.col("name").alias("hub"), F.col("hub").alias("top")), [*block, "hub"]).select(*block, "name", F.col("top").alias("hub"), (F.col("top") != F.col("hub")).alias("moved"))
@@ -243,14 +338,14 @@ def places(df: DataFrame, key: str = "id") -> DataFrame:
     postcode; a postcode that comes with no name stands for itself.
     """
     read = cut(read_addresses(df, key))
-    towns = read.filter("town <> ''").groupBy(F.col("town").alias("name")).agg(F.count("*").alias("n"))
+    towns = read.filter("town <> ''").groupBy(F.col("town").alias("name")).agg(F.count("*").alias("n"), F.collect_set("spelt_town").alias("spelt"))
     town_hubs = cut(same_names(towns, [], ratio=5).select(F.col("name").alias("town"), F.col("hub").alias("locality")))
     named = read.join(town_hubs, "town", "left")
     of_code = named.filter((F.col("code") != "") & F.col("locality").isNotNull()).groupBy("code", "locality").agg(F.count("*").alias("n")).groupBy("code").agg(F.max_by("locality", F.struct("n", "locality")).alias("of_code"))
     located = cut(
-        named.join(of_code, "code", "left").select("id", F.array_join("words", " ").alias("name"), "kind", "number", "letter", F.coalesce("locality", "of_code", F.concat(F.lit("#"), "code")).alias("locality"))
+        named.join(of_code, "code", "left").select("id", F.array_join("words", " ").alias("name"), "spelt", "kind", "number", "letter", F.coalesce("locality", "of_code", F.concat(F.lit("#"), "code")).alias("locality"))
     )
-    streets = located.groupBy("locality", "kind", "name").agg(F.count("*").alias("n"))
+    streets = located.groupBy("locality", "kind", "name").agg(F.count("*").alias("n"), F.collect_set("spelt").alias("spelt"))
     hubs = same_names(streets, ["locality", "kind"])
     return located.join(hubs, ["locality", "kind", "name"]).select("id", F.concat_ws("|", "locality", "kind", "hub", "number", "letter").alias("place"))
 
