@@ -82,6 +82,17 @@ def test_streets_joined_by_a_misspelling_stay_apart(spark):
     assert rows(addresses.same_names(df, ["b"])) == [("b", "mhlenhorst", "muhlenhorst"), ("b", "muhlenhorst", "muhlenhorst"), ("b", "ulmenhorst", "ulmenhorst"), ("b", "umlenhorst", "ulmenhorst")]
 
 
+def test_postcodes_of_misspelt_and_contradicting_towns(spark):
+    town = [(i, f"Alderbrook {'Lane' if i % 2 else 'Ln'}", str(i), "37068", "Vruxtuquell") for i in range(10, 14)]
+    other = [(i, "Ulmengrundweg", str(i), "00005", "Brenzarancy") for i in range(20, 24)]
+    table = town + other + [
+        (1, "Alderbrook Lane", "5", "37068", "Vruxtuquell"), (2, "Alderbrook Ln", "05", "37068", "Vxxxtuqnwll"), (3, "Alderbrook Ln", "5", "37068", "Brenzarancy"), (4, "Ulmengrundweg", "5", "00005", "Brenzarancy"),
+        (5, "Ulmengrundweg", "5", "37068", "Brenzarancy"), (6, "Alderbrook Lane", "5", None, "Vxxxtuqnwll"), (7, "Alderbrook Lane", "5", None, "Klardaudorp"),
+    ]
+    df = spark.createDataFrame(table, "id long, street string, house_number string, zip_code string, city string")
+    assert rows(addresses.same_place_pairs(df)) == [(1, 2), (1, 3), (1, 6), (2, 3), (2, 6), (3, 6), (4, 5)]
+
+
 # tokens
 
 

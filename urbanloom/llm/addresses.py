@@ -330,24 +330,48 @@ def same_names(names: DataFrame, block: list[str], ratio: int = 1, most: int = 2
             return hubs.drop("moved")
 
 
+def _homes(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(code, of_code): the commonest locality of each postcode; (locality, home): the locality that most rows of each speak for.
+
+    A row speaks for its postcode's locality, or for its own if it has no postcode, which yields in a tie: a city is its own home, while a town
+    misspelt beyond recognition has the city of its postcodes as home.
+    """
+    size = named.filter(F.col("locality").isNotNull()).groupBy("locality").agg(F.count("*").alias("size"))
+    coded = named.filter((F.col("code") != "") & F.col("locality").isNotNull()).groupBy("code", "locality").agg(F.count("*").alias("n")).join(size, "locality")
+    of_code = cut(coded.groupBy("code").agg(F.max_by("locality", F.struct("n", "size", "locality")).alias("of_code")))
+    votes = named.filter(F.col("locality").isNotNull()).join(of_code, "code", "left").groupBy("locality", F.coalesce("of_code", "locality").alias("home")).agg(F.count("*").alias("n"))
+    homes = votes.groupBy("locality").agg(F.max_by("home", F.struct("n", F.col("home") != F.col("locality"), "home")).alias("home"))
+    return of_code, cut(homes)
+
+
 def places(df: DataFrame, key: str = "id") -> DataFrame:
     """(id, place) of each row that denotes a place: place is a text that rows of one place share.
 
     Rows without house number, street, or any locality denote none. Null, empty and blank fields count as missing; an
-    address that is repeated word for word is the same place. A row's locality is its name, else the commonest name of its
-    postcode; a postcode that comes with no name stands for itself.
+    address that is repeated word for word is the same place. A row's locality is its name if that is a city, that is if
+    most of its rows bear it out by their postcodes, else the commonest name of its postcode; a postcode that comes with no
+    name stands for itself. Where a city contradicts the postcode, the postcode's counts if only that has the street.
     """
     read = cut(read_addresses(df, key))
     towns = read.filter("town <> ''").groupBy(F.col("town").alias("name")).agg(F.count("*").alias("n"), F.collect_set("spelt_town").alias("spelt"))
     town_hubs = cut(same_names(towns, [], ratio=5).select(F.col("name").alias("town"), F.col("hub").alias("locality")))
-    named = read.join(town_hubs, "town", "left")
-    of_code = named.filter((F.col("code") != "") & F.col("locality").isNotNull()).groupBy("code", "locality").agg(F.count("*").alias("n")).groupBy("code").agg(F.max_by("locality", F.struct("n", "locality")).alias("of_code"))
-    located = cut(
-        named.join(of_code, "code", "left").select("id", F.array_join("words", " ").alias("name"), "spelt", "kind", "number", "letter", F.coalesce("locality", "of_code", F.concat(F.lit("#"), "code")).alias("locality"))
-    )
-    streets = located.groupBy("locality", "kind", "name").agg(F.count("*").alias("n"), F.collect_set("spelt").alias("spelt"))
+    named = cut(read.join(town_hubs, "town", "left"))
+    of_code, homes = _homes(named)
+    home_of_code = of_code.join(homes.withColumnRenamed("locality", "of_code"), "of_code", "left").select("code", F.coalesce("home", "of_code").alias("of_code"))
+    known = named.join(home_of_code, "code", "left").join(homes, "locality", "left")
+    # a town that isn't a city of its own yields to the postcode; a city that contradicts its postcode is tried in both
+    first = F.when(F.col("home") == F.col("locality"), F.col("home")).otherwise(F.coalesce("of_code", "home", F.concat(F.lit("#"), "code")))
+    both = F.when(F.col("of_code") != first, F.array(first, "of_code")).otherwise(F.array(first))
+    located = cut(known.select("id", F.array_join("words", " ").alias("name"), "spelt", "kind", "number", "letter", both.alias("localities")))
+    tried = located.select("*", F.explode("localities").alias("locality"), (F.size("localities") == 1).alias("sure"))
+    streets = tried.groupBy("locality", "kind", "name").agg(F.count_if("sure").alias("n"), F.collect_set("spelt").alias("spelt"))
     hubs = same_names(streets, ["locality", "kind"])
-    return located.join(hubs, ["locality", "kind", "name"]).select("id", F.concat_ws("|", "locality", "kind", "hub", "number", "letter").alias("place"))
+    placed = tried.join(hubs, ["locality", "kind", "name"])
+    place = F.concat_ws("|", "locality", "kind", "hub", "number", "letter").alias("place")
+    there = placed.filter("sure").select("locality", "kind", "hub").distinct().withColumn("there", F.lit(True))
+    torn = placed.filter("not sure").join(there, ["locality", "kind", "hub"], "left").withColumn("order", F.struct(F.col("there").isNotNull(), F.col("locality") == F.col("localities")[0]))
+    chosen = torn.groupBy("id", "kind", "name", "number", "letter", "localities").agg(F.max_by(F.struct("locality", "hub"), "order").alias("best"))
+    return placed.filter("sure").select("id", place).unionAll(chosen.select("id", "kind", "number", "letter", "best.*").select("id", place))
 
 
 def same_place_pairs(df: DataFrame, key: str = "id") -> DataFrame:
