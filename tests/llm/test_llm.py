@@ -163,6 +163,20 @@ def test_planted_passages(spark):
     assert leaks.leaks(df.limit(0), "doc_id", "text", asked, "item_id", "text").count() == leaks.leaks(df, "doc_id", "text", asked.limit(0), "item_id", "text").count() == 0
 
 
+def found_in(items, text):
+    table = leaks.Items(items)
+    return {int(table.ids[i]) for _, i in leaks.search(table, [np.array([table.vocabulary.get(w, 0) for w in words(text)], np.uint16)])}
+
+
+def test_passages_that_many_items_share():
+    stem = " ".join(f"s{k}" for k in range(24))
+    items = [(i, stem + " " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(30)]
+    assert found_in(items, "before " + stem + " after") == set(range(30))
+    assert found_in([(i, items[0][1]) for i in range(30)], items[0][1]) == set(range(30))
+    line = " ".join(f"s{k}" for k in range(6))
+    assert found_in([(i, items[i][1][len(stem) :] + " " + line) for i in range(30)], line + " " + line) == set()
+
+
 # quality
 
 

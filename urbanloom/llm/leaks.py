@@ -18,7 +18,7 @@ from urbanloom.llm.words import words
 
 #: Words of a seed, of a case at least, and about how many words there are to one edit.
 SEED, LEAST, EDIT_EVERY = 4, 20, 8
-#: Seeds that more evaluation texts share than this (or than 3 %) are phrases of the genre, not seeds.
+#: Seeds that more evaluation texts share than this (or than 3 %) are phrases of the genre, not seeds, if no run of LEAST // 2 words around them is shared.
 COMMON, COMMON_SHARE = 8, 0.03
 #: Words of a shard, about, and characters of evaluation texts that are searched for at once.
 SHARD_WORDS, BLOCK_CHARS = 1_000_000, 400_000
@@ -48,14 +48,36 @@ class Items:
         at = np.flatnonzero(whole(self.flat))
         order = np.argsort(keys[at], kind="stable")
         at, keys = at[order], keys[at][order]
-        # seeds that many items share say nothing
+        # seeds that many items share say nothing, unless they are part of a run of LEAST // 2 words that two of them share
         pairs = np.unique(np.stack([keys, self.owner[at].astype(np.uint64)]), axis=1) if len(at) else np.empty((2, 0), np.uint64)
         names, shared = np.unique(pairs[0], return_counts=True)
         rare = names[shared <= max(COMMON, COMMON_SHARE * len(split))]
-        keep = np.isin(keys, rare)
+        keep = np.isin(keys, rare) | _shared_passages(self.flat, self.owner)[at]
         self.seed_at, self.seed_key = at[keep], keys[keep]
 
 
+def _shared_passages(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places from which a seed stands inside a passage of LEAST words that several texts hold, word for word in one half at least.
+
+    An edit leaves a whole half of the run, so halves of LEAST // 2 words decide; a seed belongs to a half that holds all of it.
+    """
+    n, size = len(flat), LEAST // 2
+    long = np.concatenate([flat.astype(np.int64), np.zeros(size, np.int64)])
+    name = long[:n]
+    known = name != 0
+    for k in range(1, size):  # windows of k + 1 words get the same number if they are equal
+        name = np.unique(name * 65_536 + long[k : k + n], return_inverse=True)[1]
+        known = known & (long[k : k + n] != 0)
+    out = np.zeros(n, bool)
+    at = np.flatnonzero(known)
+    pairs = np.unique(np.stack([name[at], owner[at]]), axis=1)
+    names, texts = np.unique(pairs[0], return_counts=True)
+    many = at[np.isin(name[at], names[texts > 1])]
+    for k in range(size - SEED + 1):
+        out[many + k] = True
+    return out
+
+
 def pack(flat: np.ndarray) -> np.ndarray:
     """Four word numbers from each place on as one number."""
     long = np.concatenate([flat.astype(np.uint64), np.zeros(SEED, np.uint64)])
