@@ -177,6 +177,19 @@ def test_passages_that_many_items_share():
     assert found_in([(i, items[i][1][len(stem) :] + " " + line) for i in range(30)], line + " " + line) == set()
 
 
+def test_edits_among_the_first_and_last_words():
+    item = [f"w{k}" for k in range(60)]
+    for size in range(20, 24):
+        for k in range(1, 5):
+            for new in ([], ["x"], ["x", f"w{20 + k}"]):
+                part = item[20 : 20 + size]
+                part[k : k + 1] = new
+                assert found_in([(1, " ".join(item))], " ".join(["y"] * 30 + part + ["z"] * 30)) == {1}, (size, k, new)
+    both = item[20:22] + ["x"] + item[23:37] + ["x"] + item[38:40]
+    assert found_in([(1, " ".join(item))], " ".join(both)) == {1}
+    assert found_in([(1, " ".join(item))], " ".join(item[20:38])) == set()
+
+
 # quality
 
 

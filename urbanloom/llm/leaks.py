@@ -114,30 +114,51 @@ def _grown(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int
     return length
 
 
+def _before(item: list[int], text: list[int], i: int, j: int) -> list[int]:
+    """Most words of ``item`` before place i that stand before place j of ``text``, for 0 to 3 edits; the first of them matches."""
+    out, ends = [], {(i, j)}
+    for _ in range(LEAST // (EDIT_EVERY - 2) + 1):
+        best, reached = 0, set()
+        for x, y in ends:
+            at = x
+            while x and y and item[x - 1] == text[y - 1] and item[x - 1]:
+                x, y = x - 1, y - 1
+            if x < at:
+                best = max(best, i - x)
+            reached.add((x, y))
+        out.append(best)
+        ends = {(x - a, y - b) for x, y in reached for a, b in ((1, 1), (1, 0), (0, 1)) if x >= a and y >= b}
+    return out
+
+
 def _aligned(item: list[int], text: list[int]) -> bool:
     """Whether a local alignment covers LEAST words of ``item`` with at most about one edit in EDIT_EVERY words.
 
-    A match gains 1, an edit costs 3: runs of words survive an edit every few words, scattered phrases don't.
+    A match gains 1, an edit costs 3: runs of words survive an edit every few words, scattered phrases don't. As an edit
+    among the first words restarts the score, what stands before the start of an alignment is added by its edits alone.
     """
     n = len(text)
-    score, first, edits = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    enough = lambda words, edits: words >= LEAST and edits * (EDIT_EVERY - 2) <= words
+    before: dict[tuple[int, int], list[int]] = {}
+    empty = (0, 0, 0, 0)  # score, words of item and of text before the start, edits
+    row = [empty] * (n + 1)
     for i, x in enumerate(item, 1):
-        left, left_first, left_edits = 0, i, 0
-        diag, diag_first, diag_edits = score[0], first[0], edits[0]
-        score[0], first[0], edits[0] = 0, i, 0
+        left, diag = empty, row[0]
         for j in range(1, n + 1):
-            up, up_first, up_edits = score[j], first[j], edits[j]
+            up = row[j]
             if x == text[j - 1] and x:
-                s, f, e = (diag + 1, diag_first, diag_edits) if diag > 0 else (1, i, 0)
-                if i - f + 1 >= LEAST and e * (EDIT_EVERY - 2) <= i - f + 1:
-                    return True
+                cell = (diag[0] + 1, *diag[1:]) if diag[0] > 0 else (1, i - 1, j - 1, 0)
+                _, first, start, edits = cell
+                if i - first >= LEAST // 2:
+                    if (first, start) not in before:
+                        before[first, start] = _before(item, text, first, start)
+                    if enough(i - first, edits) or any(enough(i - first + more, edits + e) for e, more in enumerate(before[first, start])):
+                        return True
             else:
-                s, f, e = max((diag - 3, -diag_first, -diag_edits - 1), (up - 3, -up_first, -up_edits - 1), (left - 3, -left_first, -left_edits - 1))
-                f, e = -f, -e
-                if s <= 0:
-                    s, f, e = 0, i + 1, 0
-            diag, diag_first, diag_edits = up, up_first, up_edits
-            score[j], first[j], edits[j] = left, left_first, left_edits = s, f, e
+                score, first, start, edits = max(diag, up, left, key=lambda c: (c[0], -c[1], -c[3]))
+                cell = (score - 3, first, start, edits + 1) if score > 3 else empty
+            diag, left = up, cell
+            row[j] = cell
     return False
 
 
