@@ -190,6 +190,12 @@ def test_edits_among_the_first_and_last_words():
     assert found_in([(1, " ".join(item))], " ".join(item[20:38])) == set()
 
 
+def test_dense_run_before_the_passage():
+    item = [f"w{k}" for k in range(60)]
+    decoy = item[40:58]
+    assert found_in([(1, " ".join(item))], " ".join([*decoy, *["y"] * 3, *item[30:52]])) == {1}
+
+
 # quality
 
 

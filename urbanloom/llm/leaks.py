@@ -212,12 +212,12 @@ def search(items: Items, docs: list[np.ndarray]) -> list[tuple[int, int]]:
     for (doc, item), seeds in found.items():
         text = docs[doc]
         asked = items.flat[items.start[item] : items.end[item]].tolist()
-        done: list[tuple[int, int]] = []
+        done: list[int] = []
         for y, x in sorted(seeds):
             lo_, hi_ = max(0, y - x - 10), y - x + len(asked) + 10
-            if any(abs(lo_ - d) < 3 for d, _ in done):
+            if any(abs(y - x - d) < 3 for d in done):
                 continue
-            done.append((lo_, hi_))
+            done.append(y - x)
             if _aligned(asked, text[lo_:hi_].tolist()):
                 out.append((doc, item))
                 break
