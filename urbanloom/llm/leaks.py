@@ -1,7 +1,7 @@
 """Evaluation texts in a training corpus.
 
-The corpus is cut into shards; each shard gets a suffix array over its words, ordered to eight words deep. Every suffix of
-every evaluation text is looked up in it by binary search, matches are grown to their longest verbatim run, and runs seed an
+The corpus is cut into shards; each shard gets a suffix array over its words, ordered to eight words deep. The first four
+words of every suffix of every evaluation text, common ones left out, are looked up in it by binary search, matches are grown to their longest verbatim run, and runs seed an
 alignment that allows a few words to be replaced, dropped or added.
 """
 
