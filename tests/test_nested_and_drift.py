@@ -87,3 +87,17 @@ def test_field_changes(spark):
 
 def test_name_similarity():
     assert name_similarity("core:creationDate", "creation_date") == 1.0 > name_similarity("height", "usage")
+
+
+def test_renames_in_large_files_are_judged_on_all_members(spark):
+    from pyspark.sql import functions as F
+
+    from urbanloom.operators import drift
+
+    part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) / (1 << 20)
+    ids = spark.range(2000).select("id", (part < 0.4).alias("differs")).collect()
+    body = lambda i, name, value: '{"m": {"gml_id": "%d", "%s": "%s"}}' % (i, name, value)  # noqa: E731, UP031
+    made = [(1, r["id"], body(r["id"], "a", f"v{r['id']}")) for r in ids] + [(2, r["id"], body(r["id"], "b", ("w" if r["differs"] else "v") + str(r["id"]))) for r in ids]
+    members = spark.createDataFrame(made, "file_id long, pos int, body string")
+    files = spark.createDataFrame([(1, "s", 1), (2, "s", 2)], "file_id long, series_code string, delivery_no int")
+    assert sorted(tuple(r) for r in drift.field_changes(members, files).collect()) == [(2, "renamed", "a", "b")]

@@ -1,8 +1,7 @@
 """Schemas that drift between the files of a series.
 
-Each file's fields are profiled (JSON types, value counts and a coordinated value sketch). Fields that went and fields that
-came between neighbouring files are scored on the sketches, by type and by name; candidate pairs are checked exactly on all
-members that both files hold, and a bipartite matching per pair of files decides the renames. Matched fields then share
+Each file's fields are profiled (JSON types). All pairs of a field that went and one that came between neighbouring files
+are checked exactly on all members that both files hold, and a bipartite matching per pair of files decides the renames. Matched fields then share
 one name.
 """
 
@@ -17,11 +16,6 @@ from pyspark.sql import functions as F
 
 from urbanloom.session import cut, small
 
-#: Members of a file whose values a sketch keeps, about; a file with fewer members is kept whole.
-SKETCH_MEMBERS = 512
-#: Share of sketched members that must agree for a pair to be checked exactly, and the least members to judge by.
-SKETCH_AGREEMENT, SKETCH_LEAST = 0.25, 16
-
 
 def member_fields(members: DataFrame, file_id: str, pos: str, body: str) -> DataFrame:
     """Fields of each readable member: file_id, gml_id, top, pos, field, kind, text.
@@ -103,27 +97,15 @@ def field_changes(members: DataFrame, files: DataFrame, file_id: str = "file_id"
     """
     fields = cut(member_fields(members, file_id, pos, body))
     chain = cut(_numbered(files))
-    sizes = fields.filter(F.col("field").isNotNull()).groupBy("file_id").agg(F.approx_count_distinct("gml_id").alias("n_members"))
-    # sampling by the hash of gml_id is coordinated: two files keep the same members
-    share = F.least(F.lit(1.0), F.lit(float(SKETCH_MEMBERS)) / F.col("n_members"))
-    kept = F.pmod(F.xxhash64("gml_id"), F.lit(1 << 20)) < share * (1 << 20)
-    counted = fields.filter(F.col("field").isNotNull()).join(small(cut(sizes)), "file_id")
-    per_kind = counted.groupBy("file_id", "field", "kind").agg(F.count("*").alias("n"), F.collect_set(F.when(kept & F.col("text").isNotNull(), F.struct(F.xxhash64("gml_id").alias("m"), F.xxhash64("text").alias("t")))).alias("sketch"))
-    profile = cut(
-        per_kind.groupBy("file_id", "field").agg(
-            F.min_by("kind", F.struct(F.col("kind").isNull(), -F.col("n"), F.col("kind"))).alias("kind"),
-            F.array_distinct(F.flatten(F.collect_list("sketch"))).alias("sketch"),
-        )
-    )
+    per_kind = fields.filter(F.col("field").isNotNull()).groupBy("file_id", "field", "kind").agg(F.count("*").alias("n"))
+    profile = cut(per_kind.groupBy("file_id", "field").agg(F.min_by("kind", F.struct(F.col("kind").isNull(), -F.col("n"), F.col("kind"))).alias("kind")))
     before = chain.filter(F.col("prev_id").isNotNull()).select("file_id", "prev_id")
-    now = before.join(profile, "file_id").select("file_id", "field", F.col("kind").alias("new_kind"), F.col("sketch").alias("new_sketch"), F.lit(True).alias("is_new"))
-    then = before.join(profile.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "prev_id", "field", F.col("kind").alias("old_kind"), F.col("sketch").alias("old_sketch"), F.lit(True).alias("is_old"))
+    now = before.join(profile, "file_id").select("file_id", "field", F.col("kind").alias("new_kind"), F.lit(True).alias("is_new"))
+    then = before.join(profile.withColumnRenamed("file_id", "prev_id"), "prev_id").select("file_id", "prev_id", "field", F.col("kind").alias("old_kind"), F.lit(True).alias("is_old"))
     both = cut(now.join(then, ["file_id", "field"], "full"))
-    gone = both.filter(F.col("is_new").isNull()).select("file_id", "prev_id", F.col("field").alias("old_field"), "old_kind", "old_sketch")
-    new = both.filter(F.col("is_old").isNull()).select("file_id", F.col("field").alias("new_field"), "new_kind", "new_sketch")
-    shared = F.size(F.array_intersect(F.transform("old_sketch", lambda s: s["m"]), F.transform("new_sketch", lambda s: s["m"])))
-    agreeing = F.size(F.array_intersect("old_sketch", "new_sketch"))
-    pairs = cut(gone.join(new, "file_id").filter((shared < SKETCH_LEAST) | (agreeing >= SKETCH_AGREEMENT * shared)).select("file_id", "prev_id", "old_field", "new_field", "old_kind", "new_kind"))
+    gone = both.filter(F.col("is_new").isNull()).select("file_id", "prev_id", F.col("field").alias("old_field"), "old_kind")
+    new = both.filter(F.col("is_old").isNull()).select("file_id", F.col("field").alias("new_field"), "new_kind")
+    pairs = cut(gone.join(new, "file_id").select("file_id", "prev_id", "old_field", "new_field", "old_kind", "new_kind"))
     # the exact check: values of the candidates' fields on all members that both files hold
     values = fields.filter(F.col("text").isNotNull() & F.col("gml_id").isNotNull()).groupBy("file_id", "gml_id", "field").agg(F.min_by("text", F.struct("pos", "text")).alias("text"))
     # a file may hold a third of all members: its values don't move for the join if the candidates fit a broadcast
