@@ -163,18 +163,46 @@ def test_planted_passages(spark):
     assert leaks.leaks(df.limit(0), "doc_id", "text", asked, "item_id", "text").count() == leaks.leaks(df, "doc_id", "text", asked.limit(0), "item_id", "text").count() == 0
 
 
-def found_in(items, text):
-    table = leaks.Items(items)
-    return {int(table.ids[i]) for _, i in leaks.search(table, [np.array([table.vocabulary.get(w, 0) for w in words(text)], np.uint16)])}
+def found_in(items, text, *others):
+    table = leaks.Items([(i, words(t)) for i, t in items])
+    shard = leaks.Shard()
+    for t in (text, *others):
+        shard.add(words(t))
+    return {int(table.ids[r[1]]) for r in shard.search(table) if r[0] == 0}
+
+
+@pytest.mark.parametrize("n", [9, 12, 40, 1020])
+def test_passages_that_many_items_share(n):
+    stem = " ".join(f"s{k}" for k in range(40))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(i % 7)) + " " + stem + " " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(n)]
+    other = [(10_000 + i, " ".join(f"o{i}w{k}" for k in range(30))) for i in range(n % 100)]
+    for asked in (items + other, other + items[::-1]):
+        assert found_in(asked, "before " + stem + " after") == set(range(n))
+    edited = stem.split()
+    edited[7:8], edited[16:17], edited[26:27] = [], ["x"], ["s26", "y"]
+    assert found_in(items, "before " + " ".join(edited) + " after", stem) == set(range(n))
+    assert found_in([(i, items[0][1]) for i in range(n)], items[0][1]) == set(range(n))
+    line = " ".join(f"s{k}" for k in range(6))
+    assert found_in([(i, items[i][1].replace(stem, "") + " " + line) for i in range(n)], line + " " + line) == set()
 
 
-def test_passages_that_many_items_share():
-    stem = " ".join(f"s{k}" for k in range(24))
-    items = [(i, stem + " " + " ".join(f"i{i}w{k}" for k in range(20))) for i in range(30)]
-    assert found_in(items, "before " + stem + " after") == set(range(30))
-    assert found_in([(i, items[0][1]) for i in range(30)], items[0][1]) == set(range(30))
-    line = " ".join(f"s{k}" for k in range(6))
-    assert found_in([(i, items[i][1][len(stem) :] + " " + line) for i in range(30)], line + " " + line) == set()
+def test_passages_do_not_depend_on_blocks(spark, monkeypatch):
+    stem = [f"s{k}" for k in range(40)]
+    items = [(i, " ".join([*stem, *(f"i{i}w{k}" for k in range(20))])) for i in range(30)] + [(99, " ".join([*(f"v{k}" for k in range(100_000)), *stem]))]
+    df = spark.createDataFrame([(1, " ".join(stem)), (2, " ".join(f"v{k}" for k in range(70_000, 70_030))), (3, "no")], "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    want = [(1, i) for i in range(30)] + [(1, 99), (2, 99)]
+    for block, piece in ((1_000_000, 200_000), (100, 200_000), (2_000, 1_000)):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", block)
+        monkeypatch.setattr(leaks, "PIECE_WORDS", piece)
+        assert rows(leaks.leaks(df, "doc_id", "text", asked, "item_id", "text")) == sorted(want, key=repr)
+
+
+def test_places_and_lengths_of_matches(spark):
+    item = [f"w{k}" for k in range(60)]
+    df = spark.createDataFrame([(1, " ".join(["y"] * 5 + item[10:40] + ["x"] + item[41:45])), (1, "y " + " ".join(item[10:33]))], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert rows(leaks.matches(df, "doc_id", "text", asked, "item_id", "text")) == [(1, 7, 5, 10, 30)]
 
 
 def test_edits_among_the_first_and_last_words():
@@ -196,6 +224,36 @@ def test_dense_run_before_the_passage():
     assert found_in([(1, " ".join(item))], " ".join([*decoy, *["y"] * 3, *item[30:52]])) == {1}
 
 
+def test_search_against_brute_force():
+    rnd = random.Random(11)
+    for _ in range(60):
+        items = [(i, [f"w{rnd.randrange(6)}" for _ in range(rnd.randrange(20, 45))]) for i in range(5)]
+        doc = [f"w{rnd.randrange(6)}" for _ in range(60)]
+        if rnd.random() < 0.7:
+            part = rnd.choice(items)[1][:rnd.randrange(20, 30)]
+            for _ in range(rnd.randrange(5)):
+                part[rnd.randrange(len(part))] = f"w{rnd.randrange(6)}"
+            doc[10:10] = part
+        want = set()
+        for i, item in items:
+            # best[j][e]: most item words of an alignment that ends with a match at (item word, text word j) with e edits, started by a match
+            best = {}
+            for x, word in enumerate(item):
+                for y, other in enumerate(doc):
+                    if word == other:
+                        cell = {0: 1}
+                        for (u, v), old in best.items():
+                            if u < x and v < y and (edits := max(x - u, y - v) - 1) <= 4:
+                                for e, n in old.items():
+                                    if e + edits <= 8:
+                                        cell[e + edits] = max(cell.get(e + edits, 0), n + x - u)
+                        best[x, y] = cell
+                        best = {p: c for p, c in best.items() if p[0] >= x - 5}
+                        if any(n >= 20 and 6 * e <= n for e, n in cell.items()):
+                            want.add(i)
+        assert found_in([(i, " ".join(t)) for i, t in items], " ".join(doc)) == want
+
+
 # quality
 
 

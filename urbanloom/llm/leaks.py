@@ -1,8 +1,10 @@
 """Evaluation texts in a training corpus.
 
-The corpus is cut into shards; each shard gets a suffix array over its words, ordered to eight words deep. The first four
-words of every suffix of every evaluation text, common ones left out, are looked up in it by binary search, matches are grown to their longest verbatim run, and runs seed an
-alignment that allows a few words to be replaced, dropped or added.
+The corpus is read once and cut into shards. Each shard gets a suffix array over the places from which four words stand
+that some evaluation text holds, in the order of LEAST words. Every suffix of every evaluation text is looked up in it by
+binary search: over its whole depth for verbatim passages, over its first four words for runs that edits have cut short,
+which are then grown over a few edits on either side. No run is too common to be looked up, and the result depends neither
+on the order nor on the number of evaluation texts.
 """
 
 from __future__ import annotations
@@ -18,89 +20,91 @@ from urbanloom.llm.words import words
 
 #: Words of a seed, of a case at least, and about how many words there are to one edit.
 SEED, LEAST, EDIT_EVERY = 4, 20, 8
-#: Seeds that more evaluation texts share than this (or than 3 %) are phrases of the genre, not seeds, if no run of LEAST // 2 words around them is shared.
-COMMON, COMMON_SHARE = 8, 0.03
-#: Words of a shard, about, and characters of evaluation texts that are searched for at once.
-SHARD_WORDS, BLOCK_CHARS = 1_000_000, 400_000
-_BAND = 3
+#: Edits on either side of a run over which it is grown, and words to one edit at least in what is accepted.
+SIDE_EDITS, ACCEPTED_EVERY = 4, EDIT_EVERY - 2
+#: Seeds that a passage keeps at least: n words with n / ACCEPTED_EVERY edits keep n - 4 * edits - 3, for n = 20 and 24 five.
+KEPT_SEEDS, WINDOW = 5, 28
+#: Words of a shard and of a block of evaluation texts, about; longer evaluation texts are searched for in overlapping pieces.
+SHARD_WORDS, BLOCK_WORDS, PIECE_WORDS, OVERLAP = 1_000_000, 1_000_000, 200_000, 100
+_GAP = 40
+_AT_ONCE = 400_000
+
+
+def _numbered(known: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places from 1 on of the pairs (a, b) among the sorted pairs ``known``, 0 for other pairs and where either is 0."""
+    out = np.zeros(len(a), np.int64)
+    at = np.flatnonzero((a > 0) & (b > 0))
+    if len(at) and len(known):
+        key = a[at] << 32 | b[at]
+        place = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        out[at] = np.where(known[place] == key, place + 1, 0)
+    return out
+
+
+def _shifted(x: np.ndarray, by: int) -> np.ndarray:
+    return np.concatenate([x[by:], np.zeros(min(by, len(x)), x.dtype)])
 
 
 class Items:
-    """Evaluation texts as word numbers, with their seeds sorted for binary search."""
+    """A block of evaluation texts as word numbers; ``grams`` numbers runs of four words in the order of the words."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int = SEED) -> None:
-        split = [(i, w) for i, w in ((i, words(t)) for i, t in rows) if len(w) >= LEAST]
+    def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
+        split = [(i, w) for i, w in rows if len(w) >= LEAST]
         self.ids = np.array([i for i, _ in split], np.int64)
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary
-        gap = [0] * (LEAST + 2 * _BAND)
-        flat: list[int] = list(gap)
-        self.start: list[int] = []
-        for _, w in split:
-            self.start.append(len(flat))
-            flat += [number.setdefault(x, len(number) + 1) for x in w] + gap
-        self.end = [s + len(w) for s, (_, w) in zip(self.start, split, strict=True)]
-        self.flat = np.array(flat, np.uint16 if len(number) < 65_535 else np.int64)
-        self.owner = np.zeros(len(flat), np.int64) - 1
-        for k, (s, e) in enumerate(zip(self.start, self.end, strict=True)):
-            self.owner[s:e] = k
-        keys = pack(self.flat)
-        at = np.flatnonzero(whole(self.flat))
-        order = np.argsort(keys[at], kind="stable")
-        at, keys = at[order], keys[at][order]
-        # seeds that many items share say nothing, unless they are part of a run of LEAST // 2 words that two of them share
-        pairs = np.unique(np.stack([keys, self.owner[at].astype(np.uint64)]), axis=1) if len(at) else np.empty((2, 0), np.uint64)
-        names, shared = np.unique(pairs[0], return_counts=True)
-        rare = names[shared <= max(COMMON, COMMON_SHARE * len(split))]
-        keep = np.isin(keys, rare) | _shared_passages(self.flat, self.owner)[at]
-        self.seed_at, self.seed_key = at[keep], keys[keep]
-
-
-def _shared_passages(flat: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Places from which a seed stands inside a passage of LEAST words that several texts hold, word for word in one half at least.
-
-    An edit leaves a whole half of the run, so halves of LEAST // 2 words decide; a seed belongs to a half that holds all of it.
-    """
-    n, size = len(flat), LEAST // 2
-    long = np.concatenate([flat.astype(np.int64), np.zeros(size, np.int64)])
-    name = long[:n]
-    known = name != 0
-    for k in range(1, size):  # windows of k + 1 words get the same number if they are equal
-        name = np.unique(name * 65_536 + long[k : k + n], return_inverse=True)[1]
-        known = known & (long[k : k + n] != 0)
-    out = np.zeros(n, bool)
-    at = np.flatnonzero(known)
-    pairs = np.unique(np.stack([name[at], owner[at]]), axis=1)
-    names, texts = np.unique(pairs[0], return_counts=True)
-    many = at[np.isin(name[at], names[texts > 1])]
-    for k in range(size - SEED + 1):
-        out[many + k] = True
+        flat: list[int] = [0] * _GAP
+        self.start = np.zeros(len(split), np.int64)
+        owner: list[np.ndarray] = [np.full(_GAP, -1)]
+        for k, (_, w) in enumerate(split):
+            self.start[k] = len(flat)
+            flat += [number.setdefault(x, len(number) + 1) for x in w] + [0] * _GAP
+            owner += [np.full(len(w), k), np.full(_GAP, -1)]
+        self.flat, self.owner = np.array(flat, np.int64), np.concatenate(owner)
+        a, b = self.flat, _shifted(self.flat, 1)
+        self.twos = np.unique((a << 32 | b)[(a > 0) & (b > 0)])
+        two = _numbered(self.twos, a, b)
+        a, b = two, _shifted(two, 2)
+        self.fours = np.unique((a << 32 | b)[(a > 0) & (b > 0)])
+        gram = self.grams(self.flat)
+        self.keys = suffix_keys(gram, np.arange(len(gram)))
+        self.at = np.flatnonzero(gram)
+        pairs = np.unique(gram[self.at] * (len(split) + 1) + self.owner[self.at])
+        self.texts = np.bincount(pairs // (len(split) + 1), minlength=len(self.fours) + 1)
+
+    def grams(self, flat: np.ndarray) -> np.ndarray:
+        """Number of the four words from each place on, 0 where no evaluation text has them."""
+        two = _numbered(self.twos, flat, _shifted(flat, 1))
+        return _numbered(self.fours, two, _shifted(two, 2))
+
+
+def suffix_keys(gram: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Sort keys of the suffixes at places ``at``: LEAST words as five numbers of four words, two to a key."""
+    parts = [np.where(at + SEED * k < len(gram), gram[np.minimum(at + SEED * k, len(gram) - 1)], 0) for k in range(LEAST // SEED)]
+    return [parts[0] << 32 | parts[1], parts[2] << 32 | parts[3], parts[4]]
+
+
+def suffix_array(gram: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places ``at`` in the order of the LEAST words that stand there, their keys)."""
+    keys = suffix_keys(gram, at)
+    order = np.lexsort(keys[::-1])
+    return at[order], [k[order] for k in keys]
+
+
+def _narrowed(keys: np.ndarray, want: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Binary search of all ``want`` at once: the part of the sorted ``keys`` [lo, hi) that equals each."""
+    out = []
+    for right in (False, True):
+        a, b = lo.copy(), hi.copy()
+        while (live := a < b).any():
+            mid = (a + b) // 2
+            key = keys[np.minimum(mid, len(keys) - 1)]
+            go = (key <= want) if right else (key < want)
+            a, b = np.where(live & go, mid + 1, a), np.where(live & ~go, mid, b)
+        out.append(a)
     return out
 
 
-def pack(flat: np.ndarray) -> np.ndarray:
-    """Four word numbers from each place on as one number."""
-    long = np.concatenate([flat.astype(np.uint64), np.zeros(SEED, np.uint64)])
-    n = len(flat)
-    return (long[:n] << 48) | (long[1 : n + 1] << 32) | (long[2 : n + 2] << 16) | long[3 : n + 3]
-
-
-def whole(flat: np.ndarray) -> np.ndarray:
-    """Places from which four known words stand."""
-    known = np.concatenate([flat != 0, np.zeros(SEED, bool)])
-    n = len(flat)
-    return known[:n] & known[1 : n + 1] & known[2 : n + 2] & known[3 : n + 3]
-
-
-def suffix_array(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, their first four words as numbers), ordered by the eight words from each place; places before unknown words are left out."""
-    keys = pack(flat)
-    at = np.flatnonzero(whole(flat))
-    behind = np.concatenate([keys, np.zeros(SEED, np.uint64)])[at + SEED]
-    order = np.lexsort((behind, keys[at]))
-    return at[order], keys[at][order]
-
-
 def _grown(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
     """How far the words of ``a`` and ``b`` agree from i and j on, in the direction of ``step``."""
     length = np.zeros(len(i), np.int64)
@@ -114,176 +118,227 @@ def _grown(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int
     return length
 
 
-def _before(item: list[int], text: list[int], i: int, j: int) -> list[int]:
-    """Most words of ``item`` before place i that stand before place j of ``text``, for 0 to 3 edits; the first of them matches."""
-    out, ends = [], {(i, j)}
-    for _ in range(LEAST // (EDIT_EVERY - 2) + 1):
-        best, reached = 0, set()
-        for x, y in ends:
-            at = x
-            while x and y and item[x - 1] == text[y - 1] and item[x - 1]:
-                x, y = x - 1, y - 1
-            if x < at:
-                best = max(best, i - x)
-            reached.add((x, y))
-        out.append(best)
-        ends = {(x - a, y - b) for x, y in reached for a, b in ((1, 1), (1, 0), (0, 1)) if x >= a and y >= b}
+def _reach(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
+    """[k]: most words of ``a`` from i on, in the direction of ``step``, that ``b`` has from j on, with k edits; the last one matches.
+
+    An edit replaces, drops or adds a word. For each number of edits the furthest place on each diagonal is enough to know.
+    """
+    best = np.zeros((SIDE_EDITS + 1, len(i)), np.int64)
+    none = np.full(len(i), -1)
+    ends = {0: np.zeros(len(i), np.int64)}
+    for k in range(1, SIDE_EDITS + 1):
+        new = {}
+        for d in range(-k, k + 1):
+            replaced, added, dropped = ends.get(d, none), ends.get(d - 1, none), ends.get(d + 1, none)
+            x = np.maximum(np.maximum(np.where(replaced >= 0, replaced + 1, -1), added), np.where(dropped >= 0, dropped + 1, -1))
+            x = np.where(x + d >= 0, x, -1)
+            at = np.flatnonzero(x >= 0)
+            more = _grown(a, i[at] + step * x[at], b, j[at] + step * (x[at] + d), step)
+            x[at] += more
+            np.maximum.at(best[k], at[more > 0], x[at[more > 0]])
+            new[d] = x
+        best[k] = np.maximum(best[k], best[k - 1])
+        ends = new
+    return best
+
+
+def _accepted(items: Items, flat: np.ndarray, i: np.ndarray, j: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the runs of ``length`` words at (i, j) grow to LEAST words with at most one edit in ACCEPTED_EVERY words."""
+    left = _reach(items.flat, i - 1, flat, j - 1, -1)
+    right = _reach(items.flat, i + length, flat, j + length, 1)
+    out = length >= LEAST
+    for a in range(SIDE_EDITS + 1):
+        for b in range(SIDE_EDITS + 1):
+            total = left[a] + length + right[b]
+            out |= (total >= LEAST) & ((a + b) * ACCEPTED_EVERY <= total)
     return out
 
 
-def _aligned(item: list[int], text: list[int]) -> bool:
-    """Whether a local alignment covers LEAST words of ``item`` with at most about one edit in EDIT_EVERY words.
+def _dense(known: np.ndarray) -> np.ndarray:
+    """Places in some window of WINDOW places that has KEPT_SEEDS known ones; a passage lies in such places."""
+    total = np.concatenate([[0], np.cumsum(known)])
+    n = len(known)
+    first = np.arange(n)
+    full = np.flatnonzero(total[np.minimum(first + WINDOW, n)] - total[:n] >= KEPT_SEEDS)
+    change = np.zeros(n + 1, np.int64)
+    change[full] += 1
+    np.add.at(change, np.minimum(full + WINDOW, n), -1)
+    return known & (np.cumsum(change)[:n] > 0)
 
-    A match gains 1, an edit costs 3: runs of words survive an edit every few words, scattered phrases don't. As an edit
-    among the first words restarts the score, what stands before the start of an alignment is added by its edits alone.
+
+def _rare(gram: np.ndarray, at: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Which of the places ``at`` aren't among the KEPT_SEEDS - 1 commonest of every window around them.
+
+    Each window loses KEPT_SEEDS - 1 seeds at most, so each passage keeps one from which it is found.
     """
-    n = len(text)
-    enough = lambda words, edits: words >= LEAST and edits * (EDIT_EVERY - 2) <= words
-    before: dict[tuple[int, int], list[int]] = {}
-    empty = (0, 0, 0, 0)  # score, words of item and of text before the start, edits
-    row = [empty] * (n + 1)
-    for i, x in enumerate(item, 1):
-        left, diag = empty, row[0]
-        for j in range(1, n + 1):
-            up = row[j]
-            if x == text[j - 1] and x:
-                cell = (diag[0] + 1, *diag[1:]) if diag[0] > 0 else (1, i - 1, j - 1, 0)
-                _, first, start, edits = cell
-                if i - first >= LEAST // 2:
-                    if (first, start) not in before:
-                        before[first, start] = _before(item, text, first, start)
-                    if enough(i - first, edits) or any(enough(i - first + more, edits + e) for e, more in enumerate(before[first, start])):
-                        return True
-            else:
-                score, first, start, edits = max(diag, up, left, key=lambda c: (c[0], -c[1], -c[3]))
-                cell = (score - 3, first, start, edits + 1) if score > 3 else empty
-            diag, left = up, cell
-            row[j] = cell
-    return False
-
-
-def search(items: Items, docs: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs (place of the document in ``docs``, place of the item) of a shard."""
-    if not len(items.seed_at) or not docs:
-        return []
-    gap = np.zeros(LEAST + 2 * _BAND, docs[0].dtype)
-    starts, at, parts = [], 0, []
-    for d in docs:
-        parts += [gap, d]
-        starts.append(at + len(gap))
-        at += len(gap) + len(d)
-    flat = np.concatenate([*parts, gap])
-    starts_a = np.array(starts)
-    places, keys = suffix_array(flat)
-    lo, hi = np.searchsorted(keys, items.seed_key, "left"), np.searchsorted(keys, items.seed_key, "right")
-    times = hi - lo
+    common = np.zeros(len(gram), np.int64)
+    common[at] = texts[gram[at]]
+    own, beaten = common[at], np.zeros(len(at), np.int64)
+    for s in range(1, WINDOW):
+        beaten += common[np.maximum(at - s, 0)] * (at >= s) >= own
+        after = at + s < len(gram)
+        beaten += common[np.minimum(at + s, len(gram) - 1)] * after > own
+    return beaten >= KEPT_SEEDS - 1
+
+
+def _spread(lo: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) for each place of the ranges that start at ``lo`` and have ``times`` places."""
     q = np.repeat(np.arange(len(times)), times)
-    if not len(q):
-        return []
-    j = places[lo[q] + np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)]
-    i = items.seed_at[q]
-    # the longest verbatim run through each seed, once
-    back = _grown(items.flat, i - 1, flat, j - 1, -1)
-    i, j = i - back, j - back
-    both = np.unique(np.stack([i, j]), axis=1)
-    i, j = both
-    length = _grown(items.flat, i, flat, j, 1)
-    # words of the item around the run that stand in the text within a few places of the run's diagonal
-    found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    width = LEAST + EDIT_EVERY
-    for k in range(0, len(i), 20_000):
-        a, b, n = i[k : k + 20_000], j[k : k + 20_000], np.minimum(length[k : k + 20_000], width)
-        around = np.arange(-width, 2 * width)
-        x = a[:, None] + around[None, :]
-        own = (x >= 0) & (x < len(items.flat))
-        word = np.where(own, items.flat[np.clip(x, 0, len(items.flat) - 1)], 0)
-        own &= np.where(own, items.owner[np.clip(x, 0, len(items.flat) - 1)], -2) == items.owner[a][:, None]
-        hit = np.zeros(word.shape, bool)
-        for shift in range(-_BAND, _BAND + 1):
-            y = np.clip(b[:, None] + around[None, :] + shift, 0, len(flat) - 1)
-            hit |= flat[y] == word
-        hit &= own & (word != 0)
-        total = np.concatenate([np.zeros((len(a), 1), np.int64), np.cumsum(hit, axis=1)], axis=1)
-        dense = (total[:, LEAST:] - total[:, :-LEAST]).max(axis=1) >= LEAST - LEAST // (EDIT_EVERY - 2) - 1
-        for r in np.flatnonzero(dense | (n >= LEAST)):
-            doc = int(np.searchsorted(starts_a, b[r], "right")) - 1
-            found.setdefault((doc, int(items.owner[a[r]])), []).append((int(b[r]) - starts[doc], int(a[r]) - items.start[items.owner[a[r]]]))
-    out = []
-    for (doc, item), seeds in found.items():
-        text = docs[doc]
-        asked = items.flat[items.start[item] : items.end[item]].tolist()
-        done: list[int] = []
-        for y, x in sorted(seeds):
-            lo_, hi_ = max(0, y - x - 10), y - x + len(asked) + 10
-            if any(abs(y - x - d) < 3 for d in done):
-                continue
-            done.append(y - x)
-            if _aligned(asked, text[lo_:hi_].tolist()):
-                out.append((doc, item))
-                break
-    return out
+    return q, lo[q] + np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+
+
+def _parts(times: np.ndarray) -> Iterator[slice]:
+    """Slices of the queries with about _AT_ONCE places together."""
+    if len(times):
+        cuts = np.flatnonzero(np.diff(np.cumsum(times) // _AT_ONCE)) + 1
+        yield from (slice(a, b) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(times)], strict=True))
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The evaluation texts in blocks of BLOCK_CHARS; each goes to the driver and to the executors in turn."""
+def search(items: Items, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Rows (document, item, place in the document, place in the item, length) of a shard: the longest verbatim run of each pair.
+
+    flat: the shard's words by the numbers of ``items``, 0 for others, documents _GAP zeros apart; starts: their first places.
+    """
+    none = np.empty((0, 5), np.int64)
+    gram = items.grams(flat)
+    at = np.flatnonzero(_dense(gram > 0))
+    if not len(at):
+        return none
+    places, keys = suffix_array(gram, at)
+    asked = items.at
+    # verbatim: all LEAST words of a suffix
+    wanted = asked[items.keys[2][asked] > 0]
+    wanted = wanted[((items.keys[0] & 0xFFFFFFFF)[wanted] > 0) & (items.keys[1][wanted] >> 32 > 0) & ((items.keys[1] & 0xFFFFFFFF)[wanted] > 0)]
+    lo, hi = (np.searchsorted(keys[0], items.keys[0][wanted], side) for side in ("left", "right"))
+    for level in (1, 2):
+        hit = hi > lo
+        wanted = wanted[hit]
+        lo, hi = _narrowed(keys[level], items.keys[level][wanted], lo[hit], hi[hit])
+    found, known = [none], np.empty(0, np.int64)
+    size = len(items.ids)
+
+    def runs(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The verbatim runs through (i, j), each once, by their first places, and their pairs of document and item."""
+        back = _grown(items.flat, i - 1, flat, j - 1, -1)
+        key = np.unique((i - back) * len(flat) + j - back)
+        i, j = key // len(flat), key % len(flat)
+        return i, j, _grown(items.flat, i, flat, j, 1), (np.searchsorted(starts, j, "right") - 1) * size + items.owner[i]
+
+    def keep(i: np.ndarray, j: np.ndarray, length: np.ndarray, pair: np.ndarray) -> None:
+        order = np.lexsort((i, j, -length, pair))
+        order = order[np.unique(pair[order], return_index=True)[1]]
+        doc, item = pair[order] // size, pair[order] % size
+        found.append(np.stack([doc, item, j[order] - starts[doc], i[order] - items.start[item], length[order]], axis=1))
+
+    for part in _parts(hi - lo):
+        q, k = _spread(lo[part], (hi - lo)[part])
+        i, j, length, pair = runs(wanted[part][q], places[k])
+        keep(i, j, length, pair)
+        known = np.union1d(known, pair)
+    # cut short: seeds of pairs that aren't found yet, grown over edits
+    rare = np.zeros(len(gram), bool)
+    rare[at[_rare(gram, at, items.texts)]] = True
+    seeds = places[rare[places]]
+    first = gram[seeds]
+    lo, hi = (np.searchsorted(first, items.keys[0][asked] >> 32, side) for side in ("left", "right"))
+    asked, lo, hi = asked[hi > lo], lo[hi > lo], hi[hi > lo]
+    for part in _parts(hi - lo):
+        q, k = _spread(lo[part], (hi - lo)[part])
+        i, j = asked[part][q], seeds[k]
+        new = ~np.isin((np.searchsorted(starts, j, "right") - 1) * size + items.owner[i], known)
+        i, j, length, pair = runs(i[new], j[new])
+        good = _accepted(items, flat, i, j, length)
+        keep(i[good], j[good], length[good], pair[good])
+        known = np.union1d(known, pair[good])
+    return np.concatenate(found)
+
+
+class Shard:
+    """Words of some documents, numbered as they come; ``flat`` gives them in the numbers of a block of evaluation texts."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.local: list[int] = [0] * _GAP
+        self.starts: list[int] = []
+
+    def add(self, found: list[str]) -> None:
+        number = self.number
+        self.starts.append(len(self.local))
+        self.local += [number.setdefault(w, len(number)) for w in found]
+        self.local += [0] * _GAP
+
+    def search(self, items: Items) -> np.ndarray:
+        of = np.fromiter((items.vocabulary.get(w, 0) for w in self.number), np.int64, len(self.number))
+        return search(items, of[np.array(self.local, np.int64)], np.array(self.starts, np.int64))
+
+
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
+    """The evaluation texts as words, in blocks of about BLOCK_WORDS; long texts in pieces that overlap by OVERLAP words."""
     block, size = [], 0
     for row in items.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna().toLocalIterator():
-        block.append((row["k"], row["t"]))
-        size += len(row["t"])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
+        found = words(row["t"])
+        for at in range(0, max(1, len(found) - OVERLAP), PIECE_WORDS - OVERLAP):
+            piece = found[at : at + PIECE_WORDS]
+            block.append((row["k"], piece))
+            size += len(piece)
+            if size >= BLOCK_WORDS:
+                yield block
+                block, size = [], 0
     if block:
         yield block
 
 
-def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """Pairs (doc_key, item_key) of a document and an evaluation text of which it holds a passage of LEAST words or more.
+def matches(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """(doc_key, item_key, doc_word, item_word, longest) of each document and evaluation text of which it holds a passage.
 
-    Case, punctuation, spacing, line breaks, accents and the encoding of characters are disregarded, as are single words
-    replaced, dropped or added, up to about one in EDIT_EVERY. Null, empty and blank texts, and evaluation texts of fewer
-    than LEAST words, match nothing; copies of a document all come out. The corpus is read once per block of evaluation
-    texts (one block for some thousands of them) without a shuffle of texts; a task holds one shard at a time.
+    A passage has LEAST words of the evaluation text or more. Case, punctuation, spacing, line breaks, accents and the
+    encoding of characters are disregarded, as are single words replaced, dropped or added, up to about one in EDIT_EVERY.
+    longest is the length in words of the longest verbatim run that was met, doc_word and item_word where it starts (for long
+    evaluation texts, in their piece). Null, empty and blank texts, and evaluation texts of fewer than LEAST words, match
+    nothing; copies of a document all come out. The corpus is read once, without a shuffle of texts, whatever the number of
+    evaluation texts: they go out as broadcasts of about BLOCK_WORDS words each, held one at a time.
     """
-    spark = docs.sparkSession
     doc_kind, item_kind = dict(docs.dtypes)[doc_key], dict(items.dtypes)[item_key]
-    schema = f"doc {doc_kind}, item {item_kind}"
     slim = docs.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("text")).filter(F.length("text") > 0)
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(items, item_key, item_text):
-        table = Items(block)
-        if len(table.vocabulary) >= 65_535:
-            raise ValueError("a block of evaluation texts has too many distinct words; lower BLOCK_CHARS")
-        shared = spark.sparkContext.broadcast(table)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items_ = shared.value
-            number = items_.vocabulary.get
-            keys: list = []
-            parts: list[np.ndarray] = []
-            size = 0
-
-            def close() -> pa.RecordBatch:
-                pairs = search(items_, parts)
-                docs_ = pa.array([keys[d] for d, _ in pairs], batch.schema.field(0).type)
-                return pa.RecordBatch.from_arrays([docs_, pa.array([items_.ids[i] for _, i in pairs], pa.int64())], names=["doc", "item"])
-
-            for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    part = np.array([number(w, 0) for w in words(text)], np.uint16)
-                    if len(part) < LEAST - LEAST // (EDIT_EVERY - 2) - 1:
-                        continue
-                    keys.append(key)
-                    parts.append(part)
-                    size += len(part)
-                    if size >= SHARD_WORDS:
-                        yield close()
-                        keys, parts, size = [], [], 0
-            if parts:
-                yield close()
-
-        out = out.unionAll(slim.mapInArrow(run, f"doc {doc_kind}, item long").select("doc", F.col("item").cast(item_kind)))
-    return out.distinct().select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))
+    shared = [docs.sparkSession.sparkContext.broadcast(Items(block)) for block in _blocks(items, item_key, item_text)]
+    names = ["doc", "item", "doc_word", "item_word", "longest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys = Shard(), []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            for block in shared:
+                items_ = block.value
+                rows = shard.search(items_)
+                if len(rows):
+                    columns = [pa.array([keys[d] for d in rows[:, 0]], kind), pa.array(items_.ids[rows[:, 1]]), *(pa.array(rows[:, c]) for c in (2, 3, 4))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                if len(shared) > 1:
+                    block.__dict__.pop("_value", None)  # one block in memory at a time; it is read again from the local disk
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = words(text)
+                if len(found) < LEAST - SIDE_EDITS:
+                    continue
+                keys.append(key)
+                shard.add(found)
+                if len(shard.local) >= SHARD_WORDS:
+                    yield from close()
+                    shard, keys = Shard(), []
+        if keys:
+            yield from close()
+
+    found = slim.mapInArrow(run, f"doc {doc_kind}, item long, doc_word long, item_word long, longest long")
+    place = F.struct("longest", -F.col("doc_word"), -F.col("item_word"))
+    best = found.groupBy("doc", "item").agg(F.max_by(F.struct("doc_word", "item_word", "longest"), place).alias("m"))
+    return best.select(F.col("doc").alias(doc_key), F.col("item").cast(item_kind).alias(item_key), "m.*")
+
+
+def leaks(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """Pairs (doc_key, item_key) of a document and an evaluation text of which it holds a passage; see ``matches``."""
+    return matches(docs, doc_key, doc_text, items, item_key, item_text).select(doc_key, item_key)
 
 
 def without_leaks(docs: DataFrame, doc_key: str, found: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.llm.addresses import places, same_place_pairs
-from urbanloom.llm.leaks import leaks, without_leaks
+from urbanloom.llm.leaks import leaks, matches, without_leaks
 from urbanloom.llm.quality import classify, text_statistics
 from urbanloom.llm.tokenizer import encode
 from urbanloom.session import table
@@ -32,6 +32,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
 
 
+def p9_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each passage's longest verbatim run stands in the document and in the evaluation text, and its length in words."""
+    return matches(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of the documents that hold no passage of an evaluation text."""
     return without_leaks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", p9_found(spark, sf_dir))
@@ -47,5 +52,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), "doc_id", "text").filter(F.col("kind") != "prose").select("doc_id", "kind").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_places": p2_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_clean": p9_clean, "p10_found": p10_found, "p10_stats": p10_stats}
+QUERIES = {"p2_found": p2_found, "p2_places": p2_places, "p8_ids": p8_ids, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_stats": p10_stats}
 SQL: dict[str, str] = {}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 
 _ZERO_WIDTH = re.compile("[­​-‏⁠﻿︀-️]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐‑](?:[ \t]*\r?\n[ \t]*)?(?=[^\W\d_])")
+_MARKS = re.compile("[" + "".join(map(re.escape, filter(unicodedata.combining, map(chr, range(sys.maxunicode + 1))))) + "]+")
 _WORD = re.compile(r"[^\W_]+")
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
 # a lead byte of UTF-8 and what may follow it, read as Windows-1252 or Latin-1
@@ -45,7 +47,7 @@ def plain(text: str) -> str:
             return _HYPHEN.sub("", text.lower())
     text = repair(_ENTITY.sub(lambda m: html.unescape(m[0]), text))
     text = _ZERO_WIDTH.sub("", unicodedata.normalize("NFKD", text).casefold())
-    return _HYPHEN.sub("", "".join(c for c in text if not unicodedata.combining(c)))
+    return _HYPHEN.sub("", _MARKS.sub("", text))
 
 
 def words(text: str | None) -> list[str]:
