@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from urbanloom.llm import addresses, leaks, quality, tokenizer
@@ -61,9 +62,37 @@ def test_names_accepted_are_candidates():
             b[k] = b[k][:at] + rnd.choice(["", "x", b[k][at : at + 2][::-1], b[k][at] + "e"]) + b[k][at + rnd.randrange(1, 3) :] or "x"
         for most in (1, 2):
             if addresses.word_cost(a, b, most) <= most:
-                assert addresses.name_forms(" ".join(a), most) & addresses.name_forms(" ".join(b), most), (a, b)
-    long = ["x" * 70 + "yz", "w" * 70]
-    assert addresses.end_forms(" ".join(long)) & addresses.end_forms(" ".join([long[1], "x" * 70 + "zy"]))
+                assert addresses.name_forms(" ".join(a), most, True) & addresses.name_forms(" ".join(b), most, False), (a, b)
+    for _ in range(2000):  # words around and above the length from which parts are indexed
+        a = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(26, 60)))
+        b = a
+        for _ in range(2):
+            at = rnd.randrange(len(b) - 1)
+            b = b[:at] + rnd.choice(["", "x", b[at : at + 2][::-1], b[at] + "e"]) + b[at + rnd.randrange(1, 3) :]
+        if addresses.osa(a, b, 2) <= 2:
+            assert addresses.name_forms(a, 2, True) & addresses.name_forms(b, 2, False), (a, b)
+
+
+def test_words_are_assigned_in_any_number():
+    names = [f"w{i}ord" for i in range(40)]
+    assert addresses.word_cost(names, names[::-1]) == 0
+    assert addresses.word_cost(names, [*names[20:], *names[1:20], "w00rd"]) == 1
+    assert addresses.word_cost(names, [*names[3:], "xxxx", "yyyy", "zzzz"]) == 3
+
+
+def test_names_with_rows_of_their_own_stay_apart(spark):
+    table = [(10 * i + k, f"{name}strasse", str(k), "00005", "Brenzarancy") for i, name in enumerate(["Berg", "Burg", "Lindenanger", "Lindenarger"]) for k in range(1, 8)]
+    table += [(100, "Bergstr", "5", "00005", "Brenzarancy"), (101, "Brugstr.", "5", "00005", "Brenzarancy"), (102, "Strasse Berg 5", None, "00005", "Brenzarancy")]
+    df = spark.createDataFrame(table, "id long, street string, house_number string, zip_code string, city string")
+    found = set(rows(addresses.same_place_pairs(df)))
+    assert {(5, 100), (15, 101)} <= found
+    assert not {(k, 10 + k) for k in range(1, 8)} & found and not {(20 + k, 30 + k) for k in range(1, 8)} & found
+
+
+def test_a_large_place_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(addresses, "DEALT_ROWS", 3)
+    df = spark.createDataFrame([(i, "Ulmenweg", "1", "00005", "Brenz") for i in range(12)], "id long, street string, house_number string, zip_code string, city string")
+    assert addresses.same_place_pairs(df).count() == 66
 
 
 def test_places_two_letters_apart(spark):
@@ -78,7 +107,7 @@ def test_places_two_letters_apart(spark):
 
 def test_streets_joined_by_a_misspelling_stay_apart(spark):
     names = [("b", "muhlenhorst", 3, []), ("b", "umlenhorst", 3, []), ("b", "ulmenhorst", 12, []), ("b", "mhlenhorst", 1, [])]
-    df = spark.createDataFrame(names, "b string, name string, n long, spelt array<string>")
+    df = spark.createDataFrame(names, "b string, name string, n long, spelt array<string>").withColumn("borne", F.col("n"))
     assert rows(addresses.same_names(df, ["b"])) == [("b", "mhlenhorst", "muhlenhorst"), ("b", "muhlenhorst", "muhlenhorst"), ("b", "ulmenhorst", "ulmenhorst"), ("b", "umlenhorst", "ulmenhorst")]
 
 
@@ -93,6 +122,48 @@ def test_postcodes_of_misspelt_and_contradicting_towns(spark):
     assert rows(addresses.same_place_pairs(df)) == [(1, 2), (1, 3), (1, 6), (2, 3), (2, 6), (3, 6), (4, 5)]
 
 
+def planted(seed, n_streets=120, n_rows=1500):
+    """Rows of made-up addresses in many hands, and the place of each."""
+    rnd = random.Random(seed)
+    part = lambda: rnd.choice("b br d f g gr k kl l m n p r s st t tr v w".split()) + rnd.choice("a e i o u au ei".split()) + rnd.choice(["", "l", "n", "r", "s", "m"])
+    cities = [("".join(part() for _ in range(3)), [f"{10000 + 137 * c + z:05d}" for z in range(3)]) for c in range(6)]
+    kinds = {"weg": ["weg", "-Weg", " Weg"], "strasse": ["strasse", "straße", "str.", " Str."], "gasse": ["gasse", " Gasse"], "lane": [" Lane", " Ln"], "road": [" Road", " Rd."]}
+    streets = []
+    for _ in range(n_streets):
+        city = rnd.choice(cities)
+        stem = rnd.choice(["", "", "", "alte ", "neue "]) + "".join(part() for _ in range(rnd.randrange(3, 5)))
+        for kind in rnd.sample(list(kinds), rnd.choice([1, 1, 2])):
+            streets.append((city, stem, kind, rnd.choice(city[1]), [(rnd.randrange(1, 80), rnd.choice(["", "", "a", "b"])) for _ in range(6)]))
+
+    def typo(word):
+        at = rnd.randrange(1, len(word) - 1)
+        return rnd.choice([word[:at] + word[at + 1 :], word[:at] + word[at + 1] + word[at] + word[at + 2 :], word[:at] + rnd.choice("aeknrt") + word[at + 1 :], word[:at] + word[at] + word[at:]])
+
+    out = []
+    for i in range(n_rows):
+        city, stem, kind, code, numbers = rnd.choice(streets)
+        number, letter = rnd.choice(numbers)
+        name = rnd.choice([str.title, str.upper, str.lower])(typo(stem) if rnd.random() < 0.15 else stem)
+        street = name + rnd.choice(kinds[kind])
+        written = rnd.choice([f"{number}{letter}", f"Nr. {number} {letter}".strip(), f"{number:03d}{letter.upper()}"])
+        town = typo(city[0]) if rnd.random() < 0.1 else city[0]
+        row = rnd.choice([(street, written, code, town.title()), (f"{street} {written}", None, code, town), (street, written, code, None), (street, written, None, town), (f"{code} {town}, {street} {number}{letter}", None, None, None)])
+        out.append((i, *row, (city[0], stem, kind, number, letter)))
+    return out
+
+
+def test_recall_and_precision_on_planted_variants(spark):
+    table = planted(4)
+    found = {tuple(sorted(r)) for r in rows(addresses.same_place_pairs(spark.createDataFrame([r[:5] for r in table], "id long, street string, house_number string, zip_code string, city string")))}
+    by_place = {}
+    for r in table:
+        by_place.setdefault(r[5], []).append(r[0])
+    want = {(a, b) for ids in by_place.values() for a in ids for b in ids if a < b}
+    recall, precision = len(found & want) / len(want), len(found & want) / len(found)
+    print(f"{len(want)} pairs, recall {recall:.4f}, precision {precision:.4f}")
+    assert recall > 0.97 and precision > 0.99
+
+
 # tokens
 
 

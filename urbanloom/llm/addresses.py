@@ -1,24 +1,28 @@
 """Addresses of one place, written differently.
 
 Each row is read into components wherever they stand (street words, kind of street, house number, unit letter, postcode,
-locality). Localities and, inside a locality, street names are then matched as *distinct strings*: strings whose words share
-forms with at most two letters deleted, in any order, are candidates, an optimal assignment of their words decides, and each
-string points to the commonest string that it is a variant of. Rows with the same locality, street, number and letter denote one place; a
-different number, letter, kind of street or count of words is a veto.
+locality). A block is a city: the postcodes that share a locality, so that a street meets those of neighbouring postcodes; a
+row whose postcode and town contradict each other lies in both blocks. Inside a block the words of the distinct street names
+are indexed by their forms with at most two letters deleted; names that share a form of a word are candidates, and an
+optimal assignment of their components decides: words to words in any order at the least sum of edits, while another
+number, letter, kind of street or count of words is a veto. Each name points to the commonest name that it is a variant of.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, permutations
+from itertools import permutations
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.session import cut
+from urbanloom.session import cut, partitions
 
 #: Kinds of street and their short forms, by where they stand in a name.
 KINDS_LAST = {
@@ -33,10 +37,12 @@ KINDS_FIRST = {
 #: Kinds of street that German joins to the word before.
 SUFFIXES = ["strasse", "platz", "allee", "gasse", "weg", "ring", "damm", "ufer", "str", "pl", "wg"]
 
-#: Letters from which a name is matched by its ends, with one edit at most, and below which a name allows one edit.
-LONG_NAME, SHORT_NAME = 120, 8
-#: Words up to which a name's words are matched in any order, and forms of names that are handed over at once.
-ANY_ORDER, FORMS_AT_ONCE = 5, 50_000
+#: Letters below which a name allows one edit instead of two.
+SHORT_NAME = 8
+#: Letters of a word from which its parts are indexed instead of its deletions (the same words match), and forms handed over at once.
+LONG_WORD, FORMS_AT_ONCE = 32, 50_000
+#: Rows of a place that meet all others of it in one task; larger places are dealt out.
+DEALT_ROWS = 2_000
 
 _LAST = {form: kind for kind, forms in KINDS_LAST.items() for form in forms}
 _FIRST = {form: kind for kind, forms in KINDS_FIRST.items() for form in forms}
@@ -90,12 +96,15 @@ def osa(a: str, b: str, most: int = 2) -> int:
 
 
 def word_cost(a: list[str], b: list[str], most: int = 2) -> int:
-    """Least sum of edits over all assignments of the words of ``a`` to those of ``b``; ``most + 1`` if their counts differ."""
-    if len(a) != len(b):
+    """Least sum of edits over all assignments of the words of ``a`` to those of ``b``; ``most + 1`` if their counts differ.
+
+    Equal words go to each other; as each further word costs an edit at least, no more than ``most`` are left to assign.
+    """
+    left, right = Counter(a) - Counter(b), Counter(b) - Counter(a)
+    if len(a) != len(b) or left.total() > most:
         return most + 1
-    if len(a) > ANY_ORDER:  # long names: words in order
-        return min(most + 1, sum(osa(x, y, most) for x, y in zip(a, b, strict=True)))
-    return min(most + 1, min(sum(osa(x, y, most) for x, y in zip(a, p, strict=True)) for p in permutations(b)))
+    rest = list(right.elements())
+    return min([most + 1, *(sum(osa(x, y, most) for x, y in zip(left.elements(), p, strict=True)) for p in permutations(rest))])
 
 
 def _near(word: str, forms: dict[str, str]) -> str | None:
@@ -218,46 +227,50 @@ def read_addresses(df: DataFrame, key: str = "id") -> DataFrame:
     return df.select(F.col(key).cast("long").alias("id"), "street", "house_number", "zip_code", "city").mapInArrow(run, _READ)
 
 
-def _deleted(word: str, most: int) -> list[set[str]]:
-    """Forms of ``word`` with 0, 1, ... ``most`` letters deleted."""
-    forms = [{word}]
+def _deleted(word: str, most: int) -> set[str]:
+    """``word`` and its forms with at most ``most`` letters deleted."""
+    last = out = {word}
     for _ in range(most):
-        forms.append({x[:i] + x[i + 1 :] for x in forms[-1] for i in range(len(x))})
-    return forms
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        out = out | last
+    return out
 
 
-def name_forms(name: str, most: int) -> set[str]:
-    """Forms of ``name`` with at most ``most`` (1 or 2) letters deleted, its words in the order of the alphabet.
+def _cuts(length: int, parts: int) -> list[tuple[int, int]]:
+    return [(length * k // parts, length * (k + 1) // parts) for k in range(parts)]
 
-    An edit costs each of two words one deleted letter at most: names whose words can be assigned with ``most`` edits share
-    a form, whatever the order of their words.
-    """
-    words = name.split(" ")
-    cut_words = [_deleted(w, most) for w in words]
-    bag = lambda changed: " ".join(sorted([*(w for k, w in enumerate(words) if k not in changed), *changed.values()]))
-    out = {bag({})} | {bag({k: x}) for k, forms in enumerate(cut_words) for some in forms[1:] for x in some}
-    if most > 1:
-        out |= {bag({k: x, m: y}) for k, m in combinations(range(len(words)), 2) for x in cut_words[k][1] for y in cut_words[m][1]}
-    return out
 
+def own_forms(word: str, most: int) -> set[str]:
+    """Forms of a word of which any word within ``most`` edits has one among its ``other_forms``.
 
-def end_forms(name: str) -> set[str]:
-    """Forms of a name of more than LONG_NAME letters, of which one edit leaves one: its ends, and of few words all but one."""
-    words = sorted(name.split(" "))
-    few = {" ".join(words[:k] + words[k + 1 :]) for k in range(len(words))} if 1 < len(words) <= ANY_ORDER else set()
-    return {name[:32], name[-32:]} | few
+    Short words: letters deleted (an edit costs each of two words one letter at most). Long words: 2 * most + 1 parts, of
+    which an edit touches two at most.
+    """
+    if len(word) <= LONG_WORD:
+        return _deleted(word, most)
+    return {f"{len(word)}#{k}#{word[a:b]}" for k, (a, b) in enumerate(_cuts(len(word), 2 * most + 1))}
 
 
-def _all_forms(name: str, spelt: list[str], most: int) -> set[str]:
-    out = end_forms(name) if len(name) > LONG_NAME else set()
-    if len(name) <= LONG_NAME + most:  # what a name of LONG_NAME letters may still become
-        depth = most if len(name) >= SHORT_NAME else 1
-        out = out.union(*(name_forms(x, depth) for x in {name, *spelt}))
+def other_forms(word: str, most: int) -> set[str]:
+    """See ``own_forms``: a part stands at most ``most`` letters further left or right in the other word."""
+    out = _deleted(word, most) if len(word) <= LONG_WORD + most else set()
+    for n in range(max(LONG_WORD + 1, len(word) - most), len(word) + most + 1):
+        out |= {f"{n}#{k}#{word[a + d : b + d]}" for k, (a, b) in enumerate(_cuts(n, 2 * most + 1)) for d in range(-most, most + 1) if a + d >= 0}
     return out
 
 
-def _variants(names: DataFrame, block: list[str], most: int) -> DataFrame:
-    """(block..., name, n, form): the forms, hashed, that each name shares with all names that ``_decide`` accepts for it."""
+def name_forms(name: str, most: int, own: bool) -> set[str]:
+    """Tokens of ``name`` by their forms, with the number of its words: those of its longest word (``own``) or of all words.
+
+    The longest word of a name is assigned to some word of each name that is accepted for it, so both share a form.
+    """
+    words = name.split(" ")
+    parts = own_forms(max(words, key=lambda w: (len(w), w)), most) if own else set().union(*(other_forms(w, most) for w in set(words)))
+    return {f"{len(words)}|{x}" for x in parts}
+
+
+def _token_index(names: DataFrame, block: list[str], most: int, own: bool) -> DataFrame:
+    """(block..., name, n, borne, form): the forms, hashed, of the names' words; see ``name_forms``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,12 +278,12 @@ def _variants(names: DataFrame, block: list[str], most: int) -> DataFrame:
 
             def close(batch=batch) -> pa.RecordBatch:
                 kept = batch.drop_columns(["spelt"]).take(pa.array(of, pa.int64()))
-                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(forms, pa.string())], names=[*kept.schema.names, "form"])
+                return pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.array(forms, np.uint64).view(np.int64))], names=[*kept.schema.names, "form"])
 
             for k, (name, spelt) in enumerate(zip(batch.column("name").to_pylist(), batch.column("spelt").to_pylist(), strict=True)):
-                own = _all_forms(name, spelt, most)
-                of += [k] * len(own)
-                forms += own
+                got = [xxhash.xxh3_64_intdigest(x) for x in set().union(*(name_forms(x, most if len(name) >= SHORT_NAME else 1, own) for x in {name, *spelt}))]
+                of += [k] * len(got)
+                forms += got
                 if len(of) >= FORMS_AT_ONCE:
                     yield close()
                     of.clear()
@@ -278,8 +291,8 @@ def _variants(names: DataFrame, block: list[str], most: int) -> DataFrame:
             if of:
                 yield close()
 
-    schema = ", ".join(f"`{c}` string" for c in [*block, "name"]) + ", n long, form string"
-    return names.select(*block, "name", "n", "spelt").mapInArrow(run, schema).withColumn("form", F.xxhash64("form"))
+    schema = ", ".join(f"`{c}` string" for c in [*block, "name"]) + ", n long, borne long, form long"
+    return names.select(*block, "name", "n", "borne", "spelt").mapInArrow(run, schema)
 
 
 def name_cost(a: str, b: str, spelt_a: list[str], spelt_b: list[str], most: int) -> int:
@@ -292,7 +305,7 @@ def _decide(most: int):
         for batch in batches:
             a, b, sa, sb = (batch.column(c).to_pylist() for c in ("name", "other", "spelt", "other_spelt"))
             cost = [name_cost(*x, most) for x in zip(a, b, sa, sb, strict=True)]
-            keep = [c <= (most if SHORT_NAME <= min(len(x), len(y)) <= LONG_NAME else 1) for c, x, y in zip(cost, a, b, strict=True)]
+            keep = [c <= (most if min(len(x), len(y)) >= SHORT_NAME else 1) for c, x, y in zip(cost, a, b, strict=True)]
             out = batch.set_column(batch.schema.get_field_index("cost"), "cost", pa.array(cost, pa.int32())).filter(pa.array(keep, pa.bool_()))
             if out.num_rows:
                 yield out
@@ -300,28 +313,31 @@ def _decide(most: int):
     return run
 
 
-def same_names(names: DataFrame, block: list[str], ratio: int = 1, most: int = 2) -> DataFrame:
-    """(block..., name, hub): the name that each of the distinct ``names`` (block..., name, n, spelt) is a variant of.
+def same_names(names: DataFrame, block: list[str], ratio: int = 2, most: int = 2) -> DataFrame:
+    """(block..., name, hub): the name that each of the distinct ``names`` (block..., name, n, borne, spelt) is a variant of.
 
-    ``spelt``: other spellings of the name. Names are matched inside a block if their words, in any order, or those of
-    their spellings, can be assigned with at most ``most`` edits (one for names of fewer than SHORT_NAME or more than LONG_NAME letters). Of two matching names the rarer one, by n and then by the alphabet, is the
-    variant, and of the nearest matches the commonest is its hub; ``ratio``: how many times commoner the other must be, unless the rarer one occurs at most twice.
-    A name that occurs more often than that doesn't follow its hub to a name that it doesn't match itself.
+    n: rows of the name; borne: how much of its own it has to show for itself; ``spelt``: its other spellings. Names are matched inside a block if their words, in any order, or those of
+    their spellings, can be assigned with at most ``most`` edits (one for names of fewer than SHORT_NAME letters). Of two
+    matching names the rarer one, by n and then by the alphabet, is the variant, and of the nearest matches the commonest is
+    its hub. A name that is borne out by more than two isn't a variant unless the other is borne out by ``ratio`` times as
+    many, nor does it follow its hub to a name that it doesn't match itself.
     """
-    names = cut(names)
-    forms = _variants(names, block, most)
-    others = forms.select(*block, F.col("name").alias("other"), F.col("n").alias("m"), "form")
-    commoner = (F.struct("m", "other") > F.struct("n", "name")) & ((F.col("n") <= 2) | (F.col("m") >= ratio * F.col("n")))
-    pairs = forms.join(others, [*block, "form"]).filter(commoner).select(*block, "name", "other", "n", "m").distinct()
+    # a few rows may have many forms: they are dealt over all tasks first
+    names = cut(names.repartition(partitions(names.sparkSession), *block, "name"))
+    own, others = _token_index(names, block, most, True), _token_index(names, block, most, False)
+    others = others.select(*block, F.col("name").alias("other"), F.col("n").alias("m"), F.col("borne").alias("other_borne"), "form")
+    variant = (F.col("borne") <= 2) | (F.col("other_borne") >= ratio * F.col("borne"))
+    commoner = F.struct("m", "other") > F.struct("n", "name")
+    pairs = own.join(others, [*block, "form"]).filter(commoner & variant).select(*block, "name", "other", "borne", "m").distinct()
     spelt = names.filter(F.size("spelt") > 0)
     for name, column in (("name", "spelt"), ("other", "other_spelt")):
         pairs = pairs.join(spelt.select(*block, F.col("name").alias(name), F.col("spelt").alias(column)), [*block, name], "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
-    judged = pairs.select(*block, "name", "other", "n", "m", "spelt", "other_spelt", F.lit(0).alias("cost"))
+    judged = pairs.select(*block, "name", "other", "borne", "m", "spelt", "other_spelt", F.lit(0).alias("cost"))
     accepted = cut(judged.mapInArrow(_decide(most), judged.schema))
-    nearest = cut(accepted.groupBy(*block, "name").agg(F.max_by("other", F.struct(-F.col("cost"), "m", "other")).alias("hub"), F.max("n").alias("n")))
-    further = nearest.filter("n > 2").join(nearest.select(*block, F.col("name").alias("hub"), F.col("hub").alias("other")), [*block, "hub"])
+    nearest = cut(accepted.groupBy(*block, "name").agg(F.max_by("other", F.struct(-F.col("cost"), "m", "other")).alias("hub"), F.max("borne").alias("borne")))
+    further = nearest.filter("borne > 2").join(nearest.select(*block, F.col("name").alias("hub"), F.col("hub").alias("other")), [*block, "hub"])
     alone = further.join(accepted.select(*block, "name", "other"), [*block, "name", "other"], "left_anti").select(*block, "name")
-    chosen = nearest.drop("n").join(alone, [*block, "name"], "left_anti")
+    chosen = nearest.drop("borne").join(alone, [*block, "name"], "left_anti")
     hubs = cut(names.join(chosen, [*block, "name"], "left").select(*block, "name", F.coalesce("hub", "name").alias("hub")))
     while True:  # pointer doubling; every step leads to a commoner name
         step = hubs.join(hubs.select(*block, F.col("name").alias("hub"), F.col("hub").alias("top")), [*block, "hub"]).select(*block, "name", F.col("top").alias("hub"), (F.col("top") != F.col("hub")).alias("moved"))
@@ -353,7 +369,7 @@ def places(df: DataFrame, key: str = "id") -> DataFrame:
     name stands for itself. Where a city contradicts the postcode, the postcode's counts if only that has the street.
     """
     read = cut(read_addresses(df, key))
-    towns = read.filter("town <> ''").groupBy(F.col("town").alias("name")).agg(F.count("*").alias("n"), F.collect_set("spelt_town").alias("spelt"))
+    towns = read.filter("town <> ''").groupBy(F.col("town").alias("name")).agg(F.count("*").alias("n"), F.count("*").alias("borne"), F.collect_set("spelt_town").alias("spelt"))
     town_hubs = cut(same_names(towns, [], ratio=5).select(F.col("name").alias("town"), F.col("hub").alias("locality")))
     named = cut(read.join(town_hubs, "town", "left"))
     of_code, homes = _homes(named)
@@ -364,7 +380,9 @@ def places(df: DataFrame, key: str = "id") -> DataFrame:
     both = F.when(F.col("of_code") != first, F.array(first, "of_code")).otherwise(F.array(first))
     located = cut(known.select("id", F.array_join("words", " ").alias("name"), "spelt", "kind", "number", "letter", both.alias("localities")))
     tried = located.select("*", F.explode("localities").alias("locality"), (F.size("localities") == 1).alias("sure"))
-    streets = tried.groupBy("locality", "kind", "name").agg(F.count_if("sure").alias("n"), F.collect_set("spelt").alias("spelt"))
+    # a street is borne out by its house numbers: a misspelt row that was copied has one, a street of its own has several
+    numbers = F.count_distinct(F.when(F.col("sure"), F.struct("number", "letter")))
+    streets = tried.groupBy("locality", "kind", "name").agg(F.count_if("sure").alias("n"), numbers.alias("borne"), F.collect_set("spelt").alias("spelt"))
     hubs = same_names(streets, ["locality", "kind"])
     placed = tried.join(hubs, ["locality", "kind", "name"])
     place = F.concat_ws("|", "locality", "kind", "hub", "number", "letter").alias("place")
@@ -375,6 +393,14 @@ def places(df: DataFrame, key: str = "id") -> DataFrame:
 
 
 def same_place_pairs(df: DataFrame, key: str = "id") -> DataFrame:
-    """Pairs (address_id_1, address_id_2), smaller id first, of rows that denote the same place, each once."""
+    """Pairs (address_id_1, address_id_2), smaller id first, of rows that denote the same place, each once.
+
+    Built from the membership of ``places``. The rows of a large place are dealt over several tasks, each of which holds them
+    against all rows of the place.
+    """
     found = cut(places(df, key).distinct())
-    return found.join(found.select(F.col("id").alias("other"), "place"), "place").filter("id < other").select(F.col("id").alias("address_id_1"), F.col("other").alias("address_id_2")).distinct()
+    sizes = found.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1").withColumn("slots", F.ceil(F.col("n") / DEALT_ROWS).cast("int"))
+    members = found.join(sizes, "place")
+    dealt = members.select("id", "place", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int").alias("slot"))
+    every = members.select(F.col("id").alias("other"), "place", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    return dealt.join(every, ["place", "slot"]).filter("id < other").select(F.col("id").alias("address_id_1"), F.col("other").alias("address_id_2"))
