@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tests.conftest import rows
+from urbanloom.operators import hierarchy as hierarchy_module
 from urbanloom.operators.hierarchy import build, cycles, descendants, hierarchy, links
 
 EDGES = "p long, c long"
@@ -77,3 +78,41 @@ def test_empty_null_and_repeated_links(spark):
     empty = spark.createDataFrame([], EDGES)
     cyc, paths, extra = build(empty)
     assert cyc.count() == paths.count() == extra.count() == hierarchy(paths).count() == descendants(paths, extra).count() == 0
+
+
+@pytest.mark.parametrize("run", [256, 3])
+def test_folding_without_pairs(spark, monkeypatch, run):
+    monkeypatch.setattr(hierarchy_module, "CHAIN_RUN", run)
+    rnd = random.Random(9)
+    edges = sorted({(rnd.randrange(max(0, i - 4), i), i) for i in range(1, 40)} | {(3, 30), (7, 22), (200, 5), (100, 101), (101, 100)})
+    _, paths, extra = build(spark.createDataFrame(edges, EDGES))
+    values = {i: (rnd.randrange(1000) if i % 5 else None) for i in [*range(40), 200, 300]}
+    own = spark.createDataFrame([(i, v, v) for i, v in values.items()], "id long, lo long, hi long")
+    full = reach([e for e in edges if e[0] not in (100, 101)])
+    want = []
+    for i in values:
+        seen = [values[j] for j in {i, *full.get(i, ())} if values.get(j) is not None]
+        want.append((i, min(seen, default=None), max(seen, default=None)))
+    assert rows(hierarchy_module.rolled_up(own, "id", paths, extra, {"lo": "min", "hi": "max"})) == sorted(want, key=repr)
+
+
+def shapes(n):
+    """Long graphs of about 2 * n links, with the nodes of each that reach themselves."""
+    ladder = [(i, (i + 1) % n) for i in range(n)] + [(i, n + i) for i in range(0, n)] + [(n + i, i) for i in range(0, n)]
+    ring = [(10 * n + i, 10 * n + (i + 1) % n) for i in range(n)]
+    star = [(20 * n, 20 * n + i) for i in range(1, n)] + [(20 * n + 5, 20 * n)]
+    chain = [(30 * n + i, 30 * n + i + 1) for i in range(n)]
+    return ladder + ring + star + chain, {(i, 0) for i in range(2 * n)} | {(10 * n + i, 10 * n) for i in range(n)} | {(20 * n, 20 * n), (20 * n + 5, 20 * n)}
+
+
+def test_long_ladder_ring_star_and_chain_are_contracted(spark):
+    """The way of links that don't fit a task: few rounds, whatever the length."""
+    edges, want = shapes(4_000)
+    started = spark.sparkContext.statusTracker()
+    df = spark.createDataFrame(edges, EDGES)
+    spark.sparkContext.setJobGroup("contract", "contract")
+    found = {tuple(r) for r in cycles(df, 1_500).collect()}
+    jobs = len(started.getJobIdsForGroup("contract"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert found == want
+    assert jobs < 500

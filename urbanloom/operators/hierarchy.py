@@ -1,13 +1,15 @@
 """Parent-child links to full hierarchies: cycles apart, then heavy paths.
 
 Cycle separation contracts the links: nodes without parents or without children can't lie on a cycle and are raked off;
-runs of nodes with one parent and one child are spliced out, an independent set of them a round. Both shrink trees and long
-chains or rings geometrically. What is left below ``kernel_links`` is decided in one task, anything above by colouring.
+runs of nodes with one parent and one child are spliced out, an independent set of them a round; nodes that are each
+other's child are merged. This shrinks trees, long chains, rings and ladders geometrically. What is left below
+``kernel_links`` is decided in one task, anything above (dense groups, whose diameter is small) by colouring.
 
 The links without cyclic nodes are a forest (each node under its smallest parent; further parents are kept apart as extra
 links). Subtree sizes follow from the same contraction. The child with the largest subtree continues its parent's chain;
 every way to a root crosses at most log2(n) chains, so a node's path is a short list of chain segments, and its
-descendants are the nodes with a segment of its chain that ends at or below its place.
+descendants are the nodes with a segment of its chain that ends at or below its place. Chains are handled in runs of
+CHAIN_RUN nodes, so that no chain is ever held in one row or task.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.session import cut
 
 #: Links up to which one task may finish a contraction (24 bytes a link in arrays).
 KERNEL_LINKS = 1_000_000
+#: Nodes of a chain that are kept in one row.
+CHAIN_RUN = 256
 
 
 def links(df: DataFrame, parent: str, child: str) -> DataFrame:
@@ -112,6 +117,18 @@ def _splice(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     return kept.select("p", "c").unionAll(taken.select(F.col("u").alias("p"), F.col("w").alias("c"))).distinct(), taken
 
 
+def _merge(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Links without some of the nodes that are both parent and child of another, and these nodes (v, u): v goes up in u.
+
+    By a coin for each node, tails go up in the smallest heads that they are linked with both ways.
+    """
+    heads = lambda c: _chance(F.col(c), turn) % 2 == 0
+    both = edges.join(edges.select(F.col("c").alias("p"), F.col("p").alias("c")), ["p", "c"], "left_semi")
+    taken = cut(both.filter(~heads("p") & heads("c")).groupBy(F.col("p").alias("v")).agg(F.min("c").alias("u")))
+    named = edges.join(taken.select(F.col("v").alias("p"), F.col("u").alias("up")), "p", "left").join(taken.select(F.col("v").alias("c"), F.col("u").alias("uc")), "c", "left")
+    return named.select(F.coalesce("up", "p").alias("p"), F.coalesce("uc", "c").alias("c")).distinct(), taken
+
+
 def _colour(edges: DataFrame) -> DataFrame:
     """Strong components (node, cycle) without a bound on the links: forward maxima, then backward within a colour."""
     found = None
@@ -120,9 +137,8 @@ def _colour(edges: DataFrame) -> DataFrame:
         while True:
             sent = edges.join(colour.select(F.col("node").alias("p"), "k"), "p").groupBy(F.col("c").alias("node")).agg(F.max("k").alias("m"))
             new = cut(colour.join(sent, "node", "left").select("node", F.greatest("k", "m").alias("k"), (F.col("m") > F.col("k")).alias("moved")))
-            changed = not new.filter("moved").isEmpty()
             colour = new.drop("moved")
-            if not changed:
+            if new.filter("moved").isEmpty():
                 break
         tinted = cut(edges.join(colour.select(F.col("node").alias("p"), F.col("k").alias("kp")), "p").join(colour.select(F.col("node").alias("c"), F.col("k").alias("kc")), "c").filter("kp = kc").select("p", "c", F.col("kp").alias("k")))
         reached = frontier = cut(colour.filter("node = k"))
@@ -146,35 +162,42 @@ def cycles(edges: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """
     loops = [cut(edges.filter("p = c").select(F.col("p").alias("node")))]
     edges = cut(_rake(edges.filter("p <> c")))
-    size, turn, spliced = edges.count(), 0, []
-    while size > kernel_links:
+    size, turn, stalled, splicing, undone = edges.count(), 0, 0, True, []
+    while size > kernel_links and stalled < 2:
         turn += 1
-        shorter, taken = _splice(edges, turn)
-        shorter = cut(shorter)
-        loops.append(taken.filter("u = w").select(F.col("u").alias("node")))
-        spliced.append(taken)
-        edges = cut(_rake(shorter.filter("p <> c")))
+        if splicing:
+            edges, taken = _splice(edges, turn)
+            loops.append(taken.filter("u = w").select(F.col("u").alias("node")))
+        else:
+            edges, taken = _merge(edges, turn)
+            loops.append(taken.select(F.col("u").alias("node")).distinct())
+        undone.append(taken)
+        edges = cut(_rake(edges.filter("p <> c")))
         before, size = size, edges.count()
-        if size > 0.95 * before:
-            break
+        # what no longer helps gives way to the other
+        stalled = stalled + 1 if size > 0.9 * before else 0
+        splicing = splicing != (stalled > 0)
     if size <= kernel_links:
         groups = edges.coalesce(1).mapInArrow(_kernel, "node long, cycle long")
     else:
         groups = _colour(edges)
-    # a node linked to itself, or to a spliced-out node and back, is a group of its own unless it is in a larger one
+    # a node linked to itself, or to a spliced-out node and back, or in which others went up, is a group of its own unless it is in a larger one
     alone = loops[0]
     for x in loops[1:]:
         alone = alone.unionAll(x)
     own = alone.distinct().select("node", F.col("node").alias("cycle"), F.lit(True).alias("alone"))
     one = lambda df: df.groupBy("node").agg(F.min_by(F.struct("cycle", "alone"), F.struct("alone", "cycle")).alias("g")).select("node", "g.cycle", "g.alone")
     groups = one(groups.select("node", "cycle", F.lit(False).alias("alone")).unionAll(own))
-    for taken in reversed(spliced):
-        # a node that was spliced out between two nodes is in their group if they are in one
+    for taken in reversed(undone):
         groups = cut(groups)
         end = lambda name: groups.select(F.col("node").alias(name), F.col("cycle").alias(f"c{name}"), F.col("alone").alias(f"a{name}"))  # noqa: E731, B023
-        inner = taken.join(end("u"), "u").join(end("w"), "w").filter("cu = cw").select(F.col("v").alias("node"), F.col("cu").alias("cycle"), (F.col("au") & F.col("aw")).alias("alone"))
+        if "w" in taken.columns:
+            # a node that was spliced out between two nodes is in their group if they are in one
+            inner = taken.join(end("u"), "u").join(end("w"), "w").filter("cu = cw").select(F.col("v").alias("node"), F.col("cu").alias("cycle"), (F.col("au") & F.col("aw")).alias("alone"))
+        else:
+            inner = taken.join(end("u"), "u").select(F.col("v").alias("node"), F.col("cu").alias("cycle"), F.col("au").alias("alone"))
         groups = one(groups.unionAll(inner))
-    if not spliced:
+    if not undone:
         return groups.select("node", "cycle")
     groups = cut(groups)
     least = groups.groupBy("cycle").agg(F.min("node").alias("least"))
@@ -293,12 +316,23 @@ def build(edges: DataFrame, kernel_links: int = KERNEL_LINKS) -> tuple[DataFrame
     return cyclic, cut(heavy_paths(forest, kernel_links)), extra
 
 
+def _runs(upto: Column) -> Column:
+    """The runs of a chain down to the place ``upto``."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.floor(upto / CHAIN_RUN)))
+
+
 def path_nodes(paths: DataFrame) -> DataFrame:
-    """(node, path): the nodes from the root to the node, as one array; it has the length of the path."""
-    chains = paths.groupBy("chain").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("chain_nodes"))
+    """(node, path): the nodes from the root to the node, as one array; it has the length of the path.
+
+    Paths are put together from runs of CHAIN_RUN nodes; a run is one row, however many paths lead through it.
+    """
+    run = F.floor(F.col("pos") / CHAIN_RUN)
+    runs = paths.groupBy("chain", run.alias("run")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda x: x["node"]).alias("nodes"))
     parts = paths.select("node", F.posexplode("segments").alias("k", "seg")).select("node", "k", F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("upto"))
-    pieces = parts.join(chains, "chain").select("node", "k", F.slice("chain_nodes", F.lit(1), (F.col("upto") + 1).cast("int")).alias("piece"))
-    return pieces.groupBy("node").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"])).alias("path"))
+    parts = parts.withColumn("run", _runs(F.col("upto")))
+    length = F.least(F.lit(CHAIN_RUN), F.col("upto") - F.col("run") * CHAIN_RUN + 1).cast("int")
+    pieces = parts.join(runs, ["chain", "run"]).select("node", "k", "run", F.slice("nodes", F.lit(1), length).alias("piece"))
+    return pieces.groupBy("node").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "run", "piece"))), lambda x: x["piece"])).alias("path"))
 
 
 def hierarchy(paths: DataFrame) -> DataFrame:
@@ -308,26 +342,64 @@ def hierarchy(paths: DataFrame) -> DataFrame:
     return base.join(path_nodes(paths), "node")
 
 
-def descendants(paths: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """Pairs (node, descendant), also over extra links: as many rows as there are such pairs.
+def _above(paths: DataFrame, below: DataFrame) -> DataFrame:
+    """Pairs (node, descendant) of the rows ``below`` of ``paths`` and all that is above them in the tree, themselves included.
 
-    Below a node of a chain is whatever has a segment on that chain that ends at or behind the node's place.
+    A node meets the runs of the chains on its way, not whole chains; the pairs looked at are the pairs found but for the
+    last run of a segment.
     """
-    below = paths.select(F.col("node").alias("descendant"), F.explode("segments").alias("seg")).select("descendant", F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("upto"))
-    places = paths.select("node", "chain", "pos")
-    pairs = places.join(below, (places["chain"] == below["chain"]) & (places["pos"] <= below["upto"])).select("node", "descendant")
-    tree = pairs.filter("node <> descendant")
-    if extra is None or extra.isEmpty():
-        return tree
-    pairs, extra = cut(pairs), cut(extra)
-    # nodes that are entered over extra links: (ancestor, entry), until no new ones come up
-    up = pairs.join(extra.withColumnRenamed("p", "descendant"), "descendant").select(F.col("node"), F.col("c").alias("entry")).distinct()
-    seen = frontier = cut(up)
+    ways = below.select(F.col("node").alias("descendant"), F.explode("segments").alias("seg")).select("descendant", F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("upto"))
+    ways = ways.withColumn("run", _runs(F.col("upto")))
+    places = paths.select("node", "chain", "pos", F.floor(F.col("pos") / CHAIN_RUN).alias("run"))
+    return places.join(ways, ["chain", "run"]).filter("pos <= upto").select("node", "descendant")
+
+
+def entries(paths: DataFrame, extra: DataFrame) -> DataFrame:
+    """Pairs (node, entry): where the ways down from a node leave the tree over extra links (p, c), to any number of them."""
+    ends = extra.select(F.col("p").alias("node")).distinct()
+    above = _above(paths, paths.join(ends, "node", "left_semi"))
+    up = cut(above.join(extra.withColumnRenamed("p", "descendant"), "descendant").select(F.col("node"), F.col("c").alias("entry")).distinct())
+    seen = frontier = up
     while True:
         more = frontier.join(up.select(F.col("node").alias("entry"), F.col("entry").alias("next")), "entry").select("node", F.col("next").alias("entry")).distinct()
         frontier = cut(more.join(seen, ["node", "entry"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionAll(frontier))
-    over = seen.join(pairs.withColumnRenamed("node", "entry"), "entry").select("node", "descendant")
+
+
+def descendants(paths: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+    """Pairs (node, descendant), also over extra links: as many rows as there are such pairs."""
+    pairs = _above(paths, paths)
+    tree = pairs.filter("node <> descendant")
+    if extra is None or extra.isEmpty():
+        return tree
+    pairs, extra = cut(pairs), cut(extra)
+    over = entries(paths, extra).join(pairs.withColumnRenamed("node", "entry"), "entry").select("node", "descendant")
     return tree.unionAll(over).distinct()
+
+
+def rolled_up(own: DataFrame, key: str, paths: DataFrame, extra: DataFrame, aggregates: dict[str, str]) -> DataFrame:
+    """``own`` (key, columns) with each column over the node and all below it, by ``min`` or ``max`` (aggregates: column to which).
+
+    No pair of a node and a descendant is made: what lies below each place of a chain is folded first (a node counts once on
+    each chain of its way), then the places of a run, then the runs of a chain. Extra links add the folded values of where
+    they lead. Nulls count for nothing; rows that are no node of the forest keep their values.
+    """
+    fold = lambda df, *by: df.groupBy(*by).agg(*[getattr(F, how)(c).alias(c) for c, how in aggregates.items()])
+    columns = list(aggregates)
+    way = paths.select(F.col("node").alias(key), F.explode("segments").alias("seg")).select(key, F.col("seg.chain").alias("chain"), F.col("seg.upto").alias("pos"))
+    places = fold(own.join(way, key), "chain", "pos").withColumn("run", F.floor(F.col("pos") / CHAIN_RUN))
+    places = cut(places)
+    behind = W.partitionBy("chain").orderBy(F.desc("run")).rowsBetween(W.unboundedPreceding, -1)
+    runs = fold(places, "chain", "run").select("chain", "run", *[getattr(F, how)(c).over(behind).alias(f"__{c}") for c, how in aggregates.items()])
+    inside = W.partitionBy("chain", "run").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
+    pick = {"min": F.least, "max": F.greatest}
+    every = paths.select(F.col("node").alias(key), "chain", "pos").join(places.drop("run"), ["chain", "pos"], "left").withColumn("run", F.floor(F.col("pos") / CHAIN_RUN))
+    local = every.select(key, "chain", "run", *[getattr(F, how)(c).over(inside).alias(c) for c, how in aggregates.items()])
+    tree = local.join(runs, ["chain", "run"], "left").select(key, *[pick[how](F.col(c), F.col(f"__{c}")).alias(c) for c, how in aggregates.items()])
+    if not extra.isEmpty():
+        tree = cut(tree)
+        over = entries(paths, extra).join(tree.withColumnRenamed(key, "entry"), "entry").select(F.col("node").alias(key), *columns)
+        tree = tree.unionAll(over)
+    return fold(own.select(key, *columns).unionAll(tree.join(own.select(key), key, "left_semi")), key)

@@ -21,12 +21,6 @@ def merge_extents(prefix: str = "") -> list[Column]:
     return [(F.min if c.startswith("min") else F.max)(prefix + c).alias(c) for c in CORNERS]
 
 
-def rolled_up(own: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """Extent of each node with all below it: own (key, CORNERS) and pairs (node, descendant); null corners count for nothing."""
-    below = pairs.join(own.withColumnRenamed(key, "descendant"), "descendant").select(F.col("node").alias(key), *CORNERS)
-    return own.select(key, *CORNERS).unionAll(below).groupBy(key).agg(*merge_extents())
-
-
 def histogram(df: DataFrame, column: str, values: list, out: str = "n") -> DataFrame:
     """Counts of ``values`` in a column, zeros included."""
     every = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} {dict(df.dtypes)[column]}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.functions import crs, geometry, text
 from urbanloom.operators import filters, relations, rollups, spatial, validation
-from urbanloom.operators.hierarchy import build, descendants, links
+from urbanloom.operators.hierarchy import build, links, rolled_up
 from urbanloom.plans.query import Query
 from urbanloom.session import cut, table
 
@@ -261,7 +261,7 @@ def _(t):
     contains = t("property").filter("val_relation_type = 1")
     _, paths, extra = build(links(contains, "feature_id", "val_feature_id"))
     own = t("feature").select("id", *[LOW[k].alias(f"min_{k}") for k in "xyz"], *[HIGH[k].alias(f"max_{k}") for k in "xyz"])
-    return rollups.rolled_up(own, descendants(paths, extra), "id")
+    return rolled_up(own, "id", paths, extra, {c: c[:3] for c in rollups.CORNERS})
 
 
 SQL["extent_rollup"] = f"""WITH RECURSIVE e AS (SELECT DISTINCT feature_id AS p, val_feature_id AS c FROM property WHERE val_relation_type = 1), r(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM r JOIN e ON r.b = e.p),
