@@ -17,6 +17,7 @@ CASES = [
     ("2018-01-08 06:16:25", "dmy", "2018-01-08T05:16:25"), ("07/02/2013 12:58 PM", "mdy", "2013-07-02T10:58:00"), ("07/02/2013 12:58 AM", "dmy", "2013-02-06T23:58:00"), ("2014-06-01", "dmy", "2014-05-31T22:00:00"),
     ("1412557553", "dmy", "2014-10-06T01:05:53"), ("1412557553123", "dmy", "2014-10-06T01:05:53.123"), ("1412557553123456", "dmy", "2014-10-06T01:05:53.123456"), ("2016-01-20 06:13:07 EST", "dmy", "2016-01-20T11:13:07"),
     ("May 20, 2012 10:31", "mdy", "2012-05-20T08:31:00"), ("20170717", "dmy", "2017-07-16T22:00:00"), ("20150417T095202Z", "dmy", "2015-04-17T09:52:02"), ("10. März 2018, 13:50 Uhr", "dmy", "2018-03-10T12:50:00"),
+    ("2020-W53-1", "dmy", "2020-12-27T23:00:00"), ("2015-W53-7", "dmy", "2016-01-02T23:00:00"), ("2021-W53-1", "dmy", None), ("2019-W53", "dmy", None), ("2021-W52-7", "dmy", "2022-01-01T23:00:00"),
     ("Sat, 21 Feb 2015 17:49:35 +0100", "dmy", "2015-02-21T16:49:35"), ("2015-058T00:34:20Z", "dmy", "2015-02-27T00:34:20"), ("2015-03-25T22:29:59.000000773Z", "dmy", "2015-03-25T22:29:59"),
     ("2012-08-18T10:10:27+02:00[Europe/Berlin]", "dmy", "2012-08-18T08:10:27"), ("2012-08-18T10:10:27[Asia/Kolkata]", "dmy", "2012-08-18T04:40:27"), ("24.04.2015 05:54", "dmy", "2015-04-24T03:54:00"),
     ("2020-W53-5", "dmy", "2020-12-31T23:00:00"), ("2016-02-29T24:00:00Z", "dmy", "2016-03-01T00:00:00"), ("2021-10-31 02:30:00", "dmy", "2021-10-31T00:30:00"), ("2021-03-28 02:30:00", "dmy", "2021-03-28T01:30:00"),

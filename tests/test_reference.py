@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tests.conftest import rows
 from urbanloom.functions import geometry, text
-from urbanloom.operators import filters, relations, rollups, spatial
+from urbanloom.functions import crs
+from urbanloom.operators import deletion, filters, relations, rollups, spatial
 
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["p1_found", "p1_hierarchy", "p7_found", "type_histogram", "bbox_intersects_keep_missing", "type_filter_closure", "lod_mode_and", "validity_between", "cql2_filter", "code_validity", "touching_pairs", "nearest_three", "watertight", "regular_grids", "snapshot_changes", "crs_names", "findings"]
@@ -36,7 +37,7 @@ def test_deletion_by_brute_force(spark):
     contains = spark.createDataFrame(links, "p long, c long")
     start = spark.createDataFrame([(1,), (10,)], "node long")
     # 3 stays, as 9 holds it, and 6 with it; 4 and 5 only hold each other; both holders of 8 go
-    assert rows(relations.deletable(contains, start)) == [(1,), (10,), (2,), (4,), (5,), (8,)]
+    assert rows(deletion.deletable(contains, start)) == [(1,), (10,), (2,), (4,), (5,), (8,)]
 
 
 def test_filters():
@@ -83,3 +84,37 @@ def test_empty_tables(spark):
     assert spatial.touching_pairs(empty, "k", "b").count() == spatial.nearest(empty, empty, "k", "b").count() == 0
     assert rollups.open_edges(spark.createDataFrame([], f"s long, ring {geometry.POINTS}"), "s", "ring").count() == 0
     assert relations.reached(spark.createDataFrame([], "p long, c long"), spark.createDataFrame([(1,)], "node long")).count() == 1
+
+
+def test_full_deletion(spark):
+    """Feature 1 goes with 2, its geometry, its appearance and what only that used; 3 is held by 9, template 60 by 9's property."""
+    df = spark.createDataFrame
+    tables = {
+        "feature": df([(1,), (2,), (3,), (9,)], "id long"),
+        "property": df(
+            [(10, 1, None, "a", 0, 2, 1, None, None, None, None), (11, 1, None, "a", 0, 3, 1, None, None, None, None), (12, 9, None, "a", 0, 3, 1, None, None, None, None), (13, 2, None, "g", 0, None, None, 50, None, None, None),
+             (14, 2, None, "i", 0, None, None, None, 60, None, None), (15, 9, None, "i", 0, None, None, None, 60, None, None), (16, 1, None, "i", 0, None, None, None, 61, None, None), (17, 1, None, "l", 0, None, None, None, None, 70, None),
+             (18, 9, None, "r", 0, None, None, None, None, None, None), (19, 9, 18, "r", 0, 1, 0, None, None, None, None), (20, 9, 18, "s", 0, None, None, None, None, None, 80), (21, 9, None, "s", 0, None, None, None, None, None, 81), (22, 1, None, "s", 0, None, None, None, None, None, 81)],
+            "id long, feature_id long, parent_id long, name string, namespace_id int, val_feature_id long, val_relation_type int, val_geometry_id long, val_implicitgeom_id long, val_appearance_id long, val_address_id long",
+        ),
+        "address": df([(80,), (81,)], "id long"), "geometry_data": df([(50, 2), (51, 1), (52, 9), (53, None)], "id long, feature_id long"), "implicit_geometry": df([(60, 52), (61, 53)], "id long, relative_geometry_id long"),
+        "appearance": df([(70, 1, None), (71, None, 61), (72, 9, None)], "id long, feature_id long, implicit_geometry_id long"), "appear_to_surface_data": df([(70, 90), (70, 91), (71, 92), (72, 91)], "appearance_id long, surface_data_id long"),
+        "surface_data": df([(90, 100), (91, 101), (92, 101)], "id long, tex_image_id long"), "tex_image": df([(100,), (101,)], "id long"),
+    }
+    left = {name: rows(t) for name, t in deletion.delete_features(tables, df([(1,)], "node long")).items()}
+    assert left["feature"] == [(3,), (9,)] and [r[0] for r in left["property"]] == [12, 15, 21] and left["address"] == [(81,)]
+    assert left["geometry_data"] == [(51, None), (52, 9)] and left["implicit_geometry"] == [(60, 52)] and [r[0] for r in left["appearance"]] == [72]
+    assert left["appear_to_surface_data"] == [(72, 91)] and left["surface_data"] == [(91, 101)] and left["tex_image"] == [(101,)]
+    empty = {name: t.limit(0) for name, t in tables.items()}
+    assert all(t.count() == 0 for t in deletion.delete_features(empty, df([], "node long")).values())
+
+
+def test_crs_names(spark):
+    cases = {
+        "URN:ADV:CRS:ETRS89_UTM32*DE_DHHN2016_NH": ("EPSG:25832", "7837"), "urn:adv:crs:etrs89_utm33*de_dhhn92_nh": ("EPSG:25833+5783", "5783"), "EPSG 25832": ("EPSG:25832", ""), " EPSG:4979 ": ("EPSG:4979", ""),
+        "urn:adv:crs:DE_DHDN_3GK5*DE_DHN92_NH": ("EPSG:31469+5783", "5783"), "x urn:adv:crs:ETRS89_UTM31 y": ("EPSG:25831", ""), "": ("Unknown CRS", ""), None: ("Unknown CRS", ""), "invalid": ("Unknown CRS", ""),
+        "urn:ogc:def:crs,crs:EPSG:6.12:31466,crs:EPSG:6.12:5783": ("EPSG:31466+5783", "5783"), "epsg_code=25833": ("EPSG:25833", ""),
+    }
+    df = spark.createDataFrame([(n,) for n in cases], "n string")
+    got = df.select("n", crs.normal_crs(F.col("n")), crs.height_code(F.col("n"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases

@@ -132,9 +132,12 @@ def with_instant(df: DataFrame, text: str, out: str, zone: Column | None = None,
     jan1 = F.col(v + "2")
     # ISO week 1 holds 4 January; Monday is 0 in (days + 3) % 7
     week1 = jan1 + 3 - F.pmod(jan1 + 6, F.lit(7))
+    # a year has a week 53 if it starts on a Thursday, or on a Wednesday and is a leap year
+    first = F.pmod(jan1 + 3, F.lit(7))
+    weeks = F.when((first == 3) | (leap & (first == 2)), 53).otherwise(52)
     day = (
         F.when(c("doy").isNotNull(), F.when(c("doy").between(1, F.when(leap, 366).otherwise(365)), jan1 + c("doy") - 1))
-        .when(c("wk").isNotNull(), F.when(c("wk").between(1, 53), week1 + (c("wk") - 1) * 7 + c("wd") - 1))
+        .when(c("wk").isNotNull(), F.when(c("wk").between(1, weeks), week1 + (c("wk") - 1) * 7 + c("wd") - 1))
         .otherwise(jan1)
     )
     hour = F.when(c("ap").isNull(), c("h")).when(c("h").between(1, 12), c("h") % 12 + c("ap"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import difflib
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -107,7 +107,8 @@ def field_changes(members: DataFrame, files: DataFrame, file_id: str = "file_id"
     new = both.filter(F.col("is_old").isNull()).select("file_id", F.col("field").alias("new_field"), "new_kind")
     pairs = cut(gone.join(new, "file_id").select("file_id", "prev_id", "old_field", "new_field", "old_kind", "new_kind"))
     # the exact check: values of the candidates' fields on all members that both files hold
-    values = fields.filter(F.col("text").isNotNull() & F.col("gml_id").isNotNull()).groupBy("file_id", "gml_id", "field").agg(F.min_by("text", F.struct("pos", "text")).alias("text"))
+    asked = pairs.select(F.col("prev_id").alias("file_id"), F.col("old_field").alias("field")).unionAll(pairs.select("file_id", F.col("new_field").alias("field"))).distinct()
+    values = fields.join(small(asked), ["file_id", "field"], "left_semi").filter(F.col("text").isNotNull() & F.col("gml_id").isNotNull()).groupBy("file_id", "gml_id", "field").agg(F.min_by("text", F.struct("pos", "text")).alias("text"))
     # a file may hold a third of all members: its values don't move for the join if the candidates fit a broadcast
     pairs = small(pairs)
     old = pairs.join(values.select(F.col("file_id").alias("prev_id"), F.col("field").alias("old_field"), "gml_id", F.col("text").alias("old_text")), ["prev_id", "old_field"])
@@ -143,9 +144,10 @@ def _top_changes(before: DataFrame, tops: DataFrame, out) -> DataFrame:
 
 
 def canonical_names(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """(file_id, field, canonical) for every field that was renamed: the name under which its series first had it.
+    """(file_id, field, canonical) for every field whose name isn't its canonical one: that under which its series first had it.
 
-    Follows the renames of a series through its files in order; the work per series is its report, not its rows.
+    Follows the renames of a series through its files in order; the work per series is its report, not its rows. A new field
+    that bears the canonical name of another one that is still there gets a number behind its name.
     """
     order = files.dropna(subset=["file_id", "series_code", "delivery_no"]).dropDuplicates(["file_id"]).select("file_id", "series_code", "delivery_no")
     steps = order.join(changes.filter(F.col("change_kind") != "type_changed"), "file_id", "left")
@@ -154,17 +156,61 @@ def canonical_names(changes: DataFrame, files: DataFrame) -> DataFrame:
         names: dict[str, str] = {}
         rows = []
         for (_, file_id), step in pdf.sort_values(["delivery_no", "file_id"]).groupby(["delivery_no", "file_id"], sort=True):
-            ended = {a for k, a in zip(step["change_kind"], step["old_field"], strict=True) if k in ("removed", "renamed")}
-            came = {b: names.get(a, a) for k, a, b in zip(step["change_kind"], step["old_field"], step["new_field"], strict=True) if k == "renamed"}
+            told = list(zip(step["change_kind"], step["old_field"], step["new_field"], strict=True))
+            ended = {a for k, a, _ in told if k in ("removed", "renamed")}
+            came = {b: names.get(a, a) for k, a, b in told if k == "renamed"}
             names = {f: c for f, c in names.items() if f not in ended} | came
-            rows += [(file_id, f, c) for f, c in names.items()]
+            taken = set(names.values())
+            for b in sorted(b for k, _, b in told if k == "added"):
+                if b in taken:
+                    names[b] = next(c for n in range(2, len(taken) + 3) if (c := f"{b}~{n}") not in taken)
+                    taken.add(names[b])
+            rows += [(file_id, f, c) for f, c in names.items() if f != c]
         return pd.DataFrame(rows, columns=["file_id", "field", "canonical"]).astype({"file_id": "int64", "field": object, "canonical": object})
 
     return steps.groupBy("series_code").applyInPandas(follow, "file_id long, field string, canonical string")
 
 
 def unified_members(members: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
-    """One consistent table of all readable members: file_id, gml_id, field (its first name in the series), kind, text."""
+    """All fields of all readable members: file_id, pos, gml_id, top, field (its first name in the series), kind, text."""
     fields = member_fields(members, "file_id", "pos", "body").filter(F.col("field").isNotNull())
-    names = canonical_names(changes, files)
-    return fields.join(names, ["file_id", "field"], "left").select("file_id", "pos", "gml_id", F.coalesce("canonical", "field").alias("field"), "kind", "text")
+    names = small(canonical_names(changes, files))
+    return fields.join(names, ["file_id", "field"], "left").select("file_id", "pos", "gml_id", "top", F.coalesce("canonical", "field").alias("field"), "kind", "text")
+
+
+#: Type of a column by the commonest JSON type of its field; arrays and objects stay JSON text.
+COLUMN_TYPES = {"number": "double", "boolean": "boolean"}
+
+
+def column_types(unified: DataFrame) -> dict[str, str]:
+    """Type of each canonical field: that of its commonest JSON type (of equally common ones the first by name)."""
+    counts = unified.filter(F.col("kind").isNotNull()).groupBy("field", "kind").agg(F.count("*").alias("n"))
+    best = counts.groupBy("field").agg(F.min_by("kind", F.struct(-F.col("n"), F.col("kind"))).alias("kind")).orderBy("field").collect()  # one row a field
+    return {r["field"]: COLUMN_TYPES.get(r["kind"], "string") for r in best}
+
+
+def unified_table(members: DataFrame, files: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(table, misfits) of all members.
+
+    table: file_id, pos, readable, top, and a column for each canonical field in one type for all files (null where a member
+    doesn't have it); a member whose body can't be read has readable false. misfits: file_id, pos, field, kind and text of
+    the values that don't fit their column's type; they are null in the table. No shuffle: a member's fields are renamed in
+    place, by a small map for its file.
+    """
+    types = column_types(unified_members(members, files, changes))
+    names = canonical_names(changes, files).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "field"))).alias("__field_of"), F.collect_set("field").alias("__renamed"))
+    parsed = members.select("file_id", "pos", F.map_entries(F.from_json("body", "map<string,string>")).alias("__tops"))
+    first = F.get("__tops", F.lit(0))
+    texts = parsed.select("file_id", "pos", F.coalesce(F.size("__tops") > 0, F.lit(False)).alias("readable"), first["key"].alias("top"), F.from_json(first["value"], "map<string,string>").alias("__texts")).join(small(names), "file_id", "left")
+
+    def value(field: str) -> Column:
+        own = F.when(~F.coalesce(F.array_contains("__renamed", field), F.lit(False)), F.try_element_at("__texts", F.lit(field)))
+        return F.coalesce(F.try_element_at("__texts", F.try_element_at("__field_of", F.lit(field))), own)
+
+    fit = {"string": lambda v: v, "double": lambda v: v.try_cast("double"), "boolean": lambda v: F.when(v == "true", True).when(v == "false", False)}
+    typed = {f: fit[t](value(f)) for f, t in types.items()}
+    table = texts.select("file_id", "pos", "readable", "top", *[c.alias(f if f not in ("file_id", "pos", "readable", "top") else f"{f}~") for f, c in typed.items()])
+    bad = [F.when(value(f).isNotNull() & typed[f].isNull(), F.struct(F.lit(f).alias("field"), F.lit(t).alias("type"), value(f).alias("text"))) for f, t in types.items() if t != "string"]
+    none = F.array().cast("array<struct<field:string,type:string,text:string>>")
+    misfits = texts.select("file_id", "pos", F.explode(F.array_compact(F.array(*bad)) if bad else none).alias("m")).select("file_id", "pos", "m.*")
+    return table, misfits

@@ -1,4 +1,4 @@
-"""References between objects, closures along them, and changes that follow them."""
+"""References between objects, closures along them, and changes between states of a table."""
 
 from __future__ import annotations
 
@@ -38,58 +38,7 @@ def reached(links: DataFrame, start: DataFrame) -> DataFrame:
         frontier = cut(links.join(frontier.select(F.col("node").alias("p")), "p").select(F.col("c").alias("node")).distinct().join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = seen.unionAll(frontier)
-
-
-def deletable(contains: DataFrame, start: DataFrame) -> DataFrame:
-    """Nodes that go with ``start`` (node): all it contains, but what something that stays contains as well.
-
-    contains: links (p, c). A group of nodes that only contain each other goes when all that leads to it goes.
-    """
-    contains = cut(contains.select("p", "c").dropna().distinct())
-    first = cut(start.select("node").dropna().distinct())
-    gone = reached(contains, first)
-    while True:
-        gone = cut(gone)
-        inner = contains.join(gone.select(F.col("node").alias("c")), "c", "left_semi")
-        held = inner.join(gone.select(F.col("node").alias("p")), "p", "left_anti").select(F.col("c").alias("node")).distinct().join(first, "node", "left_anti")
-        held = cut(held)
-        if held.isEmpty():
-            return gone
-        gone = gone.join(reached_within(contains, held, gone), "node", "left_anti").unionAll(first).distinct()
-
-
-def reached_within(links: DataFrame, start: DataFrame, within: DataFrame) -> DataFrame:
-    """Nodes of ``within`` that can be reached from ``start`` inside it."""
-    inner = links.join(within.select(F.col("node").alias("p")), "p", "left_semi").join(within.select(F.col("node").alias("c")), "c", "left_semi")
-    return reached(inner.select("p", "c"), start)
-
-
-def delete_features(feature: DataFrame, prop: DataFrame, address: DataFrame, ids: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the features ``ids`` (node) and what goes with them.
-
-    Contained features go unless something that stays contains them; their properties go, and so do properties that refer
-    to a feature that went, with the properties below them; addresses go that only properties that went refer to.
-    """
-    contains = prop.filter(F.col("val_relation_type") == 1).select(F.col("feature_id").alias("p"), F.col("val_feature_id").alias("c"))
-    gone = deletable(contains, ids)
-    hit = prop.join(gone.select(F.col("node").alias("feature_id")), "feature_id", "left_semi").select(F.col("id").alias("node")).unionAll(
-        prop.join(gone.select(F.col("node").alias("val_feature_id")), "val_feature_id", "left_semi").select(F.col("id").alias("node"))
-    )
-    rows = cut(reached(prop.select(F.col("parent_id").alias("p"), F.col("id").alias("c")), hit))
-    left = prop.join(rows.select(F.col("node").alias("id")), "id", "left_anti")
-    lost = prop.join(rows.select(F.col("node").alias("id")), "id", "left_semi").select(F.col("val_address_id").alias("id")).dropna().distinct()
-    lost = lost.join(left.select(F.col("val_address_id").alias("id")).dropna().distinct(), "id", "left_anti")
-    return {"feature": feature.join(gone.select(F.col("node").alias("id")), "id", "left_anti"), "property": left, "address": address.join(lost, "id", "left_anti")}
-
-
-def terminate_features(feature: DataFrame, prop: DataFrame, ids: DataFrame, at: Column, by: str, cascade: bool = True) -> DataFrame:
-    """``feature`` with the features ``ids`` ended at ``at``, and with cascade what they contain unless something live contains it, too; what is ended already stays as it is."""
-    contains = prop.filter(F.col("val_relation_type") == 1).select(F.col("feature_id").alias("p"), F.col("val_feature_id").alias("c"))
-    gone = deletable(contains, ids) if cascade else ids.select("node").dropna().distinct()
-    marked = feature.join(gone.select(F.col("node").alias("id"), F.lit(True).alias("__gone")), "id", "left")
-    now = F.col("__gone") & F.col("termination_date").isNull()
-    return marked.withColumn("updating_person", F.when(now, by).otherwise(F.col("updating_person"))).withColumn("termination_date", F.when(now, at).otherwise(F.col("termination_date"))).drop("__gone")
+        seen = cut(seen.unionAll(frontier))
 
 
 def snapshot_changes(before: DataFrame, after: DataFrame, key: str, modified: str, ended: str) -> DataFrame:

@@ -47,4 +47,14 @@ def p4_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_properties": p4_properties, "p4_features": p4_features}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # a string that is the JSON text of an object or array is opened on the way; own is the id of the nearest object with one
+    "p4_found": r"""WITH RECURSIVE o AS (SELECT DISTINCT body FROM feature_record WHERE json_valid(body)),
+r(v, own) AS (SELECT CAST(body AS JSON), CAST(NULL AS VARCHAR) FROM o WHERE json_type(body) IN ('OBJECT', 'ARRAY')
+ UNION ALL SELECT CASE WHEN json_type(k.value) = 'VARCHAR' THEN CAST(k.value ->> '$' AS JSON) ELSE k.value END,
+  CASE WHEN json_type(r.v) = 'OBJECT' AND json_exists(r.v, '$.id') THEN r.v ->> '$.id' ELSE r.own END
+ FROM r, LATERAL (SELECT value FROM json_each(r.v)) k
+ WHERE json_type(k.value) IN ('OBJECT', 'ARRAY') OR (json_type(k.value) = 'VARCHAR' AND regexp_matches(k.value ->> '$', '^\s*[{\[]') AND json_valid(k.value ->> '$')))
+SELECT DISTINCT feature_id, val_feature_id FROM (SELECT TRY_CAST(own AS BIGINT) AS feature_id, TRY_CAST(v ->> '$.id' AS BIGINT) AS val_feature_id FROM r WHERE json_type(v) = 'OBJECT' AND json_exists(v, '$.id'))
+WHERE feature_id IS NOT NULL AND val_feature_id IS NOT NULL""",
+}

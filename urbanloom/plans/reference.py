@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.functions import crs, geometry, text
-from urbanloom.operators import filters, relations, rollups, spatial, validation
+from urbanloom.operators import deletion, filters, relations, rollups, spatial, validation
 from urbanloom.operators.hierarchy import build, links, rolled_up
 from urbanloom.plans.query import Query
-from urbanloom.session import cut, table
+from urbanloom.session import small, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,7 +63,7 @@ def _(t):
 
 @query("type_histogram", "SELECT classname, count(*) AS n FROM feature JOIN objectclass o ON o.id = objectclass_id GROUP BY classname")
 def _(t):
-    return t("feature").groupBy("objectclass_id").agg(F.count("*").alias("n")).join(F.broadcast(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id").groupBy("classname").agg(F.sum("n").alias("n"))
+    return t("feature").groupBy("objectclass_id").agg(F.count("*").alias("n")).join(small(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id").groupBy("classname").agg(F.sum("n").alias("n"))
 
 
 @query("lod_histogram", "SELECT l AS val_lod, (SELECT count(*) FROM property WHERE val_lod = l) AS n FROM (SELECT unnest(['0', '1', '2', '3', '4']) AS l)")
@@ -78,7 +78,7 @@ def _(t):
 
 @query("import_estimate", "SELECT classname, n, CAST(greatest(50.0, round_even(n * 0.5, 1)) AS DOUBLE) AS mb FROM (SELECT classname, count(*) AS n FROM feature JOIN objectclass o ON o.id = objectclass_id GROUP BY classname)")
 def _(t):
-    return t("feature").join(F.broadcast(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id").groupBy("classname").agg(F.count("*").alias("n")).withColumn("mb", F.greatest(F.lit(50.0), F.bround(F.col("n") * F.lit(0.5), 1)).cast("double"))
+    return t("feature").join(small(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id").groupBy("classname").agg(F.count("*").alias("n")).withColumn("mb", F.greatest(F.lit(50.0), F.bround(F.col("n") * F.lit(0.5), 1)).cast("double"))
 
 
 # filters
@@ -311,7 +311,7 @@ def _(t):
     a = (HIGH["x"] - LOW["x"]) * (HIGH["y"] - LOW["y"])
     sized = t("feature").filter("envelope is not null").select("id", "objectclass_id", a.alias("a"))
     mean = sized.groupBy("objectclass_id").agg(F.avg("a").alias("mean"))  # one row per class: no window over a hot class
-    return sized.join(F.broadcast(mean), "objectclass_id").select("id", F.when(F.col("a") > 0.8 * F.col("mean"), "TrafficArea").otherwise("AuxiliaryTrafficArea").alias("kind"))
+    return sized.join(small(mean), "objectclass_id").select("id", F.when(F.col("a") > 0.8 * F.col("mean"), "TrafficArea").otherwise("AuxiliaryTrafficArea").alias("kind"))
 
 
 @query("regular_grids", "WITH p AS (SELECT objectclass_id, envelope[1].x AS x, round_even(envelope[1].y / 5000, 0) AS y FROM feature WHERE envelope IS NOT NULL), r AS (SELECT objectclass_id, y, count(*) AS n FROM p GROUP BY ALL) SELECT objectclass_id, count(*) AS n_rows, min(n) = max(n) AS regular FROM r GROUP BY objectclass_id")
@@ -330,7 +330,7 @@ def _(t):
 
 @query("model_report", "SELECT classname, CAST(ended AS INTEGER) AS ended, count(*) AS n FROM (SELECT classname, termination_date IS NOT NULL AS ended FROM feature JOIN objectclass o ON o.id = objectclass_id) GROUP BY ROLLUP (classname, ended)")
 def _(t):
-    named = t("feature").join(F.broadcast(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id")
+    named = t("feature").join(small(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id")
     return named.withColumn("ended", F.col("termination_date").isNotNull().cast("int")).rollup("classname", "ended").agg(F.count("*").alias("n"))
 
 
@@ -372,13 +372,38 @@ def _ended(t) -> DataFrame:
     return t("feature").filter("termination_date is not null").select(F.col("id").alias("node"))
 
 
-@query("delete_features")
+_CONTAINS = "SELECT DISTINCT feature_id AS p, val_feature_id AS c FROM property WHERE val_relation_type = 1 AND feature_id IS NOT NULL AND val_feature_id IS NOT NULL"
+
+
+@query("delete_features", f"""WITH RECURSIVE e AS ({_CONTAINS}), f AS (SELECT id AS n FROM feature WHERE termination_date IS NOT NULL),
+r(n) AS (SELECT n FROM f UNION SELECT e.c FROM r JOIN e ON e.p = r.n), i AS (SELECT n FROM r WHERE n NOT IN (SELECT n FROM f)),
+s(n) AS (SELECT c FROM e WHERE c IN (SELECT n FROM i) AND p NOT IN (SELECT n FROM r) UNION SELECT e.c FROM s JOIN e ON e.p = s.n WHERE e.c IN (SELECT n FROM i)),
+gone AS (SELECT n FROM r WHERE n NOT IN (SELECT n FROM s)),
+up(id, parent_id, name, namespace_id) AS (SELECT id, parent_id, name, namespace_id FROM property WHERE val_feature_id IN (SELECT n FROM gone)
+ UNION SELECT p.id, p.parent_id, p.name, p.namespace_id FROM up c JOIN property p ON p.id = c.parent_id AND p.name = c.name AND p.namespace_id = c.namespace_id),
+x(id) AS (SELECT id FROM property WHERE feature_id IN (SELECT n FROM gone) UNION SELECT id FROM up UNION SELECT p.id FROM x JOIN property p ON p.parent_id = x.id),
+l AS (SELECT * FROM property WHERE id NOT IN (SELECT id FROM x)),
+a AS (SELECT val_address_id AS id FROM property WHERE id IN (SELECT id FROM x) AND val_address_id IS NOT NULL AND val_address_id NOT IN (SELECT val_address_id FROM l WHERE val_address_id IS NOT NULL))
+SELECT 'feature' AS tab, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM feature WHERE id NOT IN (SELECT n FROM gone)
+UNION ALL SELECT 'property', count(*), CAST(sum(id) AS BIGINT) FROM l UNION ALL SELECT 'address', count(*), CAST(sum(id) AS BIGINT) FROM address WHERE id NOT IN (SELECT id FROM a)""")
 def _(t):
-    left = relations.delete_features(t("feature"), t("property"), t("address"), _ended(t))
+    left = deletion.delete_features({name: t(name) for name in ("feature", "property", "address")}, _ended(t))
     rows = [df.agg(F.count("*").alias("n"), F.sum("id").alias("id_sum")).select(F.lit(name).alias("tab"), "n", "id_sum") for name, df in left.items()]
     return rows[0].unionAll(rows[1]).unionAll(rows[2])
 
 
+_KINDS = "objectclass_id IN (68, 82, 96)"
+_ENDING = ", ".join(f"t{k + 1} AS MATERIALIZED (SELECT n FROM t{k} UNION SELECT e.c FROM e JOIN t{k} ON t{k}.n = e.p WHERE e.c IN (SELECT id FROM feature) AND NOT EXISTS (SELECT 1 FROM e h JOIN feature g ON g.id = h.p WHERE h.c = e.c AND g.termination_date IS NULL AND h.p NOT IN (SELECT n FROM t{k})))" for k in range(150))
+
+
+@query("terminate_cascade", f"""WITH e AS MATERIALIZED ({_CONTAINS}), t0 AS MATERIALIZED (SELECT id AS n FROM feature WHERE {_KINDS}), {_ENDING}
+SELECT id, CASE WHEN id IN (SELECT n FROM t150) AND termination_date IS NULL THEN TIMESTAMP '2024-01-01' ELSE CAST(termination_date AS TIMESTAMP) END AS termination_date FROM feature""")
+def _(t):
+    ids = t("feature").filter(_KINDS).select(F.col("id").alias("node"))
+    done = deletion.terminate_features(t("feature"), t("property"), ids, F.lit("2024-01-01 00:00:00").cast("timestamp"), "nobody")
+    return done.select("id", F.col("termination_date").cast("timestamp_ntz").alias("termination_date"))
+
+
 @query("delete_property_tree", "WITH RECURSIVE r AS (SELECT id FROM property WHERE name = 'height' UNION SELECT p.id FROM property p JOIN r ON p.parent_id = r.id) SELECT id FROM property WHERE id NOT IN (SELECT id FROM r)")
 def _(t):
     p = t("property")
@@ -389,7 +414,7 @@ def _(t):
 @query("terminate_features", "SELECT id, CASE WHEN objectclass_id = 180 AND termination_date IS NULL THEN TIMESTAMP '2024-01-01' ELSE CAST(termination_date AS TIMESTAMP) END AS termination_date FROM feature")
 def _(t):
     ids = t("feature").filter("objectclass_id = 180").select(F.col("id").alias("node"))
-    done = relations.terminate_features(t("feature"), t("property"), ids, F.lit("2024-01-01 00:00:00").cast("timestamp"), "nobody", cascade=False)
+    done = deletion.terminate_features(t("feature"), t("property"), ids, F.lit("2024-01-01 00:00:00").cast("timestamp"), "nobody", cascade=False)
     return done.select("id", F.col("termination_date").cast("timestamp_ntz").alias("termination_date"))
 
 
@@ -419,21 +444,25 @@ for _mode, _sql in {
 # scalars
 
 
-_NAMES = [
-    "EPSG:25832", "epsg:4326", "urn:ogc:def:crs:EPSG::25832", "urn:x-ogc:def:crs:EPSG:6.18.3:4326", "http://www.opengis.net/gml/srs/epsg.xml#3857", "http://www.opengis.net/def/crs/EPSG/0/4258",
-    "urn:ogc:def:crs,crs:EPSG::25832,crs:EPSG::5783", "urn:ogc:def:crs,crs:EPSG:6.12:31466,crs:EPSG:6.12:5783", "urn:adv:crs:ETRS89_UTM32*DE_DHHN92_NH", "urn:adv:crs:ETRS89_UTM33*DE_DHHN2016_NH",
-    "urn:adv:crs:ETRS89_UTM32", "urn:adv:crs:DE_DHDN_3GK3*DE_DHN92_NH", "", "invalid_crs_string",
-]
-_WANTED = [
-    ("EPSG:25832", ""), ("EPSG:4326", ""), ("EPSG:25832", ""), ("EPSG:4326", ""), ("EPSG:3857", ""), ("EPSG:4258", ""), ("EPSG:25832+5783", "5783"), ("EPSG:31466+5783", "5783"),
-    ("EPSG:25832+5783", "5783"), ("EPSG:25833", "7837"), ("EPSG:25832", ""), ("EPSG:31467+5783", "5783"), ("Unknown CRS", ""), ("Unknown CRS", ""),
+#: Ways to write the name of a system with code {h} and height {v}.
+_NOTATIONS = [
+    "EPSG:{h}", "epsg:{h}", "EPSG {h}", "urn:ogc:def:crs:EPSG::{h}", "urn:x-ogc:def:crs:EPSG:6.18.3:{h}", "http://www.opengis.net/gml/srs/epsg.xml#{h}", "http://www.opengis.net/def/crs/EPSG/0/{h}",
+    "urn:ogc:def:crs,crs:EPSG::{h},crs:EPSG::{v}", "urn:ogc:def:crs,crs:EPSG:6.12:{h},crs:EPSG:6.12:{v}", "local grid {h}", "urn:adv:crs:ETRS89_UTM{z}", "URN:ADV:CRS:etrs89_utm{z}*DE_DHHN92_NH", "urn:adv:crs:ETRS89_UTM{z}*de_dhhn2016_nh",
+    "urn:adv:crs:DE_DHDN_3GK{g}*DE_DHN92_NH",
 ]
+_CASE = "CASE " + " ".join(f"WHEN k = {k} THEN '{n}'" for k, n in enumerate(_NOTATIONS)) + " END"
+_FILLED = "replace(replace(replace(replace(" + _CASE + ", '{h}', CAST(20000 + id % 9000 AS VARCHAR)), '{v}', CAST(5700 + id % 200 AS VARCHAR)), '{z}', CAST(31 + id % 3 AS VARCHAR)), '{g}', CAST(2 + id % 4 AS VARCHAR))"
+_SPELLED = f"SELECT id, k, {_FILLED} AS name FROM (SELECT id, id % {len(_NOTATIONS)} AS k FROM feature)"
 
 
-@query("crs_names", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{h}', '{v}')" for n, (h, v) in zip(_NAMES, _WANTED, strict=True)) + ") AS x(name, horizontal, height)")
+@query("crs_names", rf"""SELECT id, CASE WHEN low LIKE 'urn:adv%utm%dhhn92%' THEN 'EPSG:258' || zone || '+5783' WHEN low LIKE 'urn:adv%utm%' THEN 'EPSG:258' || zone
+WHEN low LIKE 'urn:adv%3gk%' THEN 'EPSG:3146' || CAST(CAST(regexp_extract(low, '3gk(\d)', 1) AS INTEGER) + 4 AS VARCHAR) || '+5783' WHEN low LIKE 'local%' THEN 'Unknown CRS'
+WHEN low LIKE '%,crs:epsg%,crs:epsg%' THEN 'EPSG:' || regexp_extract(low, ':(\d{{5}}),', 1) || '+' || regexp_extract(low, ':(\d{{4}})$', 1) ELSE 'EPSG:' || regexp_extract(low, '(\d{{5}})$', 1) END AS horizontal,
+CASE WHEN low LIKE 'urn:adv%dhhn2016%' THEN CASE WHEN zone IN ('32', '33') THEN '7837' ELSE '' END WHEN low LIKE 'urn:adv%dhhn92%' OR low LIKE 'urn:adv%dhn92%' THEN '5783' WHEN low LIKE '%,crs:epsg%,crs:epsg%' THEN regexp_extract(low, ':(\d{{4}})$', 1) ELSE '' END AS height
+FROM (SELECT *, lower(name) AS low, regexp_extract(lower(name), 'utm(\d\d)', 1) AS zone FROM ({_SPELLED}))""")
 def _(t):
-    names = t("codelist").sparkSession.createDataFrame([(n,) for n in _NAMES], "name string")
-    return names.select("name", crs.normal_crs(F.col("name")).alias("horizontal"), crs.height_code(F.col("name")).alias("height"))
+    names = t("feature").select("id", (F.col("id") % len(_NOTATIONS)).alias("k")).select("id", F.expr(_FILLED.replace("VARCHAR", "STRING")).alias("name"))
+    return names.select("id", crs.normal_crs(F.col("name")).alias("horizontal"), crs.height_code(F.col("name")).alias("height"))
 
 
 @query("codespace_ids", r"SELECT id, regexp_replace(regexp_replace(trim(val_uri), '^#', ''), '[^A-Za-z0-9_-]', '_', 'g') AS xml_id, CASE WHEN contains(val_uri, '#') THEN regexp_extract(val_uri, '#(.*)$', 1) ELSE trim(val_uri) END AS reference FROM property WHERE val_uri IS NOT NULL")
