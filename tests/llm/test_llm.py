@@ -370,6 +370,16 @@ def test_holdout_and_trees():
     assert np.allclose(model.probabilities(x).sum(1), 1)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_trees_that_never_saw_the_holdout(spark):
+    """Trained on the corpus without the holdout's texts; a third of the holdout is what no rule is sure of."""
+    model = quality.model_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    x = np.array([quality.statistics(t) for _, t in HOLDOUT])
+    y = np.array([quality.KINDS.index(k) for k, _ in HOLDOUT])
+    assert (quality.weak_label(x) < 0).sum() >= 15
+    assert (model.probabilities(x).argmax(1) == y).mean() > 0.95
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

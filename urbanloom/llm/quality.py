@@ -1,8 +1,8 @@
 """Statistics of a text's quality, and from them prose, lists, tables and junk.
 
-Every document gets a row of statistics in one pass. Structural rules label the clear cases; gradient-boosted trees are
-trained on a bounded sample of these, their probabilities are calibrated on a hand-checked holdout, and the trees then decide
-all documents.
+Structural rules label the clear cases of a bounded sample of documents by their statistics; gradient-boosted trees are
+trained on these and their probabilities calibrated on a hand-checked holdout. The trees then decide all documents, in one
+pass that computes the statistics of each whole text and keeps nothing.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from urbanloom.llm.holdout import HOLDOUT
 from urbanloom.session import cut
 
 KINDS = ["prose", "list", "table", "junk"]
-#: Weakly labelled documents of each kind that the trees are trained on, about, at most.
-TRAIN_PER_KIND = 1500
+#: Documents that the rules look at to label some for training, and labelled ones of each kind that the trees are trained on, about, at most.
+SAMPLE_DOCS, TRAIN_PER_KIND = 16_000, 1500
 #: Common words of the corpus' languages (English, German, French, Polish).
 COMMON_WORDS = frozenset(
     "a an and are as at be but by for from has have he her his i in is it its not of on or she that the their there they this to was we were which who with you "
@@ -35,7 +36,6 @@ NAMES = [
     "distinct_grams", "longest", "markup", "broken", "code_like", "line_length", "line_spread", "capitals", "vowels", "clean", "keyed", "dotted", "short_lines", "entropy", "prose_lines", "n_columns", "marks", "odd", "runs", "foreign",
 ]
 
-_TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[^\W\d_]+")
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _BREAK = re.compile(r"\s*<br\s*/?>\s*", re.IGNORECASE)
@@ -56,6 +56,28 @@ _EDGE = ".,;:!?\"'()„“”«»…"
 _WINDOW, _GRAM = 400, 5
 
 
+@lru_cache(maxsize=1 << 16)
+def _token(t: str) -> tuple[bool, int, bool]:
+    """Whether a token is a plain word with its marks, how many of its characters look like code, and whether it is a common word."""
+    return bool(_CLEAN.match(t)), len(t) if _CODE.match(t) and not t.isdigit() else 0, t.lower().strip(_EDGE) in COMMON_WORDS
+
+
+def _distinct_grams(text: str) -> float:
+    """Mean share of distinct runs of _GRAM characters in the windows of a text."""
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    starts = range(0, max(1, len(code) - _WINDOW // 2), _WINDOW)
+    if len(code) < _GRAM:
+        return 1.0
+    runs = np.zeros(len(code) - _GRAM + 1, np.uint64)
+    for k in range(_GRAM):
+        runs = runs * np.uint64(1_000_003) + code[k : len(code) - _GRAM + 1 + k]
+    shares = []
+    for a in starts:
+        part = np.sort(runs[a : a + _WINDOW - _GRAM + 1])
+        shares.append((1 + np.count_nonzero(part[1:] != part[:-1])) / max(1, len(part)) if len(part) else 1.0)
+    return float(sum(shares) / len(shares))
+
+
 def _table_share(lines: list[str]) -> tuple[float, int]:
     """(share of the three or more lines that have the commonest number of columns, three or more, that number) by the best separator."""
     best = (0.0, 0)
@@ -82,7 +104,9 @@ def statistics(text: str) -> list[float]:
     tags = sum(len(m) for m in _TAG.findall(text))
     flat = _BREAK.sub(" ", text) if tags < 0.3 * whole else text
     lines = [x for x in flat.splitlines() if x.strip()] or [flat]
-    tokens = _TOKEN.findall(flat) or [flat]
+    split = [x.split() for x in lines]
+    tokens = [t for x in split for t in x] or [flat]
+    told = [[_token(t) for t in x] for x in split]
     words = _WORD.findall(flat)
     letters = sum(map(len, words))
     solid = max(1, sum(map(len, tokens)))
@@ -106,28 +130,26 @@ def statistics(text: str) -> list[float]:
     lengths = [len(x) for x in lines]
     mean = sum(lengths) / n
     ends = [bool(_END.search(x)) for x in lines]
-    counts = [len(x.split()) for x in lines]
+    counts = [len(x) for x in split]
     bullets = [bool(_BULLET.match(x)) for x in lines]
     columns, n_columns = _table_share(lines)
     # a wrapped line goes on in the next one
     goes_on = sum(not e and counts[i] >= 4 and not bullets[i + 1] for i, e in enumerate(ends[:-1]))
-    said = [sum(w.strip(_EDGE) in COMMON_WORDS for w in x.lower().split()) for x in lines]
+    said = [sum(t[2] for t in x) for x in told]
     common_line = [k / max(1, c) for k, c in zip(said, counts, strict=True)]
     prose_lines = sum(length for length, c, s, b in zip(lengths, counts, common_line, bullets, strict=True) if c >= 5 and s >= 0.18 and not b)
-    ratios, kinds = [], []
+    kinds = []
     for k in range(0, max(1, len(flat) - _WINDOW // 2), _WINDOW):
-        part = flat[k : k + _WINDOW]
-        ratios.append(len({part[i : i + _GRAM] for i in range(max(1, len(part) - _GRAM + 1))}) / max(1, len(part) - _GRAM + 1))
-        w = part.split()
+        w = flat[k : k + _WINDOW].split()
         kinds.append(len(set(w)) / max(1, len(w)))
     entropy = -sum(v / len(flat) * math.log2(v / len(flat)) for v in chars.values())
     runs = sum(len(m) for m in _RUN.findall(flat))
     return [
         math.log1p(whole), math.log1p(n), len(tokens) / n, letters / max(1, len(words)), letters / solid, digits / solid, symbols / solid, sum(bullets) / n, columns, sum(ends) / n,
         min(5.0, 10 * len(_STOP.findall(flat)) / max(1, len(tokens))), sum(said) / max(1, sum(counts)), goes_on / max(1, n - 1), len({x.strip() for x in lines}) / n, sum(kinds) / len(kinds),
-        sum(ratios) / len(ratios), math.log1p(max(map(len, tokens))), tags / whole, broken / solid, sum(len(t) for t in tokens if _CODE.match(t) and not t.isdigit()) / solid, math.log1p(mean),
-        math.sqrt(sum((x - mean) ** 2 for x in lengths) / n) / max(1.0, mean), upper / max(1, letters), vowels / max(1, latin) if latin > 0.5 * letters else 0.4, sum(bool(_CLEAN.match(t)) for t in tokens) / len(tokens),
-        sum(bool(_KEYED.match(x)) and not e for x, e in zip(lines, ends, strict=True)) / n, sum(bool(_DOTTED.match(x)) for x in lines) / n,
+        _distinct_grams(flat), math.log1p(max(map(len, tokens))), tags / whole, broken / solid, sum(t[1] for x in told for t in x) / solid, math.log1p(mean),
+        math.sqrt(sum((x - mean) ** 2 for x in lengths) / n) / max(1.0, mean), upper / max(1, letters), vowels / max(1, latin) if latin > 0.5 * letters else 0.4, sum(t[0] for x in told for t in x) / len(tokens),
+        sum(not e and (":" in x or "=" in x) and bool(_KEYED.match(x)) for x, e in zip(lines, ends, strict=True)) / n, sum(x.rstrip()[-1:].isdigit() and bool(_DOTTED.match(x)) for x in lines) / n,
         sum(c <= 7 and s < 0.3 for c, s in zip(counts, common_line, strict=True)) / n, entropy, prose_lines / max(1, sum(lengths)), float(n_columns), marks / solid, odd / solid,
         runs / max(1, letters), 1 - latin / max(1, letters) if letters else 0.0,
     ]
@@ -244,10 +266,6 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _rows(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(name).to_numpy(zero_copy_only=False) for name in NAMES], axis=1)
-
-
 def text_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, NAMES..., weak) of each document that isn't null, empty or blank; whole texts, one pass, no shuffle.
 
@@ -287,19 +305,31 @@ def train(stats: DataFrame, key: str, per_kind: int = TRAIN_PER_KIND) -> Boosted
     return model.calibrate(held, np.array([KINDS.index(k) for k, _ in HOLDOUT]))
 
 
+def model_of(df: DataFrame, key: str, text: str) -> Boosted:
+    """Trees trained on a sample of about SAMPLE_DOCS documents, by the hash of their keys and texts; HOLDOUT isn't trained on."""
+    share = min(1.0, SAMPLE_DOCS / max(1, df.count()))
+    chosen = df.filter(F.pmod(F.xxhash64(key, text), F.lit(1_000_003)) < share * 1_000_003) if share < 1 else df
+    held = df.sparkSession.createDataFrame([(t,) for _, t in HOLDOUT], "held string")
+    rest = chosen.join(F.broadcast(held), chosen[text] == F.col("held"), "left_anti")
+    return train(cut(text_statistics(rest, key, text)), key)
+
+
 def classify(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind, probability) of each document that isn't null, empty or blank, kind being the likeliest of KINDS.
 
-    The statistics of all documents are computed once and kept; copies get the same kind.
+    One pass over whole texts, besides that for the sample; copies get the same kind.
     """
-    stats = cut(text_statistics(df, key, text))
-    shared = df.sparkSession.sparkContext.broadcast(train(stats, key))
+    shared = df.sparkSession.sparkContext.broadcast(model_of(df, key, text))
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = shared.value.probabilities(_rows(batch))
+            texts = batch.column(1).to_pylist()
+            at = [i for i, t in enumerate(texts) if t and t.strip()]
+            if not at:
+                continue
+            p = shared.value.probabilities(np.array([statistics(texts[i]) for i in at]))
             best = p.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([KINDS[k] for k in best]), pa.array(p[np.arange(len(best)), best])], names=["key", "kind", "probability"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([KINDS[k] for k in best]), pa.array(p[np.arange(len(best)), best])], names=["key", "kind", "probability"])
 
-    return stats.select(F.col(key).alias("key"), *NAMES).mapInArrow(run, f"key {kind}, kind string, probability double").withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, kind string, probability double").withColumnRenamed("key", key)
