@@ -1,4 +1,4 @@
-"""City files: members out of XML, and members into XML.
+"""City files: members out of XML.
 
 Files are cut at their member tags by the text source itself, so one large file is read by many tasks and no task holds more
 than a member at a time.
@@ -14,11 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Namespaces of the written files, by version.
-NAMESPACES = {
-    "2.0": {"core": "http://www.opengis.net/citygml/2.0", "bldg": "http://www.opengis.net/citygml/building/2.0", "gml": "http://www.opengis.net/gml"},
-    "3.0": {"core": "http://www.opengis.net/citygml/3.0", "bldg": "http://www.opengis.net/citygml/building/3.0", "gml": "http://www.opengis.net/gml/3.2"},
-}
+from urbanloom.functions.geometry import box, parse_points
+
 #: Types of boundary surfaces and of fillings.
 SURFACES = ["RoofSurface", "WallSurface", "GroundSurface", "ClosureSurface", "FloorSurface", "CeilingSurface", "InteriorWallSurface", "OuterCeilingSurface", "OuterFloorSurface", "WaterSurface", "TrafficArea", "AuxiliaryTrafficArea", "Door", "Window"]
 
@@ -29,20 +26,117 @@ _RING_SCHEMA = "file string, member_id string, feature_id string, feature_type s
 _FEATURE_SCHEMA = "file string, member_id string, feature_id string, feature_type string, parent_id string, depth int, name string, creation_date string, termination_date string, lods array<int>, hrefs array<string>, error string"
 
 
+def _parts(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """(file, part): the text between the mentions of the member tag's name; the text source cuts files there, so no task holds a file."""
+    return spark.read.text(path, lineSep=tag).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("part"))
+
+
+#: The end of a part before the name in a closing tag: such a part is what stands in a member.
+_CLOSING = r"</([A-Za-z_][\w.-]*:)?$"
+
+
 def read_members(spark: SparkSession, path: str, tag: str = "cityObjectMember") -> DataFrame:
-    """(file, body): the XML inside each member of the files in ``path``; the part before the first and after the last isn't one."""
-    parts = spark.read.text(path, lineSep=f"{tag}>").select(F.input_file_name().alias("file"), F.col("value").alias("body"))
-    end = r"</([A-Za-z_][\w.-]*:)?$"
-    return parts.filter(F.col("body").rlike(end)).select("file", F.regexp_replace("body", end, "").alias("body"))
+    """(file, body): the XML inside each member of the files in ``path``; attributes and blanks in the member tags don't matter.
+
+    A member that only refers to one elsewhere (``<cityObjectMember xlink:href=.../>``) has no body.
+    """
+    parts = _parts(spark, path, tag).filter(F.col("part").rlike(_CLOSING))
+    return parts.select("file", F.regexp_replace(F.regexp_replace("part", _CLOSING, ""), r"^[^>]*>", "").alias("body"))
+
+
+def file_profile(spark: SparkSession, path: str, tag: str = "cityObjectMember") -> DataFrame:
+    """(file, version, gml_version, modules, srs, lower, upper): what the texts around the members say, before or behind them.
+
+    modules: versions by module name. Where there is no envelope around the members, srs is the first that a member names,
+    and the corners are null.
+    """
+    parts = _parts(spark, path, tag)
+    around = parts.filter(~F.col("part").rlike(_CLOSING) & F.col("part").contains("CityModel") | F.col("part").contains("lowerCorner") & ~F.col("part").rlike(_CLOSING))
+    found = lambda pattern: F.max(F.nullif(F.trim(F.regexp_extract("part", pattern, 1)), F.lit("")))
+    spaces = F.max(F.when(F.col("part").contains("xmlns"), F.array_distinct(F.regexp_extract_all("part", F.lit(r"xmlns(?::[\w.-]+)?=[\"']([^\"']+)[\"']"), F.lit(1)))))
+    heads = around.groupBy("file").agg(spaces.alias("spaces"), found(r"schemaLocation=[\"']([^\"']+)").alias("schemas"), found(r"Envelope[^>]*srsName=[\"']([^\"']*)").alias("srs"), found(r"lowerCorner[^>]*>([^<]*)<").alias("lower"), found(r"upperCorner[^>]*>([^<]*)<").alias("upper"))
+    named = parts.filter(F.col("part").rlike(_CLOSING) & F.col("part").contains("srsName")).groupBy("file").agg(F.min(F.nullif(F.regexp_extract("part", r"srsName=[\"']([^\"']*)", 1), F.lit(""))).alias("member_srs"))
+    modules = F.map_from_entries(F.array_distinct(F.transform(F.filter("spaces", lambda u: u.rlike(r"/citygml/[a-zA-Z]+/\d")), lambda u: F.struct(F.regexp_extract(u, r"/citygml/([a-zA-Z]+)/", 1).alias("key"), F.regexp_extract(u, r"/citygml/[a-zA-Z]+/([\d.]+)", 1).alias("value")))))
+    gml = F.when(F.array_contains("spaces", "http://www.opengis.net/gml/3.2"), "3.2").when(F.array_contains("spaces", "http://www.opengis.net/gml"), "3.1")
+    return heads.join(named, "file", "left").select("file", version_of(F.col("spaces"), F.col("schemas")).alias("version"), gml.alias("gml_version"), modules.alias("modules"), F.coalesce("srs", "member_srs").alias("srs"), "lower", "upper")
+
+
+def version_of(spaces: Column, schemas: Column) -> Column:
+    """``2.0``, ``3.0`` or ``unknown`` by the namespaces of a file (array), else its schema locations, else its GML version."""
+    core = lambda v: F.array_contains(spaces, f"http://www.opengis.net/citygml/{v}")
+    module = lambda v: F.exists(spaces, lambda u: u.contains("/citygml/") & u.contains(f"/{v}"))
+    schema = lambda v: F.coalesce(F.lower(schemas).contains(f"citygml/{v}"), F.lit(False))
+    rules = [(core("3.0"), "3.0"), (core("2.0"), "2.0"), (module("3.0"), "3.0"), (module("2.0"), "2.0"), (schema("3.0"), "3.0"), (schema("2.0"), "2.0")]
+    rules += [(F.array_contains(spaces, "http://www.opengis.net/gml/3.2"), "3.0"), (F.array_contains(spaces, "http://www.opengis.net/gml"), "2.0")]
+    return F.coalesce(*[F.when(c, v) for c, v in rules], F.lit("unknown"))
+
+
+def foreign_namespaces(spark: SparkSession, path: str, tag: str = "cityObjectMember") -> DataFrame:
+    """(file, prefix, uri) of the namespaces of extensions: neither of the standards, nor of XML itself, and used by an element."""
+    parts = _parts(spark, path, tag)
+    names = parts.filter(F.col("part").contains("xmlns:")).select("file", F.explode(F.regexp_extract_all("part", F.lit(r"xmlns:([\w.-]+=[\"'][^\"']+)"), F.lit(1))).alias("n")).distinct()
+    split = names.select("file", F.substring_index("n", "=", 1).alias("prefix"), F.regexp_replace("n", r"^[^=]*=[\"']", "").alias("uri"))
+    foreign = split.filter(~F.col("uri").rlike(r"^http://(www\.opengis\.net/|www\.w3\.org/)|oasis:names:tc:ciq"))
+    used = parts.select("file", F.explode(F.array_distinct(F.regexp_extract_all("part", F.lit(r"<([A-Za-z_][\w.-]*):"), F.lit(1)))).alias("prefix")).distinct()
+    return foreign.join(used, ["file", "prefix"], "left_semi").select("file", "prefix", "uri")
+
+
+def scan_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """What files hold, without building anything of it.
+
+    profile: see ``file_profile``, with n_features, mb and memory_mb; types: features by file and type; lods: geometries by
+    file and level 0 to 4, zeros included. Sizes come from the file listing.
+    """
+    found = features(read_members(spark, path))
+    sizes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), (F.col("length") / 1048576).alias("mb"))
+    counts = found.filter(F.col("feature_id").isNotNull()).groupBy("file").agg(F.count("*").alias("n_features"))
+    memory = F.greatest(F.lit(50.0), F.bround(F.col("mb") * 10 + F.col("n_features") * 0.5, 1))
+    profile = file_profile(spark, path).join(counts, "file", "left").join(sizes, "file", "left").fillna(0, ["n_features", "mb"]).withColumn("memory_mb", memory)
+    every = counts.select("file", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("lod"))
+    lods = found.select("file", F.explode("lods").alias("lod")).groupBy("file", "lod").agg(F.count("*").alias("n"))
+    return {
+        "profile": profile, "types": found.filter(F.col("feature_id").isNotNull()).groupBy("file", "feature_type").agg(F.count("*").alias("n")),
+        "lods": every.join(lods, ["file", "lod"], "left").select("file", "lod", F.coalesce("n", F.lit(0)).alias("n")),
+    }
+
+
+#: Feature types that stay beside their promoted parts, and types that aren't promoted out of them.
+KEPT_PARENTS = ["Building", "Bridge", "Tunnel"]
+NOT_PROMOTED = ["BridgeInstallation", "TunnelInstallation"]
 
 
-def file_profile(spark: SparkSession, path: str) -> DataFrame:
-    """(file, version, srs, lower, upper): what the heads of the files say, without reading their members."""
-    heads = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.substring("value", 1, 20_000).alias("head"))
-    return heads.select(
-        "file", F.nullif(F.regexp_extract("head", r"opengis\.net/citygml/(\d\.\d)", 1), F.lit("")).alias("version"), F.nullif(F.regexp_extract("head", r'Envelope[^>]*srsName="([^"]*)"', 1), F.lit("")).alias("srs"),
-        F.nullif(F.trim(F.regexp_extract("head", r"lowerCorner[^>]*>([^<]*)<", 1)), F.lit("")).alias("lower"), F.nullif(F.trim(F.regexp_extract("head", r"upperCorner[^>]*>([^<]*)<", 1)), F.lit("")).alias("upper"),
-    )
+def read_features(spark: SparkSession, path: str, ids: DataFrame | None = None, types: list[str] | None = None, bbox: tuple[float, float, float, float] | None = None, missing: str = "drop") -> DataFrame:
+    """Features of the files in ``path`` (see ``features``) by id, type and extent; of several with one id the first in its file wins.
+
+    ids: (id) to keep; missing: whether features without id (``ids``) or without coordinates (``bbox``) are kept or dropped.
+    bbox meets the extent of a feature's own rings, or else that of the member it stands in.
+    """
+    members = read_members(spark, path)
+    out = features(members).filter(F.col("error").isNull())
+    if types is not None:
+        out = out.filter(F.col("feature_type").isin([t.rpartition(":")[2] for t in types]))
+    if ids is not None:
+        hit = out.join(ids.select(F.col("id").alias("feature_id")).distinct(), "feature_id", "left_semi")
+        out = hit.select(*out.columns) if missing == "drop" else hit.select(*out.columns).unionByName(out.filter(F.col("feature_id").isNull()))
+    if bbox is not None:
+        points = rings(members).select("file", "member_id", "feature_id", box(parse_points(F.col("text"), F.col("dimension"))).alias("b"))
+        extent = [F.min("b.min_x").alias("x0"), F.min("b.min_y").alias("y0"), F.max("b.max_x").alias("x1"), F.max("b.max_y").alias("y1")]
+        own = points.groupBy("file", "feature_id").agg(F.struct(*extent).alias("own"))
+        whole = points.groupBy("file", "member_id").agg(F.struct(*extent).alias("whole"))
+        placed = out.join(own, ["file", "feature_id"], "left").join(whole, ["file", "member_id"], "left").withColumn("e", F.coalesce("own", "whole"))
+        meets = (F.col("e.x0") <= bbox[2]) & (F.col("e.x1") >= bbox[0]) & (F.col("e.y0") <= bbox[3]) & (F.col("e.y1") >= bbox[1])
+        out = placed.filter(F.coalesce(meets, F.lit(missing == "keep"))).select(*out.columns)
+    first = out.filter(F.col("feature_id").isNotNull()).groupBy("file", "feature_id").agg(F.min_by(F.struct(*out.columns), F.struct("depth", "member_id", F.hash(*out.columns))).alias("r"))
+    return first.select("r.*").unionByName(out.filter(F.col("feature_id").isNull()))
+
+
+def promoted(found: DataFrame) -> DataFrame:
+    """Features at the top of a member as an import gives them: the kinds of KEPT_PARENTS with their parts and installations, others replaced by what is in them, if anything is."""
+    parents = found.select("file", F.col("feature_id").alias("parent_id"), F.col("feature_type").alias("parent_type"), F.col("depth").alias("parent_depth")).filter("parent_depth = 0")
+    inner = found.filter("depth = 1").join(parents, ["file", "parent_id"])
+    chosen = inner.filter(F.when(F.col("parent_type").isin(KEPT_PARENTS), F.col("feature_type").rlike("(Part|Installation)$") & ~F.col("feature_type").isin(NOT_PROMOTED)).otherwise(~F.col("feature_type").isin(SURFACES)))
+    replaced = chosen.filter(~F.col("parent_type").isin(KEPT_PARENTS)).select("file", F.col("parent_id").alias("feature_id")).distinct()
+    return found.filter("depth = 0").join(replaced, ["file", "feature_id"], "left_anti").select(*found.columns).unionByName(chosen.select(*found.columns))
 
 
 def plain_tree(body: str) -> ET.Element:
@@ -139,35 +233,3 @@ def rings(members: DataFrame) -> DataFrame:
             return
 
     return _parsed(members, _RING_SCHEMA, rows_of)
-
-
-def escaped(column: Column | str) -> Column:
-    """Text with the marks of XML written as entities."""
-    out = F.col(column) if isinstance(column, str) else column
-    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(mark), F.lit(entity))
-    return out
-
-
-def write_members(polygons: DataFrame, path: str, version: str = "2.0", srs: str = "EPSG:25832") -> None:
-    """Writes buildings (feature_id, polygon, ring, is_interior, points) as text parts that make one file when joined in order.
-
-    Each feature becomes one member with a surface per polygon; head and foot are the first and the last row. Rows without
-    feature_id or points are left out. Only the polygons of one feature are gathered at a time.
-    """
-    whole = polygons.dropna(subset=["feature_id", "points"])
-    line = F.array_join(F.flatten(F.transform("points", lambda p: F.array(p["x"], p["y"], p["z"]))).cast("array<string>"), " ")
-    ring = F.concat(
-        F.when(F.col("is_interior"), "<gml:interior>").otherwise("<gml:exterior>"), F.lit('<gml:LinearRing><gml:posList srsDimension="3">'), line, F.lit("</gml:posList></gml:LinearRing>"),
-        F.when(F.col("is_interior"), "</gml:interior>").otherwise("</gml:exterior>"),
-    )
-    per_polygon = whole.withColumn("xml", ring).groupBy("feature_id", "polygon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ring", "xml"))), lambda r: r["xml"]), "").alias("xml"))
-    surface = F.concat(F.lit("<gml:surfaceMember><gml:Polygon>"), F.col("xml"), F.lit("</gml:Polygon></gml:surfaceMember>"))
-    per_feature = per_polygon.withColumn("xml", surface).groupBy("feature_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("polygon", "xml"))), lambda r: r["xml"]), "").alias("xml"))
-    member = F.concat(F.lit('<core:cityObjectMember><bldg:Building gml:id="'), escaped(F.col("feature_id").cast("string")), F.lit('"><bldg:lod2MultiSurface><gml:MultiSurface>'), F.col("xml"), F.lit("</gml:MultiSurface></bldg:lod2MultiSurface></bldg:Building></core:cityObjectMember>"))
-    box = whole.select(F.explode("points").alias("p")).agg(*[f(f"p.{k}").cast("string").alias(f"{n}{k}") for n, f in (("a", F.min), ("b", F.max)) for k in "xyz"]).first()
-    spaces = " ".join(f'xmlns:{k}="{v}"' for k, v in NAMESPACES[version].items())
-    corners = "" if box["ax"] is None else f'<gml:boundedBy><gml:Envelope srsName="{srs}" srsDimension="3"><gml:lowerCorner>{box["ax"]} {box["ay"]} {box["az"]}</gml:lowerCorner><gml:upperCorner>{box["bx"]} {box["by"]} {box["bz"]}</gml:upperCorner></gml:Envelope></gml:boundedBy>'
-    ends = polygons.sparkSession.createDataFrame([(0, "", f'<?xml version="1.0" encoding="UTF-8"?><core:CityModel {spaces}>{corners}'), (2, "", "</core:CityModel>")], "part int, key string, value string")
-    rows = per_feature.select(F.lit(1).alias("part"), F.col("feature_id").cast("string").alias("key"), member.alias("value")).unionAll(ends)
-    rows.orderBy("part", "key").select("value").write.mode("errorifexists").text(path)
