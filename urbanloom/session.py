@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ def build_session(app: str = "urbanloom", cpus: int | str = "*", **conf: str) ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -45,6 +47,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files of a query, in the shared checkpoint folder."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` materialised in the shared checkpoint folder: its lineage is cut and survives the loss of executors."""
     _checkpoint_dir(df.sparkSession)

@@ -149,11 +149,12 @@ def _is_feature(e: ET.Element) -> bool:
 
 
 def _features(root: ET.Element) -> Iterator[tuple]:
-    stack = [(root, None, None, 0)]
+    stack = [(root, None, None, 0, False)]
     rows: dict[int, dict] = {}
     while stack:
-        e, owner, member, depth = stack.pop()
-        if _is_feature(e):
+        e, owner, member, depth, direct = stack.pop()
+        feature = _is_feature(e)
+        if feature:
             member = member or e.get("id")
             rows[id(e)] = {"id": e.get("id"), "type": e.tag, "parent": rows[owner]["id"] if owner else None, "depth": depth, "member": member, "lods": set(), "hrefs": [], "text": {}}
             owner, depth = id(e), depth + 1
@@ -163,9 +164,9 @@ def _features(root: ET.Element) -> Iterator[tuple]:
                 row["lods"].add(int(m[1]))
             if e.get("href"):
                 row["hrefs"].append(e.get("href"))
-            if e.tag in ("name", "creationDate", "terminationDate") and e.tag not in row["text"]:
+            if direct and e.tag in ("name", "creationDate", "terminationDate") and e.tag not in row["text"]:
                 row["text"][e.tag] = (e.text or "").strip()
-        stack += [(c, owner, member, depth) for c in reversed(e)]
+        stack += [(c, owner, member, depth, feature) for c in reversed(e)]
     for r in rows.values():
         yield r["member"], r["id"], r["type"], r["parent"], r["depth"], r["text"].get("name"), r["text"].get("creationDate"), r["text"].get("terminationDate"), sorted(r["lods"]), r["hrefs"], None
 
