@@ -247,7 +247,7 @@ def reorigin_matrix(m: Column, ref: Column, origin: Column) -> Column:
 
 def geometry_hash(points: Column) -> Column:
     """16 characters that are equal for equal points in equal order, to six digits."""
-    text = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", *[F.format_number(p[k] + 0.0, "0.000000") for k in ("x", "y", "z")])), ";")
+    text = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", *[F.format_string("%.6f", F.bround(p[k], 6) + F.lit(0.0)) for k in ("x", "y", "z")])), ";")
     return F.substring(F.sha2(text, 256), 1, 16)
 
 

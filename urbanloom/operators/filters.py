@@ -22,6 +22,27 @@ def parse_bbox(text: str | None) -> tuple[float, float, float, float] | None:
     return (x0, y0, x1, y1) if x0 < x1 and y0 < y1 else None
 
 
+def format_bbox(bbox: tuple[float, float, float, float]) -> str:
+    """The text of an extent, as ``parse_bbox`` reads it."""
+    return ", ".join(f"{v:g}" if v == int(v) else repr(v) for v in bbox)
+
+
+def parse_bbox_srid(text: str | None) -> tuple[tuple[float, float, float, float], int | None] | None:
+    """(extent, srid or None) of four numbers and perhaps a code, else None."""
+    parts = [p.strip() for p in (text or "").split(",")]
+    bbox = parse_bbox(",".join(parts[:4]))
+    if bbox is None or len(parts) > 5 or (len(parts) == 5 and not parts[4].isdigit()):
+        return None
+    return bbox, int(parts[4]) if len(parts) == 5 else None
+
+
+def chosen_bbox(enabled: bool, numbers: tuple[float, float, float, float] | None, text: str | None) -> tuple[float, float, float, float] | None:
+    """The extent of a filter: of its numbers if they are one, else of its text; None if it isn't enabled."""
+    if not enabled:
+        return None
+    return numbers if numbers and numbers[0] < numbers[2] and numbers[1] < numbers[3] else parse_bbox(text)
+
+
 def by_id(df: DataFrame, column: str, ids: DataFrame, missing: str = "drop") -> DataFrame:
     """Rows whose id is in ``ids`` (one column); rows without id stay with missing='keep'."""
     name = ids.columns[0]

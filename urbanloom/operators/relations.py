@@ -5,16 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.functions.geometry import affine, shifted
 from urbanloom.functions.text import reference_id
 from urbanloom.session import cut
 
 
 def resolve(refs: DataFrame, href: str, targets: DataFrame, target_id: str) -> DataFrame:
     """``refs`` with the columns of the target that ``href`` names, null if it dangles; a target counts once."""
-    names = targets.filter(F.col(target_id).isNotNull()).dropDuplicates([target_id])
+    row = F.struct(*targets.columns)
+    names = targets.filter(F.col(target_id).isNotNull()).groupBy(F.col(target_id).alias("__id")).agg(F.min(row).alias("__row")).select("__row.*")
     return refs.withColumn("__ref", reference_id(F.col(href))).join(names, F.col("__ref") == F.col(target_id), "left").drop("__ref")
 
 
+def resolve_in_files(refs: DataFrame, href: str, base: str, targets: DataFrame, file: str, target_id: str, order: str) -> DataFrame:
+    """``refs`` with the columns of the target that ``href`` names in its file, null if it dangles.
+
+    ``file#id`` names an id of that file; ``#id`` and a bare id one of the file ``base`` that the reference stands in. Of
+    several targets with one id in a file the first by ``order`` counts.
+    """
+    row = F.struct(*targets.columns)
+    keyed = targets.select(F.col(file).cast("string").alias("__file"), F.col(target_id).alias("__id"), F.col(order).alias("__order"), row.alias("__row")).dropna(subset=["__file", "__id"])
+    first = keyed.groupBy("__file", "__id").agg(F.min_by("__row", F.struct("__order", "__row")).alias("__target"))
+    text = F.trim(F.col(href))
+    named = F.when(text.contains("#"), F.nullif(F.substring_index(text, "#", 1), F.lit("")))
+    asked = refs.withColumn("__file", F.coalesce(named, F.col(base).cast("string"))).withColumn("__id", reference_id(text))
+    return asked.join(first, ["__file", "__id"], "left").drop("__file", "__id").select("*", *[F.col(f"__target.{c}").alias(c) for c in targets.columns if c not in refs.columns]).drop("__target")
+
+
+def placed_templates(instances: DataFrame, shapes: DataFrame) -> DataFrame:
+    """``instances`` (template, matrix, x, y, z, ...) with ``points``: each ring (template, points) of the template under the matrix, moved to the reference point.
+
+    A null matrix changes nothing; an instance whose template isn't there, or has no reference point, has null points.
+    """
+    both = instances.join(shapes.select("template", F.col("points").alias("__ring")), "template", "left")
+    turned = affine(F.col("__ring"), F.col("matrix"))
+    moved = F.when(F.col("x").isNotNull() & F.col("__ring").isNotNull(), shifted(turned, -F.col("x"), -F.col("y"), -F.col("z")))
+    return both.withColumn("points", moved).drop("__ring")
+
+
 def dangling(refs: DataFrame, href: str, targets: DataFrame, target_id: str) -> DataFrame:
     """``refs`` that name no target; null and empty references aren't cases."""
     named = refs.withColumn("__ref", reference_id(F.col(href))).filter(F.col("__ref") != "")

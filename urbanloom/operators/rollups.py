@@ -99,3 +99,60 @@ def value_matches(actual: Column, expected: str, mode: str = "exact", case_sensi
     else:
         met = actual.rlike(expected if case_sensitive else f"(?i){expected}")
     return F.coalesce(met, F.lit(False))
+
+
+def custom_value(properties: Column, name: str, case_sensitive: bool = False) -> Column:
+    """Value of a property in a map of texts: under its own name, else under the first name that differs in case only; null if there is none."""
+    own = F.try_element_at(properties, F.lit(name))
+    if case_sensitive:
+        return own
+    like = F.array_sort(F.filter(F.map_keys(properties), lambda k: F.lower(k) == name.lower()))
+    return F.coalesce(own, F.try_element_at(properties, F.try_element_at(like, F.lit(1))))
+
+
+def criterion_holds(properties: Column, name: str, expected: str, mode: str = "exact", case_sensitive: bool = False) -> Column:
+    """Whether a property fits (see ``value_matches``); a criterion without a name holds, a property that isn't there doesn't fit."""
+    if not name.strip():
+        return F.lit(True)
+    found = custom_value(properties, name.strip(), case_sensitive)
+    return F.coalesce(found.isNotNull() & value_matches(found, expected, mode, case_sensitive), F.lit(False))
+
+
+def rule_holds(rule: dict, owner: Column, material: Column) -> Column:
+    """Whether a rule (enabled, object_property, object_value, material_property, material_value, mode, case_sensitive) holds for both maps; one without any property never does."""
+    of = lambda k, default="": rule.get(k, default)
+    if not of("enabled", True) or not (of("object_property").strip() or of("material_property").strip()):
+        return F.lit(False)
+    more = (of("mode", "exact"), of("case_sensitive", False))
+    return criterion_holds(owner, of("object_property"), of("object_value"), *more) & criterion_holds(material, of("material_property"), of("material_value"), *more)
+
+
+def has_semantics(properties: Column, names: list[str]) -> Column:
+    """Whether any of the properties ``names`` has a value that isn't blank."""
+    return F.exists(F.array(*[F.lit(n) for n in names]), lambda k: F.coalesce(F.trim(F.try_element_at(properties, k)), F.lit("")) != "")
+
+
+def unique_names(df: DataFrame, base: str, order: str, out: str) -> DataFrame:
+    """``df`` with a name of its own for each row: the first of a base keeps it, others get _2, _3, ... but no name that is a base itself.
+
+    order: unique among the rows of a base. A hot base is numbered in ranges; see ``numbered``.
+    """
+    bases = cut(df.select(F.col(base).alias("__base")).distinct())
+    number = F.expr("try_cast(regexp_extract(__base, '_([1-9][0-9]*)$', 1) as long)")
+    taken = bases.select(F.regexp_replace("__base", "_[1-9][0-9]*$", "").alias("__stem"), number.alias("__n")).filter("__n >= 2")
+    taken = taken.groupBy("__stem").agg(F.array_sort(F.collect_set("__n")).alias("__taken"))
+    placed = numbered(df, base, order, "__place").join(taken, F.col(base) == F.col("__stem"), "left")
+    free = F.aggregate(F.coalesce("__taken", F.array().cast("array<bigint>")), F.col("__place"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    return placed.withColumn(out, F.when(F.col("__place") == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), free.cast("string")))).drop("__place", "__stem", "__taken")
+
+
+def timing_stats(df: DataFrame, operation: str, seconds: str) -> DataFrame:
+    """(operation, n, total, mean, least, most) of measured times."""
+    return df.groupBy(operation).agg(F.count(seconds).alias("n"), F.sum(seconds).alias("total"), F.avg(seconds).alias("mean"), F.min(seconds).alias("least"), F.max(seconds).alias("most"))
+
+
+def label_alerts(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, alerts) of objects by their faces' labels: mostly walls, no ground, no roof."""
+    n, count = F.count("*"), lambda k: F.count_if(F.col(label) == k)
+    alerts = F.array_compact(F.array(F.when(count("WallSurface") / n > 0.8, "mostly walls"), F.when(count("GroundSurface") == 0, "no ground"), F.when(count("RoofSurface") == 0, "no roof")))
+    return labels.groupBy(key).agg(alerts.alias("alerts"))

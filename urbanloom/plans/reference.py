@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanloom.functions import crs, geometry, text
+from urbanloom.functions import crs, geometry, projection, text
 from urbanloom.operators import deletion, filters, relations, rollups, spatial, validation
+from urbanloom.operators.change_feed import normal_kind
 from urbanloom.operators.hierarchy import build, links, rolled_up
 from urbanloom.plans.query import Query
 from urbanloom.session import small, table
@@ -71,9 +72,10 @@ def _(t):
     return rollups.histogram(t("property"), "val_lod", ["0", "1", "2", "3", "4"])
 
 
-@query("surrogate_ids", "SELECT range AS id FROM range(1, 1001)")
+@query("surrogate_ids", "SELECT objectid, row_number() OVER (ORDER BY objectid) + 1000 AS new_id FROM (SELECT DISTINCT objectid FROM feature_changelog WHERE objectid IS NOT NULL AND objectid NOT IN (SELECT objectid FROM feature WHERE objectid IS NOT NULL))")
 def _(t):
-    return t("codelist").sparkSession.range(1, 1001)
+    unknown = t("feature_changelog").select("objectid").dropna().distinct().join(t("feature").select("objectid").dropna(), "objectid", "left_anti")
+    return rollups.numbered(unknown.withColumn("all", F.lit(0)), "all", "objectid", "k").select("objectid", (F.col("k") + 1000).alias("new_id"))
 
 
 @query("import_estimate", "SELECT classname, n, CAST(greatest(50.0, round_even(n * 0.5, 1)) AS DOUBLE) AS mb FROM (SELECT classname, count(*) AS n FROM feature JOIN objectclass o ON o.id = objectclass_id GROUP BY classname)")
@@ -421,11 +423,17 @@ def _(t):
 _CUT = "TIMESTAMP '2020-01-01'"
 
 
-@query("snapshot_changes", f"WITH a AS (SELECT id, last_modification_date AS m FROM feature WHERE loaded_at < {_CUT}), b AS (SELECT id, CASE WHEN reason_for_update = 'survey update' THEN loaded_at ELSE last_modification_date END AS m, termination_date AS e FROM feature WHERE id % 3 <> 0) SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'DELETE' WHEN a.id IS NOT NULL AND a.m IS NOT DISTINCT FROM b.m THEN NULL WHEN e IS NOT NULL THEN 'TERMINATE' WHEN a.id IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS change FROM a FULL JOIN b ON a.id = b.id) WHERE change IS NOT NULL")
+_KIND = "upper(trim(transaction_type))"
+
+
+@query("snapshot_changes", f"""WITH d AS (SELECT DISTINCT feature_id AS id FROM feature_changelog WHERE {_KIND} IN ('D', 'DELETE', 'DELETED') AND feature_id IS NOT NULL), u AS (SELECT feature_id AS id, max(received_at) AS changed FROM feature_changelog WHERE {_KIND} IN ('U', 'UPDATE', 'UPDATED') GROUP BY 1),
+a AS (SELECT id, last_modification_date AS m FROM feature WHERE loaded_at < {_CUT}), b AS (SELECT id, coalesce(changed, last_modification_date) AS m, termination_date AS e FROM feature LEFT JOIN u USING (id) WHERE id NOT IN (SELECT id FROM d))
+SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'DELETE' WHEN a.id IS NOT NULL AND a.m IS NOT DISTINCT FROM b.m THEN NULL WHEN e IS NOT NULL THEN 'TERMINATE' WHEN a.id IS NULL THEN 'INSERT' ELSE 'UPDATE' END AS change FROM a FULL JOIN b ON a.id = b.id) WHERE change IS NOT NULL""")
 def _(t):
-    f = t("feature")
+    f, log = t("feature"), t("feature_changelog").withColumn("kind", normal_kind(F.col("transaction_type"))).filter("feature_id is not null").withColumnRenamed("feature_id", "key")
     before = f.filter(F.col("loaded_at") < F.lit("2020-01-01 00:00:00").cast("timestamp"))
-    after = f.filter("id % 3 <> 0").withColumn("last_modification_date", F.when(F.col("reason_for_update") == "survey update", F.col("loaded_at")).otherwise(F.col("last_modification_date")))
+    updated = log.filter("kind = 'UPDATE'").groupBy(F.col("key").alias("id")).agg(F.max("received_at").alias("at"))
+    after = f.join(log.filter("kind = 'DELETE'").select(F.col("key").alias("id")).distinct(), "id", "left_anti").join(updated, "id", "left").withColumn("last_modification_date", F.coalesce("at", "last_modification_date"))
     return relations.snapshot_changes(before, after, "id", "last_modification_date", "termination_date")
 
 
@@ -475,10 +483,15 @@ def _(t):
     return t("property").filter("name = 'name'").select("id", text.material_name(F.col("val_string")).alias("material"))
 
 
-@query("unique_ids", "SELECT id, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS gml_id FROM (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM (SELECT id, regexp_replace(val_string, '[^A-Za-z0-9_.-]', '_', 'g') AS base FROM property WHERE name = 'name' AND val_string <> ''))")
+@query("unique_ids", r"""WITH b AS (SELECT id, regexp_replace(v, '[^A-Za-z0-9_.-]', '_', 'g') AS base FROM (SELECT id, name || '_' || (id % 7) AS v FROM property UNION ALL SELECT -id, val_string FROM property WHERE name = 'name' AND val_string <> '')),
+t AS (SELECT regexp_replace(base, '_[1-9][0-9]*$', '') AS stem, list(DISTINCT TRY_CAST(regexp_extract(base, '_([1-9][0-9]*)$', 1) AS BIGINT)) AS taken FROM b WHERE TRY_CAST(regexp_extract(base, '_([1-9][0-9]*)$', 1) AS BIGINT) >= 2 GROUP BY 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM b)
+SELECT id, CASE WHEN k = 1 THEN base ELSE base || '_' || CAST(CASE WHEN taken IS NULL THEN k ELSE list_filter(range(2, k + len(taken) + 2), lambda x: NOT list_contains(taken, x))[k - 1] END AS VARCHAR) END AS gml_id FROM p LEFT JOIN t ON t.stem = p.base""")
 def _(t):
-    named = t("property").filter("name = 'name' and val_string <> ''").select("id", F.regexp_replace("val_string", "[^A-Za-z0-9_.-]", "_").alias("base"))
-    return rollups.numbered(named, "base", "id", "k").select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("k").cast("string"))).alias("gml_id"))
+    p = t("property")
+    text_ = p.select("id", F.concat_ws("_", "name", (F.col("id") % 7).cast("string")).alias("v")).unionAll(p.filter("name = 'name' and val_string <> ''").select(-F.col("id"), "val_string"))
+    named = text_.select("id", F.regexp_replace("v", "[^A-Za-z0-9_.-]", "_").alias("base"))
+    return rollups.unique_names(named, "base", "id", "gml_id").select("id", "gml_id")
 
 
 @query("typed_values", "SELECT id, val_int BETWEEN 0 AND 4 AS as_lod_ok, CASE WHEN val_int BETWEEN 0 AND 4 THEN val_int END AS lod, CASE WHEN val_int IN (0, 1) THEN val_int = 1 END AS truth, least(1.0, greatest(0.0, val_int / 10.0)) AS part FROM property WHERE val_int IS NOT NULL")
@@ -533,3 +546,57 @@ def _(t):
         validation.without_parts(t("feature").filter("objectclass_id = 68"), "id", contains, "feature_id"), validation.surfaces_by_lod(levels, "feature_id", "lods", "has"),
     ])
     return validation.summary(found)
+
+
+# more filters, rules and systems
+
+
+@query("mapping_rules", """SELECT rule, count(*) AS n FROM (SELECT CASE WHEN m_status = 'planned' THEN 'planned' WHEN contains(lower(m_roof), '1') AND m_function IS NOT NULL THEN 'roofed' WHEN regexp_matches(lower(m_usage), '^[0-9]*5') THEN 'five' END AS rule
+FROM (SELECT feature_id, max(val_string) FILTER (name = 'status') AS m_status, max(val_string) FILTER (name = 'roofType') AS m_roof, max(val_string) FILTER (name = 'function') AS m_function, max(val_string) FILTER (name = 'usage') AS m_usage
+FROM property WHERE val_string IS NOT NULL AND feature_id IS NOT NULL GROUP BY feature_id)) GROUP BY rule""")
+def _(t):
+    values = t("property").filter("val_string is not null and feature_id is not null and name in ('status', 'roofType', 'function', 'usage')").groupBy("feature_id", "name").agg(F.max("val_string").alias("v"))
+    every = t("property").filter("val_string is not null and feature_id is not null").select("feature_id").distinct()
+    maps = values.groupBy("feature_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("m"))
+    owner = every.join(maps, "feature_id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<string,string>")))
+    rules = [
+        ({"object_property": "STATUS", "object_value": "Planned"}, "planned"), ({"enabled": False, "object_property": "status"}, "never"), ({"object_property": "rooftype", "object_value": "1", "material_property": "function", "mode": "contains"}, "roofed"),
+        ({"material_property": "usage", "material_value": "^[0-9]*5", "mode": "regex"}, "five"), ({}, "nothing"),
+    ]
+    return rollups.first_rule(owner, [(rollups.rule_holds(r, F.col("m"), F.col("m")), label) for r, label in rules], "rule").groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("xlink_in_files", """WITH m AS (SELECT member_id, file_id, pos, inner_value ->> '$.gml_id' AS gml_id FROM (SELECT *, json_extract(body, '$.*')[1] AS inner_value FROM city_object_member WHERE json_valid(body) AND json_type(body) = 'OBJECT')),
+t AS (SELECT file_id, gml_id, arg_min(member_id, (pos, member_id)) AS target FROM m WHERE gml_id IS NOT NULL GROUP BY ALL)
+SELECT m.member_id, t.target FROM m LEFT JOIN t ON t.file_id = m.file_id - m.pos % 2 AND t.gml_id = m.gml_id WHERE m.gml_id IS NOT NULL""")
+def _(t):
+    inner = F.get(F.map_values(F.from_json("body", "map<string,string>")), F.lit(0))
+    members = t("city_object_member").select("member_id", "file_id", "pos", F.get_json_object(inner, "$.gml_id").alias("gml_id")).filter("gml_id is not null")
+    there = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("#"), "gml_id")).otherwise(F.concat((F.col("file_id") - 1).cast("string"), F.lit("#"), "gml_id"))
+    targets = members.select(F.col("file_id").alias("of"), F.col("gml_id").alias("id"), F.struct("pos", "member_id").alias("place"), F.col("member_id").alias("target"))
+    return relations.resolve_in_files(members.withColumn("href", there), "href", "file_id", targets, "of", "id", "place").select("member_id", "target")
+
+
+@query("change_srid", "SELECT id, true AS same, 25833 AS srid FROM feature WHERE envelope IS NOT NULL")
+def _(t):
+    moved = t("feature").filter("envelope is not null").select("id", F.transform("envelope", lambda p: geometry.point(p["x"] + 400000, p["y"] + 5700000, p["z"])).alias("points"))
+    there = projection.change_srid(moved.withColumn("old", F.col("points")), "points", 25832, 25833)
+    back = there.withColumn("again", F.transform("points", lambda p: projection.transformed(p, 25833, 25832)))
+    near = lambda p, q: (F.abs(p["x"] - q["x"]) < 1e-3) & (F.abs(p["y"] - q["y"]) < 1e-3) & (p["z"] == q["z"])
+    same = F.forall(F.zip_with("old", "again", near), lambda x: x)
+    return back.select("id", (same & (F.col("points")[0]["x"] != F.col("old")[0]["x"])).alias("same"), "srid")
+
+
+@query("label_alerts", """SELECT feature_id, array_to_string(list_filter([CASE WHEN w / n > 0.8 THEN 'mostly walls' END, CASE WHEN g = 0 THEN 'no ground' END, CASE WHEN r = 0 THEN 'no roof' END], lambda x: x IS NOT NULL), ', ') AS alerts
+FROM (SELECT p.feature_id, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (o.classname = 'WallSurface') AS w, count(*) FILTER (o.classname = 'GroundSurface') AS g, count(*) FILTER (o.classname = 'RoofSurface') AS r FROM property p JOIN feature f ON f.id = p.val_feature_id JOIN objectclass o ON o.id = f.objectclass_id WHERE p.name = 'boundary' GROUP BY p.feature_id)""")
+def _(t):
+    kinds = t("feature").select(F.col("id").alias("val_feature_id"), "objectclass_id").join(small(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id")
+    held = t("property").filter("name = 'boundary'").select("feature_id", "val_feature_id").join(kinds, "val_feature_id")
+    return rollups.label_alerts(held, "feature_id", "classname").select("feature_id", F.array_join("alerts", ", ").alias("alerts"))
+
+
+@query("system_info", "SELECT id, CASE WHEN c IN (4326, 4979) THEN 'WGS 84' WHEN c IN (4258, 4937) THEN 'ETRS89' WHEN c BETWEEN 25828 AND 25838 THEN 'ETRS89 / UTM zone ' || (c % 100) || 'N' END AS name, c IN (4979, 4937) AS is_3d FROM (SELECT id, CASE id % 5 WHEN 0 THEN 4326 WHEN 1 THEN 4979 WHEN 2 THEN 4937 WHEN 3 THEN 25828 + id % 11 ELSE 4258 END AS c FROM feature)")
+def _(t):
+    five = F.col("id") % 5
+    code = F.when(five == 0, 4326).when(five == 1, 4979).when(five == 2, 4937).when(five == 3, 25828 + F.col("id") % 11).otherwise(4258)
+    return t("feature").select("id", projection.system_info(code).alias("s")).select("id", "s.name", "s.is_3d")
