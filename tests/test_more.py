@@ -109,7 +109,7 @@ def test_names_rules_and_boxes(spark):
 
 def test_placed_templates_and_files(spark):
     shapes = spark.createDataFrame([("t", [(1.0, 0.0, 0.0)])], f"template string, points {geometry.POINTS}")
-    made = [(1, "t", [2.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 2.0, 0, 0, 0, 0, 1.0], 10.0, 20.0, 30.0), (2, "t", None, 0.0, 0.0, 1.0), (3, "none", None, 0.0, 0.0, 0.0)]
+    made = [(1, "t", [float(v) for v in (2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 2, 0, 0, 0, 0, 1)], 10.0, 20.0, 30.0), (2, "t", None, 0.0, 0.0, 1.0), (3, "none", None, 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(made, "id int, template string, matrix array<double>, x double, y double, z double")
     got = {r["id"]: r["points"] for r in relations.placed_templates(df, shapes).collect()}
     assert [tuple(p) for p in got[1]] == [(12.0, 20.0, 30.0)] and [tuple(p) for p in got[2]] == [(1.0, 0.0, 1.0)] and got[3] is None

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from urbanloom.session import partitions
 
 
+#: Quantiles that the first look at the tables takes.
+FIRST_QUANTILES = 512
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (slot, is_ref, key, tab, row_id, period) in; references without key out.
 
@@ -56,13 +60,18 @@ def orphans(refs: DataFrame, parents: DataFrame, rows_per_range: int = 250_000,
     spark = refs.sparkSession
     refs, parents = refs.filter(F.col("key").isNotNull()), parents.filter(F.col("key").isNotNull()).select("tab", "key")
     both = parents.select("tab", "key").unionAll(refs.select("tab", "key"))
-    counts = {r["tab"]: r["n"] for r in both.groupBy("tab").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    grid = lambda n: [(i + 1) / n for i in range(n - 1)]
+    quantiles = lambda n: F.percentile_approx("key", grid(n), 10 * n).alias("cuts")
+    # one look at both tables for their size and for quantiles that are fine enough for most sizes
+    known = both.groupBy("tab").agg(F.count("*").alias("n"), quantiles(FIRST_QUANTILES)).collect()
+    if not known:
         return refs.select("tab", "row_id", "period")
-    total = sum(counts.values())
+    total = sum(r["n"] for r in known)
     ranges = int(min(max_ranges, max(4 * partitions(spark), total // rows_per_range)))
-    probe = [(i + 1) / ranges for i in range(ranges - 1)]
-    cuts = {r["tab"]: r["cuts"] for r in both.groupBy("tab").agg(F.percentile_approx("key", probe, 10 * ranges).alias("cuts")).collect()}
+    if ranges <= FIRST_QUANTILES:
+        cuts = {r["tab"]: [r["cuts"][round((i + 1) * FIRST_QUANTILES / ranges) - 1] for i in range(ranges - 1)] for r in known}
+    else:
+        cuts = {r["tab"]: r["cuts"] for r in both.groupBy("tab").agg(quantiles(ranges)).collect()}
     # slot of a key: how many cut points lie below it. With equal cut points a hot key owns more than one slot.
     bounds = spark.sparkContext.broadcast({t: np.array(c, np.int64) for t, c in cuts.items()})
 

@@ -59,19 +59,45 @@ def duplicates(df: DataFrame, key: str, shown: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(shown).cast("string"))), ",").alias("shown")).filter("n > 1")
 
 
-def grid_rows(points: DataFrame, group: str, x: str, y: str, tolerance: float = 0.01) -> DataFrame:
-    """Rows of a point grid by group: points in order of y are one row until the next is more than ``tolerance`` further."""
-    order = W.partitionBy(group).orderBy(y, x)
-    jump = F.when(F.col(y) - F.lag(y).over(order) > tolerance, 1).otherwise(0)
-    return points.withColumn("__jump", jump).withColumn("row", F.sum("__jump").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("__jump")
+def grid_rows(points: DataFrame, group: str, y: str, tolerance: float = 0.01) -> DataFrame:
+    """(group, y, n, row): rows of a point grid by group: heights in order are one row until the next is more than ``tolerance`` further.
 
-
-def regular_grids(points: DataFrame, group: str, x: str, y: str, tolerance: float = 0.01) -> DataFrame:
+    Heights are counted first; ranges of (group, height) then spread a hot group over tasks, and a small table of the
+    ranges' ends gives what comes before each.
+    """
+    counted = points.groupBy(F.col(group).alias("g"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    parts = cut(counted.repartitionByRange(partitions(points.sparkSession), "g", "y").withColumn("part", F.spark_partition_id()))
+    inside = W.partitionBy("g", "part").orderBy("y")
+    ends = parts.groupBy("g", "part").agg(F.max("y").alias("end"))
+    before = W.partitionBy("g").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(F.col("g").alias("g1"), F.col("part").alias("p1"), F.max("end").over(before).alias("before"))
+    placed = parts.withColumn("last", F.lag("y").over(inside)).join(ends, F.col("g").eqNullSafe(F.col("g1")) & (F.col("part") == F.col("p1"))).drop("g1", "p1")
+    jumped = cut(placed.withColumn("jump", F.when(F.col("y") - F.coalesce("last", "before") > tolerance, 1).otherwise(0)))
+    sums = jumped.groupBy("g", "part").agg(F.sum("jump").alias("jumps"))
+    sums = sums.select(F.col("g").alias("g1"), F.col("part").alias("p1"), F.coalesce(F.sum("jumps").over(before), F.lit(0)).alias("ahead"))
+    local = jumped.withColumn("k", F.sum("jump").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    out = local.join(sums, F.col("g").eqNullSafe(F.col("g1")) & (F.col("part") == F.col("p1")))
+    return out.select(F.col("g").alias(group), F.col("y").alias(y), "n", (F.col("k") + F.col("ahead")).alias("row"))
+
+
+def regular_grids(points: DataFrame, group: str, y: str, tolerance: float = 0.01) -> DataFrame:
     """(group, n_rows, regular): whether all rows of the grid have as many points."""
-    sizes = grid_rows(points, group, x, y, tolerance).groupBy(group, "row").agg(F.count("*").alias("n"))
+    sizes = grid_rows(points, group, y, tolerance).groupBy(group, "row").agg(F.sum("n").alias("n"))
     return sizes.groupBy(group).agg(F.count("*").alias("n_rows"), (F.min("n") == F.max("n")).alias("regular"))
 
 
+def grid_texts(points: DataFrame, group: str, y: str, x: str, z: str, tolerance: float = 0.01) -> DataFrame:
+    """(group, n_rows, n_columns, values) of regular grids: the heights z as one text, by row and then by x; other groups have none.
+
+    A grid's text is one value of the result; irregular groups are dropped before anything is gathered.
+    """
+    regular = regular_grids(points, group, y, tolerance).filter("regular").select(group, "n_rows")
+    rows_ = grid_rows(points, group, y, tolerance).select(group, y, "row")
+    placed = points.join(regular, group).join(rows_, [group, y])
+    values = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", x, z))), lambda p: p[z].cast("string")), " ")
+    return placed.groupBy(group).agg(F.max("n_rows").alias("n_rows"), (F.count("*") / F.max("n_rows")).cast("int").alias("n_columns"), values.alias("values"))
+
+
 def open_edges(rings: DataFrame, solid: str, points: str, digits: int = 6) -> DataFrame:
     """(solid, n_faces, n_bad_edges): edges that don't belong to exactly two faces of their solid. Direction doesn't matter."""
     at = lambda p: F.struct(F.bround(p["x"], digits).alias("x"), F.bround(p["y"], digits).alias("y"), F.bround(p["z"], digits).alias("z"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from urbanloom.functions.geometry import box_gap
-from urbanloom.session import cut
+from urbanloom.session import cut, small as sized
 
 
 def _levelled(df: DataFrame, b: Column, reach: float, cell: float) -> DataFrame:
@@ -35,7 +35,7 @@ def touching_pairs(boxes: DataFrame, key: str, box: str, tolerance: float = 0.0,
     slim = cut(slim)
     levels = slim.select("level").distinct()  # a few dozen at most: sizes differ by powers of two
     own = slim.withColumn("c", F.explode(_cells(F.col("b"), F.col("level"), tolerance, cell)))
-    lifted = slim.join(F.broadcast(levels.select(F.col("level").alias("at"))), F.col("at") >= F.col("level")).withColumn("c", F.explode(_cells(F.col("b"), F.col("at"), tolerance, cell)))
+    lifted = slim.join(sized(levels.select(F.col("level").alias("at"))), F.col("at") >= F.col("level")).withColumn("c", F.explode(_cells(F.col("b"), F.col("at"), tolerance, cell)))
     big = own.select(F.col("k").alias("k1"), F.col("b").alias("b1"), F.col("level").alias("at"), "c")
     small = lifted.select(F.col("k").alias("k2"), F.col("b").alias("b2"), F.col("level").alias("l2"), "at", "c")
     side = F.lit(cell) * F.pow(F.lit(2.0), F.col("at"))
@@ -47,16 +47,19 @@ def touching_pairs(boxes: DataFrame, key: str, box: str, tolerance: float = 0.0,
     return pairs.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b"), "gap")
 
 
-def nearest(queries: DataFrame, boxes: DataFrame, key: str, box: str, k: int = 3, start: float = 64.0) -> DataFrame:
+def nearest(queries: DataFrame, boxes: DataFrame, key: str, box: str, k: int = 3, start: float | None = None) -> DataFrame:
     """(query, neighbour, gap, rank): the ``k`` extents nearest to each query extent, itself left out; ties by key.
 
     The reach doubles until every query has ``k`` others within it, or all; only queries that lack some go on. A reach is a
-    join on grid cells of that size, so that no query meets all rows unless it must.
+    join on grid cells of that size, so that no query meets all rows unless it must. ``start``: the first reach; by default
+    the side of a square in which ``k`` extents would lie if they were spread evenly.
     """
     asked = cut(queries.select(F.col(key).alias("query"), F.col(box).alias("qb")).dropna())
     all_ = cut(boxes.select(F.col(key).alias("neighbour"), F.col(box).alias("b")).dropna())
-    total, reach, done = all_.count(), start, None
+    done = None
     span = all_.agg(F.max(F.greatest(F.abs("b.max_x"), F.abs("b.max_y"), F.abs("b.min_x"), F.abs("b.min_y"), F.abs("b.max_z"), F.abs("b.min_z")))).first()[0] or 0.0
+    total = all_.count()
+    reach = start or max(1.0, 2 * span * ((k + 1) / max(1, total)) ** 0.5)
     while not asked.isEmpty():
         zero = F.lit(0)
         cells = all_.withColumn("c", F.explode(_cells(F.col("b"), zero, 0.0, reach)))

@@ -319,7 +319,7 @@ def _(t):
 @query("regular_grids", "WITH p AS (SELECT objectclass_id, envelope[1].x AS x, round_even(envelope[1].y / 5000, 0) AS y FROM feature WHERE envelope IS NOT NULL), r AS (SELECT objectclass_id, y, count(*) AS n FROM p GROUP BY ALL) SELECT objectclass_id, count(*) AS n_rows, min(n) = max(n) AS regular FROM r GROUP BY objectclass_id")
 def _(t):
     points = t("feature").filter("envelope is not null").select("objectclass_id", LOW["x"].alias("x"), F.bround(LOW["y"] / 5000, 0).alias("y"))
-    return rollups.regular_grids(points, "objectclass_id", "x", "y")
+    return rollups.regular_grids(points, "objectclass_id", "y")
 
 
 @query("watertight", "SELECT id, CASE WHEN envelope[2].z > envelope[1].z THEN 6 ELSE 5 END AS n_faces, CASE WHEN envelope[2].z > envelope[1].z THEN 0 ELSE 4 END AS n_bad_edges FROM feature WHERE envelope IS NOT NULL AND envelope[2].x > envelope[1].x AND envelope[2].y > envelope[1].y AND envelope[2].z > envelope[1].z UNION ALL SELECT -id, 5, 4 FROM feature WHERE envelope[2].x > envelope[1].x AND envelope[2].y > envelope[1].y AND envelope[2].z > envelope[1].z")
