@@ -1,12 +1,16 @@
 import math
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from urbanloom.functions import geometry, mesh, projection
+from urbanloom.functions import curves, geometry, mesh, projection
 from urbanloom.operators import catalog, filters, relations, rollups
 from urbanloom.operators import mesh as solids
+from urbanloom.sources import city_attributes as parse
+from urbanloom.sources import city_sink as sink
+from urbanloom.sources import points
 
 
 def pt(x, y, z=0.0):
@@ -116,3 +120,52 @@ def test_placed_templates_and_files(spark):
     refs = spark.createDataFrame([(1, "a", "#k"), (2, "a", "b#k"), (3, "b", "k"), (4, "a", "c#k"), (5, "a", None)], "i int, base string, href string")
     targets = spark.createDataFrame([("a", "k", 1, 10), ("b", "k", 2, 20), ("b", "k", 1, 30)], "file string, id string, place int, value int")
     assert rows(relations.resolve_in_files(refs, "href", "base", targets, "file", "id", "place").select("i", "value")) == sorted([(1, 10), (2, 30), (3, 30), (4, None), (5, None)], key=repr)
+
+
+def test_curves_and_fits(spark):
+    a, b, c = pt(1.0, 0.0, 0.0), pt(0.0, 1.0, 9.0), pt(-1.0, 0.0, 4.0)
+    square = F.array(pt(0.0, 0.0), pt(2.0, 0.0), pt(2.0, 2.0), pt(0.0, 2.0))
+    pairs = lambda *rows_: F.array(*[F.struct(*[F.lit(float(v)).alias(k) for k, v in zip("xyuv", r, strict=False)]) for r in rows_])
+    one = spark.range(1).select(
+        curves.arc_through(a, b, c, 4).alias("arc"), curves.arc_through(c, b, a, 4).alias("back"), curves.arc_through(pt(0.0, 0.0), pt(1.0, 1.0), pt(2.0, 2.0)).alias("line"), F.size(curves.circle_through(a, b, c, 8)).alias("n"),
+        curves.arc_string(F.array(a, b, c, pt(-2.0, -1.0), pt(-3.0, 0.0), pt(-4.0, 0.0)), 2).alias("string"), curves.inside_or_on(F.lit(2.0), F.lit(1.0), square).alias("on"), curves.inside_or_on(F.lit(2.1), F.lit(1.0), square).alias("off"),
+        curves.fitted_uvs(pairs((0, 0, 0, 1), (2, 0, 1, 1), (0, 2, 0, 0)), pairs((1, 1), (2, 2))).alias("uv"), curves.fitted_uvs(pairs((0, 0, 0, 1), (1, 1, 1, 1)), pairs((1, 1))).alias("none"),
+        curves.ordered_uvs(square, F.array(pt(2.0, 0.0), pt(0.0, 0.0), pt(0.0, 2.0), pt(2.0, 2.0)), F.array(F.lit("b"), F.lit("a"), F.lit("d"), F.lit("c"))).alias("order"), curves.segment_kind(F.lit("NURBS"), square).alias("kind"),
+    ).first()
+    assert [(round(p["x"], 6), round(p["y"], 6), p["z"]) for p in one["arc"]][::2] == [(1.0, 0.0, 0.0), (0.0, 1.0, 2.0), (-1.0, 0.0, 4.0)]
+    assert round(one["back"][2]["y"], 6) == 1.0 and len(one["line"]) == 3 and one["n"] == 9 and len(one["string"]) == 6
+    assert (one["on"], one["off"], one["order"], one["kind"]) == (True, False, ["a", "b", "c", "d"], "Arc")
+    assert [(round(p["u"], 9), round(p["v"], 9)) for p in one["uv"]] == [(0.5, 0.5), (1.0, 0.0)] and [tuple(p) for p in one["none"]] == [(0.0, 0.0)]
+
+
+def test_point_files(spark, tmp_path):
+    head = bytearray(227)
+    head[:4], head[24:26], head[104] = b"LASF", b"\x01\x02", 2
+    struct.pack_into("<I", head, 96, 227)
+    struct.pack_into("<HI", head, 105, 26, 2)
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 100.0, 200.0, 0.0)
+    record = lambda x, y, z: struct.pack("<iiiHBBbBH", x, y, z, 7, 0, 2, 0, 0, 0) + struct.pack("<3H", 65535, 256, 0)
+    (tmp_path / "a.las").write_bytes(bytes(head) + record(100, 200, 300) + record(0, 0, -50))
+    (tmp_path / "b.ply").write_text("ply\nformat ascii 1.0\nelement vertex 2\nproperty float x\nproperty float y\nproperty float z\nproperty uchar red\nproperty uchar green\nproperty uchar blue\nend_header\n1 2 3 9 8 7\n4 5 6 0 0 1\n")
+    (tmp_path / "c.ply").write_text("nothing")
+    got = points.read_point_files(spark, str(tmp_path)).drop("file")
+    assert rows(got.filter("error is null").drop("error")) == sorted([(101.0, 202.0, 3.0, 255, 1, 0, 7.0, 2), (100.0, 200.0, -0.5, 255, 1, 0, 7.0, 2), (1.0, 2.0, 3.0, 9, 8, 7, None, None), (4.0, 5.0, 6.0, 0, 0, 1, None, None)], key=repr)
+    assert got.filter("error is not null").count() == 1
+
+
+def test_grids_lines_and_looks_through_xml(spark):
+    frame = spark.range(1).select(
+        sink.grid_xml(F.lit(2), F.lit(3), pt(1.0, 2.0, 3.0), pt(1.0, 0.0), pt(0.0, 1.0), F.lit("5 6 7 8 9 10")).alias("grid"), sink.curve_xml(F.array(F.struct(F.lit("Arc").alias("kind"), F.array(pt(0.0, 0.0), pt(1.0, 1.0), pt(2.0, 0.0)).alias("points")))).alias("curve"),
+        sink.composite_xml(F.array(sink.polygon_xml(F.array(pt(0.0, 0.0)), F.array(F.array(pt(1.0, 1.0))), F.lit("p"))), F.lit("c")).alias("composite"), sink.solid_xml(F.array(F.lit("p&q"))).alias("solid"), sink.type_attribute("bldg", "measuredHeight", F.lit(3.5), F.lit("m")).alias("height"),
+    )
+    made = frame.select(F.lit("f").alias("file"), F.concat(F.lit('<x:Thing gml:id="t">'), "grid", "curve", "composite", "solid", "height", F.lit("</x:Thing>")).alias("body"))
+    assert [tuple(r)[1:4] for r in parse.grids(made).collect()] == [("t", 2, 3)] and parse.grids(made).first()["coordinates"] == "5 6 7 8 9 10"
+    assert rows(parse.lines(made).filter("kind = 'Arc'").select("feature_id", "coordinates")) == [("t", "0.0 0.0 0.0 1.0 1.0 0.0 2.0 0.0 0.0")]
+    assert rows(parse.type_attributes(made).select("name", "number", "uom")) == [("measuredHeight", 3.5, "m")] and parse.member_links(made).first()["target"] == "p&q"
+    faces = spark.createDataFrame([("t", "p1", 1.0, 0.0, 0.5), ("t", "p2", 1.0, 0.0, 0.5), ("t", "p3", 0.0, 0.0, 2.0)], "feature_id string, target string, r double, g double, b double")
+    rings = spark.createDataFrame([("t", "a.png", "p1", "r1", [0.0, 0.0, 1.0, 0.0, 1.0, 1.0])], "feature_id string, image string, target string, ring string, uv array<double>")
+    looks = sink.materials_xml(faces).withColumnRenamed("xml", "m").join(sink.textures_xml(rings), "feature_id").select(F.lit("f").alias("file"), sink.appearance_xml(F.lit("day"), F.col("m"), F.col("xml")).alias("body"))
+    assert rows(parse.materials(looks).select("theme", "target", "r", "b")) == [("day", "p1", 1.0, 0.5), ("day", "p2", 1.0, 0.5), ("day", "p3", 0.0, 1.0)]
+    assert rows(parse.textures(looks).select("image", "target", "ring", "uv")) == [("a.png", "p1", "r1", [0.0, 0.0, 1.0, 0.0, 1.0, 1.0])]
+    grid = spark.createDataFrame([("g", float(i % 3), float(i // 3) + 0.001 * (i % 2), float(i)) for i in range(6)] + [("h", 0.0, 0.0, 1.0), ("h", 1.0, 0.0, 1.0), ("h", 0.0, 1.0, 1.0)], "k string, x double, y double, z double")
+    assert rows(rollups.grid_texts(grid, "k", "y", "x", "z")) == [("g", 2, 3, "0.0 1.0 2.0 3.0 4.0 5.0")]

@@ -35,9 +35,15 @@ class Query:
         """Features by extent; see ``in_bbox``."""
         return self._with(self.feature.filter(in_bbox(F.col("envelope")[0], F.col("envelope")[1], bbox, mode, missing)))
 
-    def lods(self, levels: list[int], mode: str = "or") -> Query:
-        """Features by the levels of detail that their properties have; see ``lod_mode``."""
-        of = self.prop.filter(F.col("val_lod").isNotNull()).groupBy(F.col("feature_id").alias("id")).agg(F.collect_set(F.col("val_lod").cast("int")).alias("__lods"))
+    def lods(self, levels: list[int], mode: str = "or", depth: int = 0) -> Query:
+        """Features by the levels of detail that their properties have, and those of what they contain down to ``depth``; see ``lod_mode``."""
+        own = self.prop.filter(F.col("val_lod").isNotNull()).select(F.col("feature_id").alias("n"), F.col("val_lod").cast("int").alias("lod")).distinct()
+        contains = self.prop.filter(F.col("val_relation_type") == 1).select(F.col("feature_id").alias("p"), F.col("val_feature_id").alias("n")).dropna().distinct()
+        every = step = own
+        for _ in range(depth):
+            step = step.join(contains, "n").select(F.col("p").alias("n"), "lod").distinct()
+            every = every.unionAll(step)
+        of = every.groupBy(F.col("n").alias("id")).agg(F.collect_set("lod").alias("__lods"))
         fit = of.filter(lod_mode(F.col("__lods"), levels, mode)).select("id")
         return self._with(self.feature.join(fit, "id", "left_semi"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -600,3 +601,37 @@ def _(t):
     five = F.col("id") % 5
     code = F.when(five == 0, 4326).when(five == 1, 4979).when(five == 2, 4937).when(five == 3, 25828 + F.col("id") % 11).otherwise(4258)
     return t("feature").select("id", projection.system_info(code).alias("s")).select("id", "s.name", "s.is_3d")
+
+
+@query("lod_search_depth", """WITH e AS (SELECT DISTINCT feature_id AS p, val_feature_id AS c FROM property WHERE val_relation_type = 1 AND val_feature_id IS NOT NULL), o AS (SELECT DISTINCT feature_id AS n, val_lod FROM property WHERE val_lod IS NOT NULL),
+l AS (SELECT * FROM o UNION SELECT e.p, o.val_lod FROM e JOIN o ON o.n = e.c UNION SELECT e.p, o.val_lod FROM e JOIN e f ON f.p = e.c JOIN o ON o.n = f.c) SELECT id FROM feature WHERE id IN (SELECT n FROM l GROUP BY n HAVING max(val_lod) IN ('1', '3'))""")
+def _(t):
+    return Query(t("feature"), t("objectclass"), t("property")).lods([1, 3], "maximum", depth=2).df().select("id")
+
+
+@query("code_descriptions", """SELECT p.id, d.definition FROM property p LEFT JOIN (SELECT c.url, e.code, arg_min(e.definition, e.id) AS definition FROM codelist_entry e JOIN codelist c ON c.id = e.codelist_id WHERE c.url IS NOT NULL AND e.code IS NOT NULL AND e.definition IS NOT NULL GROUP BY ALL) d
+ON d.url = p.val_codespace AND d.code = p.val_string WHERE p.val_codespace IS NOT NULL""")
+def _(t):
+    lists = t("codelist").filter("url is not null").select(F.col("id").alias("codelist_id"), "url")
+    known = t("codelist_entry").filter("code is not null and definition is not null").join(lists, "codelist_id").groupBy("url", "code").agg(F.min_by("definition", "id").alias("definition"))
+    used = t("property").filter("val_codespace is not null").select("id", F.col("val_codespace").alias("url"), F.col("val_string").alias("code"))
+    return used.join(known, ["url", "code"], "left").select("id", "definition")
+
+
+@query("database_report", f"""SELECT 'features' AS section, CASE WHEN termination_date IS NULL THEN 'active' ELSE 'terminated' END AS name, count(*) AS n FROM feature GROUP BY 2
+UNION ALL SELECT 'types', classname, count(*) FROM feature JOIN objectclass o ON o.id = objectclass_id WHERE termination_date IS NULL GROUP BY 2
+UNION ALL SELECT 'lods', val_lod, count(DISTINCT feature_id) FROM property WHERE val_lod IS NOT NULL GROUP BY 2 UNION ALL SELECT 'attributes', name, count(*) FROM property GROUP BY 2
+UNION ALL SELECT 'addresses', 'all', count(*) FROM address UNION ALL SELECT 'codelists', codelist_type, count(*) FROM codelist GROUP BY 2
+UNION ALL SELECT 'extent', 'width', CAST(floor(max(envelope[2].x) - min(envelope[1].x)) AS BIGINT) FROM feature""")
+def _(t):
+    f, p = t("feature"), t("property")
+    part = lambda df, section, name, n: df.groupBy(name.cast("string").alias("name")).agg(n.alias("n")).select(F.lit(section).alias("section"), "name", "n")
+    count, none = F.count("*"), F.lit(None).cast("timestamp")
+    named = f.filter(F.col("termination_date").isNull()).join(small(t("objectclass").select(F.col("id").alias("objectclass_id"), "classname")), "objectclass_id")
+    parts = [
+        part(f, "features", F.when(F.col("termination_date").isNull() | (F.col("termination_date") == none), "active").otherwise("terminated"), count), part(named, "types", F.col("classname"), count),
+        part(p.filter("val_lod is not null").select("feature_id", "val_lod"), "lods", F.col("val_lod"), F.count_distinct("feature_id")), part(p, "attributes", F.col("name"), count),
+        t("address").agg(count.alias("n")).select(F.lit("addresses").alias("section"), F.lit("all").alias("name"), "n"), part(t("codelist"), "codelists", F.col("codelist_type"), count),
+        f.agg(F.floor(F.max(HIGH["x"]) - F.min(LOW["x"])).alias("n")).select(F.lit("extent").alias("section"), F.lit("width").alias("name"), "n"),
+    ]
+    return reduce(DataFrame.unionAll, parts)

@@ -185,6 +185,63 @@ def series(members: DataFrame) -> DataFrame:
     return _read(members, "feature_id string, series_id string, kind string, attribute string", rows_of)
 
 
+def lines(members: DataFrame) -> DataFrame:
+    """(file, feature_id, kind, place, coordinates, radius, start, end): points, lines and curve segments, with the text of their coordinates.
+
+    kind: Point, MultiPoint, LineString, LineStringSegment, Arc, ArcString, Circle or ArcByCenterPoint, whose centre the
+    coordinates are. Points of a MultiPoint come as one text, those of two dimensions with 0 as their height.
+    """
+    kinds = ("LineString", "LineStringSegment", "Arc", "ArcString", "Circle", "ArcByCenterPoint", "Point", "MultiPoint")
+
+    def rows_of(root: ET.Element) -> Iterator[tuple]:
+        for place, (owner, e) in enumerate(_owned(root)):
+            if e.tag not in kinds or e.tag == "Point" and any(e in list(m.iter("Point")) for m in owner.iter("MultiPoint")):
+                continue
+            texts = [" ".join((x.text or "").replace(",", " ").split()) for x in e.iter() if x.tag in ("pos", "posList", "coordinates")]
+            if e.tag == "MultiPoint":
+                texts = [t + " 0" if len(t.split()) == 2 else t for t in texts]
+            yield owner.get("id"), e.tag, place, " ".join(t for t in texts if t), *(_number(_first(e, n)) for n in ("radius", "startAngle", "endAngle"))
+
+    return _read(members, "feature_id string, kind string, place int, coordinates string, radius double, start double, end double", rows_of)
+
+
+def point_clouds(members: DataFrame) -> DataFrame:
+    """(file, feature_id, mime_type, point_file, srs, points_id): where the points of a cloud are."""
+
+    def rows_of(root: ET.Element) -> Iterator[tuple]:
+        for owner, e in _owned(root):
+            if e.tag == "PointCloud" or (owner.tag == "PointCloud" and e.tag in ("pointFile", "points")):
+                c = e if e.tag == "PointCloud" else owner
+                yield c.get("id"), _first(c, "mimeType"), _first(c, "pointFile"), _first(c, "pointFileSrsName"), next((x.get("id") for x in c.iter("MultiPoint")), None)
+
+    return _read(members, "feature_id string, mime_type string, point_file string, srs string, points_id string", rows_of).distinct()
+
+
+def grids(members: DataFrame) -> DataFrame:
+    """(file, feature_id, rows, columns, x, y, z, ux, uy, uz, vx, vy, vz, coordinates): rectified grids with origin, steps and the text of their values.
+
+    Grids without limits, origin or two steps aren't grids; values in a file elsewhere give an empty text.
+    """
+
+    def three(text: str | None) -> tuple[float, float, float] | None:
+        found = [_number(t) for t in (text or "").split()]
+        return (*found, 0.0)[:3] if len(found) >= 2 and None not in found else None
+
+    def rows_of(root: ET.Element) -> Iterator[tuple]:
+        for owner, e in _owned(root):
+            if e.tag != "RectifiedGrid":
+                continue
+            low, high = ([_number(t, int) for t in (_first(e, n) or "").split()] for n in ("low", "high"))
+            origin, steps = next((p for x in e.iter("origin") if (p := three(_first(x, "pos")))), None), [p for x in e.iter("offsetVector") if (p := three(x.text))]
+            if len(low) < 2 or len(high) < 2 or None in low + high or origin is None or len(steps) < 2:
+                continue
+            values = " ".join((_first(owner, "tupleList", "doubleOrNilReasonTupleList", "QuantityList") or "").replace(",", " ").split())
+            yield owner.get("id"), high[1] - low[1] + 1, high[0] - low[0] + 1, *origin, *steps[0], *steps[1], values
+
+    names = ["x", "y", "z", "ux", "uy", "uz", "vx", "vy", "vz"]
+    return _read(members, "feature_id string, rows int, columns int, " + ", ".join(f"{n} double" for n in names) + ", coordinates string", rows_of)
+
+
 def _targets(e: ET.Element) -> list[str]:
     found = [(x.get("href") or x.get("uri") or x.text or "").strip() for x in e.iter() if x.tag in ("target", "uri")]
     return [t.rpartition("#")[2] for t in found if t]

@@ -93,6 +93,62 @@ def polygon_xml(outer: Column, inner: Column, polygon_id: Column | None = None)
     return element("gml:Polygon", ring("gml:exterior", outer), holes, attributes={} if polygon_id is None else {"gml:id": polygon_id})
 
 
+def composite_xml(polygons: Column, composite_id: Column | None = None) -> Column:
+    """A composite surface of an array of polygons in XML."""
+    inside = F.array_join(F.transform(polygons, lambda p: F.concat(F.lit("<gml:surfaceMember>"), p, F.lit("</gml:surfaceMember>"))), "")
+    return element("gml:CompositeSurface", inside, attributes={} if composite_id is None else {"gml:id": composite_id})
+
+
+def solid_xml(polygon_ids: Column) -> Column:
+    """A solid whose shell refers to polygons by their ids."""
+    inside = F.array_join(F.transform(polygon_ids, lambda i: F.concat(F.lit('<gml:surfaceMember xlink:href="#'), escaped(i), F.lit('"/>'))), "")
+    return element("gml:Solid", element("gml:exterior", element("gml:CompositeSurface", inside)))
+
+
+def curve_xml(segments: Column) -> Column:
+    """A curve of segments (kind, points): LineStringSegment, Arc (its first three points) or ArcString."""
+    one = lambda s: element(F.concat(F.lit("gml:"), s["kind"]), element("gml:posList", pos_list(F.when(s["kind"] == "Arc", F.slice(s["points"], F.lit(1), F.lit(3))).otherwise(s["points"]))))
+    return element("gml:Curve", element("gml:segments", F.array_join(F.transform(segments, one), "")))
+
+
+def grid_xml(rows: Column, columns: Column, origin: Column, along: Column, across: Column, values: Column) -> Column:
+    """A rectified grid coverage with the text of its values by row."""
+    vector = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["z"].cast("string"))
+    high = F.concat_ws(" ", (columns - 1).cast("string"), (rows - 1).cast("string"))
+    limits = element("gml:limits", element("gml:GridEnvelope", element("gml:low", F.lit("0 0")), element("gml:high", high)))
+    grid = element("gml:RectifiedGrid", limits, element("gml:origin", element("gml:Point", element("gml:pos", vector(origin)))), element("gml:offsetVector", vector(along)), element("gml:offsetVector", vector(across)), attributes={"dimension": F.lit(2)})
+    return element("gml:RectifiedGridCoverage", element("gml:domainSet", grid), element("gml:rangeSet", element("gml:DataBlock", element("gml:tupleList", values))))
+
+
+def type_attribute(prefix: str, name: str, value: Column, uom: Column | None = None) -> Column:
+    """An attribute of a type of feature, with its unit if it is a measure; null if the value is."""
+    return text_element(f"{prefix}:{name}", value, {} if uom is None else {"uom": uom})
+
+
+def materials_xml(df: DataFrame) -> DataFrame:
+    """(feature_id, xml) of X3D materials for faces (feature_id, target, r, g, b): one for each colour of a feature, with its targets in order."""
+    colours = df.dropna(subset=["feature_id", "target", "r", "g", "b"]).groupBy("feature_id", "r", "g", "b").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    colour = F.concat_ws(" ", *[F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))).cast("string") for c in "rgb"])
+    targets = F.array_join(F.transform("targets", lambda t: element("app:target", F.concat(F.lit("#"), escaped(t)))), "")
+    one = element("app:surfaceData", element("app:X3DMaterial", element("app:diffuseColor", colour), targets))
+    return colours.select("feature_id", "r", "g", "b", one.alias("xml")).groupBy("feature_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "g", "b", "xml"))), lambda x: x["xml"]), "").alias("xml"))
+
+
+def textures_xml(df: DataFrame) -> DataFrame:
+    """(feature_id, xml) of textures for rings (feature_id, image, target, ring, uv): one for each image of a feature."""
+    uv = F.array_join(F.transform("uv", lambda v: v.cast("string")), " ")
+    one = element("app:target", element("app:TexCoordList", element("app:textureCoordinates", uv, attributes={"ring": F.concat(F.lit("#"), F.col("ring"))})), attributes={"uri": F.concat(F.lit("#"), F.col("target"))})
+    rows = df.dropna(subset=["feature_id", "image", "target", "ring", "uv"]).select("feature_id", "image", "target", "ring", one.alias("xml"))
+    images = rows.groupBy("feature_id", "image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "ring", "xml"))), lambda x: x["xml"]), "").alias("inside"))
+    made = images.select("feature_id", "image", element("app:surfaceData", element("app:ParameterizedTexture", text_element("app:imageURI", F.col("image")), F.col("inside"))).alias("xml"))
+    return made.groupBy("feature_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("image", "xml"))), lambda x: x["xml"]), "").alias("xml"))
+
+
+def appearance_xml(theme: Column, *data: Column) -> Column:
+    """The appearance of a feature under a theme."""
+    return element("app:appearance", element("app:Appearance", text_element("app:theme", theme), *data))
+
+
 def surfaces(polygons: DataFrame, version: str) -> DataFrame:
     """(feature_id, lod, xml) of polygons (feature_id, lod, polygon, ring, is_interior, points): one multi-surface per level.
 
@@ -131,7 +187,7 @@ def write_city(made: DataFrame, path: str, version: str = "2.0", srs: str | None
     Head and foot are the first and the last row; with ``extent`` (one row: min_x, ... max_z) the head has the envelope.
     """
     spark = made.sparkSession
-    spaces = {"core": CORE[version], "gml": GML[version], "xAL": XAL[version], "xlink": XLINK} | {p: f"http://www.opengis.net/citygml/{m}/{version}" for p, (m, _) in MODULES.items()}
+    spaces = {"core": CORE[version], "gml": GML[version], "xAL": XAL[version], "xlink": XLINK, "app": f"http://www.opengis.net/citygml/appearance/{version}"} | {p: f"http://www.opengis.net/citygml/{m}/{version}" for p, (m, _) in MODULES.items()}
     head = f'<?xml version="1.0" encoding="UTF-8"?><core:CityModel {" ".join(f'xmlns:{k}="{v}"' for k, v in spaces.items())}>'
     first = spark.createDataFrame([(0, "", head), (3, "", "</core:CityModel>")], "part int, key string, value string")
     rows = first.unionByName(made.select(F.lit(2).alias("part"), F.col("feature_id").cast("string").alias("key"), F.col("xml").alias("value")))
