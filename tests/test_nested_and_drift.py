@@ -107,7 +107,7 @@ def test_one_table_of_all_members(spark):
     made = lambda *members: [json.dumps({top: m}) for top, m in members]
     first = made(*[("obj", {"gml_id": f"m{i}", "height": i + 0.5, "flag": i % 2 == 0, "pos": i}) for i in range(4)])
     second = made(*[("member", {"gml_id": f"m{i}", "hoehe": f"{i}.5" if i else "tall", "flag": "yes" if i else True, "pos": i}) for i in range(4)]) + ['{"member": {"gml_id": "m9"', None]
-    third = made(("member", {"gml_id": "m1", "hoehe": 1.5, "height": "new1"}), ("member", 5))
+    third = made(("member", {"gml_id": "m1", "hoehe": 1.5, "height": "new1", "FLAG": "x"}), ("member", 5))
     bodies = [(f, k, b) for f, part in enumerate((first, second, third)) for k, b in enumerate(part)]
     members = spark.createDataFrame(bodies, "file_id long, pos int, body string")
     files = spark.createDataFrame([(0, "s", 1), (1, "s", 5), (2, "s", 7)], "file_id long, series_code string, delivery_no int")
@@ -119,7 +119,7 @@ def test_one_table_of_all_members(spark):
     assert dict(table.dtypes)["height"] == "double"
     assert [got[0, 2]["top"], got[1, 2]["top"], got[0, 2]["height~2"], got[2, 0]["height~2"]] == ["obj", "member", None, "new1"]
     assert [got[0, 2]["height"], got[1, 0]["height"], got[1, 2]["height"], got[2, 0]["height"]] == [2.5, None, 2.5, 1.5]
-    assert [got[0, 2]["flag"], got[1, 0]["flag"], got[1, 1]["flag"], got[2, 0]["flag"], got[0, 1]["pos~"]] == [True, True, None, None, 1.0]
+    assert [got[0, 2]["flag~"], got[1, 0]["flag~"], got[1, 1]["flag~"], got[2, 0]["flag~"], got[2, 0]["FLAG"], got[0, 1]["pos~"]] == [True, True, None, None, "x", 1.0]
     assert {(r["file_id"], r["pos"], r["field"], r["text"]) for r in misfits.collect()} >= {(1, 1, "flag", "yes"), (1, 2, "flag", "yes"), (1, 3, "flag", "yes"), (1, 0, "height", "tall")}
     none, _ = unified_table(members.limit(0), files, changes.limit(0))
     assert none.count() == 0

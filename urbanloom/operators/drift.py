@@ -193,7 +193,8 @@ def unified_table(members: DataFrame, files: DataFrame, changes: DataFrame) -> t
     """(table, misfits) of all members.
 
     table: file_id, pos, readable, top, and a column for each canonical field in one type for all files (null where a member
-    doesn't have it); a member whose body can't be read has readable false. misfits: file_id, pos, field, kind and text of
+    doesn't have it; a name that is taken, also in another case, gets ``~`` behind it); a member whose body can't be read has
+    readable false. misfits: file_id, pos, field, kind and text of
     the values that don't fit their column's type; they are null in the table. No shuffle: a member's fields are renamed in
     place, by a small map for its file.
     """
@@ -209,7 +210,12 @@ def unified_table(members: DataFrame, files: DataFrame, changes: DataFrame) -> t
 
     fit = {"string": lambda v: v, "double": lambda v: v.try_cast("double"), "boolean": lambda v: F.when(v == "true", True).when(v == "false", False)}
     typed = {f: fit[t](value(f)) for f, t in types.items()}
-    table = texts.select("file_id", "pos", "readable", "top", *[c.alias(f if f not in ("file_id", "pos", "readable", "top") else f"{f}~") for f, c in typed.items()])
+    own = ["file_id", "pos", "readable", "top"]
+    taken, names_of = set(own), {}
+    for f in typed:  # names of columns differ without regard to case
+        names_of[f] = next(c for c in (f, f"{f}~", *(f"{f}~{n}" for n in range(2, len(typed) + 3))) if c.lower() not in taken)
+        taken.add(names_of[f].lower())
+    table = texts.select(*own, *[c.alias(names_of[f]) for f, c in typed.items()])
     bad = [F.when(value(f).isNotNull() & typed[f].isNull(), F.struct(F.lit(f).alias("field"), F.lit(t).alias("type"), value(f).alias("text"))) for f, t in types.items() if t != "string"]
     none = F.array().cast("array<struct<field:string,type:string,text:string>>")
     misfits = texts.select("file_id", "pos", F.explode(F.array_compact(F.array(*bad)) if bad else none).alias("m")).select("file_id", "pos", "m.*")
