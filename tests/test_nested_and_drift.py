@@ -1,10 +1,11 @@
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from urbanloom.operators.drift import best_matching, canonical_names, field_changes, name_similarity, unified_members, unified_table
-from urbanloom.operators.shred import _by_stack, containment, entities, read_json, shred
+from urbanloom.operators.shred import _by_stack, containment, entities, entity_table, owned_scalars, read_json, shred
 
 
 def test_containment_over_wrappers_lists_and_texts(spark):
@@ -123,3 +124,29 @@ def test_one_table_of_all_members(spark):
     assert {(r["file_id"], r["pos"], r["field"], r["text"]) for r in misfits.collect()} >= {(1, 1, "flag", "yes"), (1, 2, "flag", "yes"), (1, 3, "flag", "yes"), (1, 0, "height", "tall")}
     none, _ = unified_table(members.limit(0), files, changes.limit(0))
     assert none.count() == 0
+
+
+def test_containment_follows_the_parents_of_the_adjacency_table(spark):
+    """The nearest object with an id, found by going up the parents of the full table node by node."""
+    body = {"id": 1, "a": [{"x": {"id": 2, "t": json.dumps({"deep": [{"id": 3}]})}}, {"id": 4, "b": {"id": None, "c": {"id": 5}}}], "z": {"id": 6}}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, json.dumps([body, {"id": 9}]))], "record_id long, body string")
+    want = set()
+    for record in (1, 2):
+        nodes = {r["node"]: r for r in shred(df.filter(F.col("record_id") == record), "record_id", "body").collect()}
+        ids = {r["parent"]: r["scalar"] for r in nodes.values() if r["label"] == "id" and r["kind"] not in ("object", "array", "text")}
+        for node in ids:
+            up = nodes[node]["parent"]
+            while up >= 0 and up not in ids:
+                up = nodes[up]["parent"]
+            if up >= 0 and ids[up] is not None and ids[node] is not None:
+                want.add((int(ids[up]), int(ids[node])))
+    assert set(rows(containment(entities(shred(df, "record_id", "body", ["id"]))))) == want == {(1, 2), (2, 3), (1, 4), (1, 6)}
+
+
+def test_entities_as_a_table(spark):
+    bodies = [(1, json.dumps({"id": 1, "name": "old", "size": {"value": 2.50, "uom": "m"}, "Name": "x", "list": [{"v": 1}], "in": {"id": 2, "name": None}})), (2, json.dumps({"id": 1, "name": "new"})), (3, "{broken")]
+    df = spark.createDataFrame(bodies, "record_id long, body string")
+    table = entity_table(owned_scalars(shred(df, "record_id", "body")), "record_id")
+    assert table.columns == ["feature_id", "Name", "name~", "size_uom", "size_value"]
+    assert rows(table) == [(1, "x", "new", "m", "2.5"), (2, None, None, None, None)]
+    assert entity_table(owned_scalars(shred(df.limit(0), "record_id", "body")), "record_id").count() == 0

@@ -184,3 +184,32 @@ def containment(found: DataFrame) -> DataFrame:
     inner = found.filter((F.col("entity") >= 0) & F.col("feature_id").isNotNull()).select("record_id", "body_key", F.col("entity").alias("node"), F.col("feature_id").alias("val_feature_id"))
     outer = found.filter(F.col("feature_id").isNotNull()).select("record_id", "body_key", "node", "feature_id")
     return inner.join(outer, ["record_id", "body_key", "node"]).select("feature_id", "val_feature_id").distinct()
+
+
+def owned_scalars(nodes: DataFrame) -> DataFrame:
+    """Scalars of every object with an id: those between it and the objects with an id inside it, with its feature_id."""
+    owner = entities(nodes).select("record_id", "body_key", F.col("node").alias("entity"), "feature_id").dropna(subset=["feature_id"])
+    return nodes.filter(F.col("kind").isin("string", "number", "boolean", "null")).join(owner, ["record_id", "body_key", "entity"])
+
+
+def entity_table(scalars: DataFrame, order: str) -> DataFrame:
+    """One row per feature_id with a column for every path that leads to a scalar without passing a list; text, as written.
+
+    Columns are the paths with ``_`` for ``.``, in order, ``~`` behind names that are taken in any case. Of several
+    deliveries the value of the latest by ``order`` counts (of equal ones the largest text); a null there is no value. As many columns as there are
+    such paths go to the driver by name, nothing else.
+    """
+    direct = scalars.filter(~F.col("path").contains("[") & (F.col("path") != "id") & F.col("scalar").isNotNull())
+    paths = [r["path"] for r in direct.select("path").distinct().orderBy("path").collect()]
+    taken, names = {"feature_id"}, []
+    for p in paths:
+        name = p.replace(".", "_")
+        while name.lower() in taken:
+            name += "~"
+        taken.add(name.lower())
+        names.append(name)
+    value = lambda p: F.when(F.col("path") == p, F.col("scalar"))
+    place = lambda p: F.when(F.col("path") == p, F.struct(order, "scalar"))
+    every = scalars.select("feature_id").distinct()
+    wide = direct.groupBy("feature_id").agg(*[F.max_by(value(p), place(p)).alias(n) for p, n in zip(paths, names, strict=True)]) if paths else every
+    return every.join(wide, "feature_id", "left") if paths else every

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanloom.operators.shred import containment, entities, shred
+from urbanloom.operators.shred import containment, entities, entity_table, owned_scalars, shred
 from urbanloom.session import cut, table
 
 
@@ -15,21 +15,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment(cut(entities(nodes)))
 
 
-def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scalars of every feature: those between it and the features inside it."""
-    nodes = cut(shred(table(spark, sf_dir, "feature_record"), "record_id", "body"))
-    owner = entities(nodes).select("record_id", "body_key", F.col("node").alias("entity"), "feature_id").dropna(subset=["feature_id"])
-    return nodes.filter(F.col("kind").isin("string", "number", "boolean", "null")).join(owner, ["record_id", "body_key", "entity"])
-
-
 def p4_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat properties: one row per feature and path, however often the record was delivered."""
+    """Flat properties: one row per feature, path and value, however often the record was delivered, with the path and place around it."""
     kind = F.col("kind")
+    nodes = cut(shred(table(spark, sf_dir, "feature_record"), "record_id", "body"))
     return (
-        _owned(spark, sf_dir)
+        owned_scalars(nodes)
         .filter(F.col("path") != "id")
         .select(
-            "feature_id", F.col("path").alias("name"), F.when(kind == "string", F.col("scalar")).alias("val_string"),
+            "feature_id", F.col("path").alias("name"), F.regexp_replace("path", r"(^|\.)[^.\[]*$|\[\d+\]$", "").alias("parent_name"), "ordinal", F.when(kind == "string", F.col("scalar")).alias("val_string"),
             F.when(kind == "number", F.expr("try_cast(scalar as double)")).alias("val_double"), F.when(kind == "boolean", F.expr("try_cast(scalar as boolean)")).alias("val_boolean"),
         )
         .distinct()
@@ -37,13 +31,12 @@ def p4_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat features: id, objectclass, name and height with its unit; the smallest value where deliveries differ."""
-    at = lambda *paths: F.min(F.when(F.col("path").isin(*paths), F.col("scalar")))
-    return (
-        _owned(spark, sf_dir)
-        .groupBy("feature_id")
-        .agg(at("objectclass").alias("objectclass"), at("name").alias("name"), at("height", "height.value").cast("double").alias("height"), at("height.uom").alias("height_uom"))
-    )
+    """Flat features: one row per feature with a column for each of its values, as last delivered."""
+    records = table(spark, sf_dir, "feature_record")
+    nodes = cut(shred(records, "record_id", "body"))
+    when = records.groupBy("record_id").agg(F.max("received_at").alias("received_at"))
+    told = owned_scalars(nodes).join(when, "record_id").withColumn("order", F.struct("received_at", "record_id"))
+    return entity_table(cut(told.select("feature_id", "path", "scalar", "order")), "order")
 
 
 QUERIES = {"p4_found": p4_found, "p4_properties": p4_properties, "p4_features": p4_features}
