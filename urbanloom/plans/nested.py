@@ -50,4 +50,19 @@ r(v, own) AS (SELECT CAST(body AS JSON), CAST(NULL AS VARCHAR) FROM o WHERE json
  WHERE json_type(k.value) IN ('OBJECT', 'ARRAY') OR (json_type(k.value) = 'VARCHAR' AND regexp_matches(k.value ->> '$', '^\s*[{\[]') AND json_valid(k.value ->> '$')))
 SELECT DISTINCT feature_id, val_feature_id FROM (SELECT TRY_CAST(own AS BIGINT) AS feature_id, TRY_CAST(v ->> '$.id' AS BIGINT) AS val_feature_id FROM r WHERE json_type(v) = 'OBJECT' AND json_exists(v, '$.id'))
 WHERE feature_id IS NOT NULL AND val_feature_id IS NOT NULL""",
+    "p4_properties": r"""WITH RECURSIVE o AS (SELECT DISTINCT body FROM feature_record WHERE json_valid(body)),
+r(v, own, path) AS (SELECT CAST(body AS JSON), CAST(NULL AS VARCHAR), '' FROM o WHERE json_type(body) IN ('OBJECT', 'ARRAY')
+ UNION ALL SELECT CASE WHEN json_type(k.value) = 'VARCHAR' THEN CAST(k.value ->> '$' AS JSON) ELSE k.value END,
+  CASE WHEN json_type(r.v) = 'OBJECT' AND json_exists(r.v, '$.id') THEN r.v ->> '$.id' ELSE r.own END,
+  CASE WHEN json_type(r.v) = 'ARRAY' THEN r.path || '[' || k.key || ']' WHEN r.path = '' OR json_exists(r.v, '$.id') THEN k.key ELSE r.path || '.' || k.key END
+ FROM r, LATERAL (SELECT key, value FROM json_each(r.v)) k
+ WHERE json_type(k.value) IN ('OBJECT', 'ARRAY') OR (json_type(k.value) = 'VARCHAR' AND regexp_matches(k.value ->> '$', '^\s*[{\[]') AND json_valid(k.value ->> '$'))),
+s AS (SELECT CASE WHEN json_type(r.v) = 'OBJECT' AND json_exists(r.v, '$.id') THEN r.v ->> '$.id' ELSE r.own END AS own, json_type(k.value) AS kind, k.value ->> '$' AS txt,
+  CASE WHEN json_type(r.v) = 'ARRAY' THEN r.path || '[' || k.key || ']' WHEN r.path = '' OR json_exists(r.v, '$.id') THEN k.key ELSE r.path || '.' || k.key END AS name,
+  CAST(CASE WHEN json_type(r.v) = 'ARRAY' THEN CAST(k.key AS INTEGER) ELSE list_position(json_keys(r.v), k.key) - 1 END AS INTEGER) AS ordinal
+ FROM r, LATERAL (SELECT key, value FROM json_each(r.v)) k
+ WHERE json_type(k.value) NOT IN ('OBJECT', 'ARRAY') AND NOT (json_type(k.value) = 'VARCHAR' AND regexp_matches(k.value ->> '$', '^\s*[{\[]') AND json_valid(k.value ->> '$')))
+SELECT DISTINCT TRY_CAST(own AS BIGINT) AS feature_id, name, regexp_replace(name, '(^|\.)[^.\[]*$|\[\d+\]$', '') AS parent_name, ordinal, CASE WHEN kind = 'VARCHAR' THEN txt END AS val_string,
+ CASE WHEN kind NOT IN ('VARCHAR', 'BOOLEAN', 'NULL') THEN TRY_CAST(txt AS DOUBLE) END AS val_double, CASE WHEN kind = 'BOOLEAN' THEN txt = 'true' END AS val_boolean
+FROM s WHERE TRY_CAST(own AS BIGINT) IS NOT NULL AND name <> 'id'""",
 }
