@@ -3,9 +3,10 @@ import glob
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from urbanloom.functions import text
 from urbanloom.functions.geometry import area, parse_points, point
 from urbanloom.sources import city_attributes as parse
-from urbanloom.sources.citygml import features, file_profile, foreign_namespaces, promoted, read_features, read_members, rings, scan_file
+from urbanloom.sources.citygml import boxes_in, count_features, feature_boxes, features, file_origins, file_profile, foreign_namespaces, promoted, read_features, read_members, rings, scan_file
 from urbanloom.sources.city_sink import write_buildings
 from urbanloom.sources.points import grid_points, read_points
 from urbanloom.streaming.changes import changes_by_window, current_state, log_changes
@@ -64,6 +65,20 @@ def test_filters_of_a_city_file(spark, tmp_path):
     assert names(promoted(read_features(spark, path))) == ["group", "lamp", "mill", "mill-shed"]
 
 
+def test_places_of_a_city_file(spark, tmp_path):
+    (tmp_path / "a.gml").write_text(FILE)
+    path = str(tmp_path / "a.gml")
+    boxes = feature_boxes(read_members(spark, path))
+    assert rows(boxes.drop("file")) == [("mill-roof", "RoofSurface", 40.0, 20.0, 9.0, 46.0, 25.0, 9.0)]
+    assert boxes_in(boxes, (46, 25, 50, 50)).count() == 1 and boxes_in(boxes, (46, 25, 50, 50), ["WallSurface"]).count() == boxes_in(boxes, (0, 0, 39, 50)).count() == 0
+    assert rows(file_origins(spark, path).drop("file")) == [(3.0, 4.0, 5.0, "urn:ogc:def:crs:EPSG::25833")]
+    assert count_features(spark, path) == 5 and count_features(spark, path, spark.createDataFrame([("lamp",)], "id string")) == 1
+    df = spark.createDataFrame([("/d/a.gml", "tex\\x.png"), ("/d/a.gml", "./b.png"), ("/d/a.gml", "http://h/x"), ("/d/a.gml", "/abs"), ("/d/a.gml", " ")], "f string, u string")
+    assert [r[0] for r in df.select(text.resolved_path(F.col("f"), F.col("u"))).collect()] == ["/d/tex/x.png", "/d/b.png", "http://h/x", "/abs", None]
+    one = spark.range(1).select(text.in_schema_order(F.array(*map(F.lit, "zbab")), ["a", "b"]), text.without_suffixes(F.array(F.lit("x_geom"), F.lit(" x "), F.lit(""), F.lit("y_outer")), ["_outer", "_geom"])).first()
+    assert (one[0], one[1]) == (["a", "b", "b", "z"], ["x", "y"])
+
+
 def test_attributes_of_a_city_file(spark, tmp_path):
     (tmp_path / "a.gml").write_text(FILE)
     members = read_members(spark, str(tmp_path / "a.gml"))

@@ -110,3 +110,24 @@ def xs_datetime(value: Column) -> Column:
     moment = F.try_to_timestamp(F.when(shape, F.regexp_replace(text, " ", "T")))
     shown = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
     return F.when(moment.isNull(), "").when(text.rlike("(Z|[+-][0-9]{2}:[0-9]{2})$") & (F.length(text) > 10), F.concat(shown, F.lit("Z"))).otherwise(shown)
+
+
+def resolved_path(file: Column, uri: Column) -> Column:
+    """Where ``uri`` leads from a file: web and absolute addresses as they are, others beside the file; null for blank ones."""
+    text = F.nullif(F.replace(F.trim(uri), F.lit("\\"), F.lit("/")), F.lit(""))
+    own = F.regexp_replace(text, "^(\\./)+", "")
+    return F.when(text.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/)"), text).otherwise(F.concat(F.regexp_replace(file, "[^/]*$", ""), own))
+
+
+def in_schema_order(children: Column, order: list[str]) -> Column:
+    """Names of children in the order of a schema, unknown ones last; equal ones stay in their order."""
+    places = F.create_map(*[v for k, n in enumerate(order) for v in (F.lit(n), F.lit(k))]) if order else F.create_map().cast("map<string,int>")
+    keyed = F.transform(children, lambda c, i: F.struct(F.coalesce(F.try_element_at(places, c), F.lit(9999)).alias("p"), i.alias("i"), c.alias("c")))
+    return F.transform(F.array_sort(keyed), lambda x: x["c"])
+
+
+def without_suffixes(ids: Column, suffixes: list[str]) -> Column:
+    """An array of ids without blank ones and the endings ``suffixes``, each once, in order of their first place."""
+    ending = "(" + "|".join(suffixes) + ")$"
+    cut = F.transform(ids, lambda i: F.regexp_replace(F.trim(i), ending, ""))
+    return F.array_distinct(F.filter(cut, lambda i: F.coalesce(i, F.lit("")) != ""))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urbanloom.functions.geometry import affine, shifted
 from urbanloom.functions.text import reference_id
+from urbanloom.operators.rollups import numbered
 from urbanloom.session import cut
 
 
@@ -103,3 +104,35 @@ def load_features(target: DataFrame, new: DataFrame, key: str, mode: str, at: Co
         ended = hit.withColumn("termination_date", F.when(F.col("__hit") & F.col("termination_date").isNull(), at).otherwise(F.col("termination_date")))
         return ended.select(*target.columns).unionByName(new)
     raise ValueError(mode)
+
+
+def attach_parts(prop: DataFrame, parts: DataFrame, first_id: int) -> DataFrame:
+    """``prop`` with a containing property for each of ``parts`` (parent, child, name); a child that is contained elsewhere is moved.
+
+    New rows are numbered from ``first_id`` in the order of (parent, child); columns that they don't have are null.
+    """
+    free = detach_parts(prop, parts.select("child"))
+    placed = numbered(parts.select("parent", "child", "name").distinct().withColumn("all", F.lit(0)).withColumn("order", F.struct("parent", "child", "name")), "all", "order", "k")
+    new = placed.select((F.col("k") + (first_id - 1)).alias("id"), F.col("parent").alias("feature_id"), F.col("child").alias("val_feature_id"), "name", F.lit(1).alias("val_relation_type"))
+    kinds = dict(prop.dtypes)
+    return free.unionByName(new.select(*[F.col(c).cast(kinds[c]) for c in new.columns if c in kinds]), allowMissingColumns=True).select(*prop.columns)
+
+
+def detach_parts(prop: DataFrame, parts: DataFrame) -> DataFrame:
+    """``prop`` without the properties that contain one of ``parts`` (child)."""
+    gone = parts.select(F.col("child").alias("val_feature_id"), F.lit(1).alias("val_relation_type")).distinct()
+    return prop.join(gone, ["val_feature_id", "val_relation_type"], "left_anti").select(*prop.columns)
+
+
+def next_suffixes(ids: DataFrame, column: str, bases: DataFrame, base: str) -> DataFrame:
+    """(base, next): for each id of ``bases`` the first ``base_N`` above all that there are, from 1 on."""
+    last = F.regexp_extract(column, "_([0-9]{1,9})$", 1)
+    used = ids.select(F.regexp_replace(column, "_[0-9]{1,9}$", "").alias(base), F.nullif(last, F.lit("")).cast("int").alias("n")).dropna().groupBy(base).agg(F.max("n").alias("n"))
+    return bases.select(base).distinct().join(used, base, "left").select(base, F.concat(base, F.lit("_"), (F.coalesce("n", F.lit(0)) + 1).cast("string")).alias("next"))
+
+
+def by_theme(looks: DataFrame, themes: list[str] | None) -> DataFrame:
+    """Appearances (theme) of the given themes; an empty list keeps none, None keeps all, an empty name stands for those without a theme."""
+    if themes is None:
+        return looks
+    return looks.filter(F.coalesce("theme", F.lit("")).isin(themes)) if themes else looks.limit(0)

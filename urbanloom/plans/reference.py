@@ -635,3 +635,19 @@ def _(t):
         f.agg(F.floor(F.max(HIGH["x"]) - F.min(LOW["x"])).alias("n")).select(F.lit("extent").alias("section"), F.lit("width").alias("name"), "n"),
     ]
     return reduce(DataFrame.unionAll, parts)
+
+
+@query("attached_parts", """WITH new AS (SELECT DISTINCT feature_id AS parent, val_feature_id AS child, name FROM property WHERE val_relation_type = 0 AND name = 'relatedTo' AND val_feature_id IS NOT NULL AND feature_id IS NOT NULL),
+k AS (SELECT id, feature_id, val_feature_id, name FROM property WHERE coalesce(NOT (val_relation_type = 1 AND val_feature_id IN (SELECT child FROM new)), true))
+SELECT id, feature_id, val_feature_id, name FROM k UNION ALL SELECT 9999999 + row_number() OVER (ORDER BY parent, child, name), parent, child, name FROM new""")
+def _(t):
+    p = t("property")
+    parts = p.filter("val_relation_type = 0 and name = 'relatedTo' and val_feature_id is not null and feature_id is not null").select(F.col("feature_id").alias("parent"), F.col("val_feature_id").alias("child"), "name")
+    return relations.attach_parts(p, parts, 10_000_000).select("id", "feature_id", "val_feature_id", "name")
+
+
+@query("next_suffixes", r"""SELECT base, base || '_' || (coalesce(max(n), 0) + 1) AS next FROM (SELECT DISTINCT name AS base FROM property) LEFT JOIN (SELECT name AS b, id % 90 AS n FROM property WHERE id % 90 > 4) ON b = base GROUP BY base""")
+def _(t):
+    p = t("property")
+    ids = p.select(F.when(F.col("id") % 90 > 4, F.concat_ws("_", "name", (F.col("id") % 90).cast("string"))).otherwise(F.col("name")).alias("i"))
+    return relations.next_suffixes(ids, "i", p.select(F.col("name").alias("base")), "base")

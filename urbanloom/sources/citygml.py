@@ -100,6 +100,32 @@ def scan_file(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def feature_boxes(members: DataFrame) -> DataFrame:
+    """(file, feature_id, feature_type, min_x, ... max_z): the extent of each feature's own rings, as an index to look places up in."""
+    corners = [f"{n}_{k}" for n in ("min", "max") for k in "xyz"]
+    each = rings(members).select("file", "feature_id", "feature_type", box(parse_points(F.col("text"), F.col("dimension"))).alias("b")).filter(F.col("b").isNotNull())
+    return each.groupBy("file", "feature_id", "feature_type").agg(*[getattr(F, c[:3])(f"b.{c}").alias(c) for c in corners])
+
+
+def boxes_in(boxes: DataFrame, bbox: tuple[float, float, float, float], types: list[str] | None = None) -> DataFrame:
+    """Rows of ``feature_boxes`` that meet an extent in the plane, edges included, of the given types or of all."""
+    out = boxes.filter((F.col("min_x") <= bbox[2]) & (F.col("max_x") >= bbox[0]) & (F.col("min_y") <= bbox[3]) & (F.col("max_y") >= bbox[1]))
+    return out.filter(F.col("feature_type").isin(types)) if types else out
+
+
+def file_origins(spark: SparkSession, path: str) -> DataFrame:
+    """(file, x, y, z, srs): the lower corner of each file's envelope, or else the smallest coordinates of its rings."""
+    corner = parse_points(F.col("lower"), F.when(F.size(F.split("lower", r"\s+")) >= 3, 3).otherwise(2), close=False)
+    heads = file_profile(spark, path).select("file", "srs", F.get(corner, F.lit(0)).alias("low"))
+    least = feature_boxes(read_members(spark, path)).groupBy("file").agg(*[F.min(f"min_{k}").alias(k) for k in "xyz"])
+    return heads.join(least, "file", "left").select("file", *[F.coalesce(F.col(f"low.{k}"), F.col(k)).alias(k) for k in "xyz"], "srs")
+
+
+def count_features(spark: SparkSession, path: str, ids: DataFrame | None = None) -> int:
+    """How many features the files in ``path`` hold, by ``ids`` or all; of one id in a file one counts."""
+    return read_features(spark, path, ids).count()
+
+
 #: Feature types that stay beside their promoted parts, and types that aren't promoted out of them.
 KEPT_PARENTS = ["Building", "Bridge", "Tunnel"]
 NOT_PROMOTED = ["BridgeInstallation", "TunnelInstallation"]
