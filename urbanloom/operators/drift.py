@@ -173,9 +173,11 @@ def canonical_names(changes: DataFrame, files: DataFrame) -> DataFrame:
 
 def unified_members(members: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
     """All fields of all readable members: file_id, pos, gml_id, top, field (its first name in the series), kind, text."""
-    fields = member_fields(members, "file_id", "pos", "body").filter(F.col("field").isNotNull())
-    names = small(canonical_names(changes, files))
-    return fields.join(names, ["file_id", "field"], "left").select("file_id", "pos", "gml_id", "top", F.coalesce("canonical", "field").alias("field"), "kind", "text")
+    return _named(member_fields(members, "file_id", "pos", "body"), canonical_names(changes, files))
+
+
+def _named(fields: DataFrame, names: DataFrame) -> DataFrame:
+    return fields.filter(F.col("field").isNotNull()).join(small(names), ["file_id", "field"], "left").select("file_id", "pos", "gml_id", "top", F.coalesce("canonical", "field").alias("field"), "kind", "text")
 
 
 #: Type of a column by the commonest JSON type of its field; arrays and objects stay JSON text.
@@ -198,8 +200,9 @@ def unified_table(members: DataFrame, files: DataFrame, changes: DataFrame) -> t
     the values that don't fit their column's type; they are null in the table. No shuffle: a member's fields are renamed in
     place, by a small map for its file.
     """
-    types = column_types(unified_members(members, files, changes))
-    names = canonical_names(changes, files).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "field"))).alias("__field_of"), F.collect_set("field").alias("__renamed"))
+    renames = cut(canonical_names(changes, files))
+    types = column_types(_named(member_fields(members, "file_id", "pos", "body"), renames))
+    names = renames.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "field"))).alias("__field_of"), F.collect_set("field").alias("__renamed"))
     parsed = members.select("file_id", "pos", F.map_entries(F.from_json("body", "map<string,string>")).alias("__tops"))
     first = F.get("__tops", F.lit(0))
     texts = parsed.select("file_id", "pos", F.coalesce(F.size("__tops") > 0, F.lit(False)).alias("readable"), first["key"].alias("top"), F.from_json(first["value"], "map<string,string>").alias("__texts")).join(small(names), "file_id", "left")
