@@ -651,3 +651,58 @@ def _(t):
     p = t("property")
     ids = p.select(F.when(F.col("id") % 90 > 4, F.concat_ws("_", "name", (F.col("id") % 90).cast("string"))).otherwise(F.col("name")).alias("i"))
     return relations.next_suffixes(ids, "i", p.select(F.col("name").alias("base")), "base")
+
+
+@query("load_terminate", """SELECT objectid AS id, count(*) AS n, count(termination_date) AS n_ended FROM (SELECT objectid, CASE WHEN objectid IN (SELECT objectid FROM feature_changelog WHERE objectid IS NOT NULL) AND termination_date IS NULL THEN TIMESTAMP '2024-01-01' ELSE CAST(termination_date AS TIMESTAMP) END AS termination_date
+FROM feature UNION ALL SELECT objectid, NULL FROM feature_changelog WHERE objectid IS NOT NULL) GROUP BY 1""")
+def _(t):
+    new = t("feature_changelog").filter("objectid is not null").select("objectid", F.lit(None).cast("timestamp").alias("termination_date"))
+    done = relations.load_features(t("feature").select("objectid", "termination_date"), new, "objectid", "terminate", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return done.groupBy(F.col("objectid").alias("id")).agg(F.count("*").alias("n"), F.count("termination_date").alias("n_ended"))
+
+
+@query("id_filter_keep_missing", "SELECT id FROM feature_changelog WHERE objectid IS NULL OR objectid IN (SELECT objectid FROM feature)")
+def _(t):
+    return filters.by_id(t("feature_changelog"), "objectid", t("feature").select("objectid"), "keep").select("id")
+
+
+@query("crs_codes", rf"""SELECT id, CAST(nullif(regexp_extract(lower(name), 'epsg:+([0-9]+)', 1), '') AS INTEGER) AS code, name LIKE 'local%' = false AND name NOT LIKE '%grid%' AS known FROM ({_SPELLED})""")
+def _(t):
+    names = t("feature").select("id", (F.col("id") % len(_NOTATIONS)).alias("k")).select("id", F.expr(_FILLED.replace("VARCHAR", "STRING")).alias("name"))
+    return names.select("id", crs.epsg_number(F.col("name")).alias("code"), crs.same_crs(F.col("name"), F.upper("name")).alias("known"))
+
+
+_GUID = "substr(sha256(CAST(id AS VARCHAR)), 1, CASE WHEN id % 4 = 0 THEN 21 ELSE 22 END)"
+
+
+@query("ifc_ids", f"SELECT id, id % 4 <> 0 AS valid, CASE WHEN id % 4 <> 0 THEN {_GUID} END AS guid, 'ifc://guid/' || {_GUID} AS uri FROM feature")
+def _(t):
+    guid = F.substring(F.sha2(F.col("id").cast("string"), 256), F.lit(1), F.when(F.col("id") % 4 == 0, 21).otherwise(22))
+    uri = F.when(F.col("id") % 3 == 0, text.ifc_uri(F.col("g"))).when(F.col("id") % 3 == 1, F.concat(F.lit("ifc:guid:"), "g")).otherwise(F.col("g"))
+    return t("feature").select("id", guid.alias("g")).select("id", text.is_ifc_guid(F.col("g")).alias("valid"), text.ifc_guid(uri).alias("guid"), text.ifc_uri(F.col("g")).alias("uri"))
+
+
+@query("tag_texts", """SELECT id, name AS local, CASE WHEN val_string IS NULL OR trim(val_string) = '' THEN 'Unknown' WHEN id % 3 = 0 THEN 'WallSurface' ELSE val_string END AS surface, TRY_CAST(val_double AS DOUBLE) AS number, coalesce(nullif(trim(val_uom), ''), 'm') AS uom,
+CASE WHEN id % 2 = 0 THEN strftime(loaded_at, '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS loaded FROM property""")
+def _(t):
+    p = t("property")
+    label = F.when((F.col("id") % 3 == 0) & (F.trim("val_string") != ""), F.concat("val_string", F.lit("WallSurface"))).otherwise(F.col("val_string"))
+    measure = text.measure(F.col("val_double").cast("string"), F.col("val_uom"))
+    shown = F.when(F.col("id") % 2 == 0, F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).otherwise("no time")
+    return p.select("id", text.local_name(F.concat(F.lit("{http://x/y}"), "name")).alias("local"), text.surface_type(label).alias("surface"), measure["value"].alias("number"), measure["uom"].alias("uom"), text.xs_datetime(shown).alias("loaded"))
+
+
+@query("degenerate_rings", "SELECT id, CASE WHEN w = 0 OR d = 0 THEN 'repeated point' WHEN w * d < 1e-6 THEN 'no area' END AS why FROM (SELECT id, envelope[2].x - envelope[1].x AS w, envelope[2].y - envelope[1].y AS d FROM feature WHERE envelope IS NOT NULL)")
+def _(t):
+    corners = [geometry.point(x, y, LOW["z"]) for x, y in ((LOW["x"], LOW["y"]), (HIGH["x"], LOW["y"]), (HIGH["x"], HIGH["y"]), (LOW["x"], HIGH["y"]), (LOW["x"], LOW["y"]))]
+    return t("feature").filter("envelope is not null").select("id", F.array(*corners).alias("ring")).select("id", geometry.degenerate(F.col("ring")).alias("why"))
+
+
+@query("turned_surfaces", """SELECT severity, message, count(*) AS n FROM (SELECT 'WARNING' AS severity, CASE WHEN f = 0 THEN 'RoofSurface looks down' ELSE 'GroundSurface looks up' END AS message FROM feature, range(2) AS r(f)
+WHERE id % 2 = 1 AND envelope[2].x > envelope[1].x AND envelope[2].y > envelope[1].y AND envelope[2].z > envelope[1].z) GROUP BY ALL""")
+def _(t):
+    solid = t("feature").filter((HIGH["x"] > LOW["x"]) & (HIGH["y"] > LOW["y"]) & (HIGH["z"] > LOW["z"]))
+    faces = solid.select("id", F.posexplode(geometry.box_faces(_box())).alias("face", "ring")).filter("face < 2")
+    turned = (F.col("id") % 2 == 1) == (F.col("face") == 0)
+    named = faces.select("id", F.when(turned, "RoofSurface").otherwise("GroundSurface").alias("kind"), geometry.unit_normal(F.col("ring"))["z"].alias("nz"))
+    return validation.turned_surfaces(named, "id", "kind", "nz").groupBy("severity", "message").agg(F.count("*").alias("n"))
