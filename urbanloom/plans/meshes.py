@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanloom.functions import geometry, mesh
+from urbanloom.functions import curves, geometry, mesh
 from urbanloom.operators import mesh as solids
 from urbanloom.session import cut, table
 
@@ -145,3 +145,66 @@ def _(faces, t):
     sized = t("feature").groupBy("objectclass_id").agg(F.count("*").cast("double").alias("n")).withColumn("mb", n * 20)
     memory = F.greatest(F.lit(50.0), F.bround(n / 1000 * 10 + n * 0.5, 1))
     return sized.select("objectclass_id", mesh.batch_size(n, mb).alias("batch"), mesh.batch_size_for(mb, F.lit(0.5)).alias("fit"), mesh.index_benefit(n, F.lit(0.1))["indexed"].alias("looked_at"), memory.alias("memory"))
+
+
+def _flat(t) -> DataFrame:
+    """(id, l, h): corners of all extents with some width and depth."""
+    low, high = F.col("envelope")[0], F.col("envelope")[1]
+    return t("feature").filter((high["x"] > low["x"]) & (high["y"] > low["y"])).select("id", low.alias("l"), high.alias("h"))
+
+
+_WIDE = "(SELECT id, envelope[1] AS l, envelope[2] AS h FROM feature WHERE envelope[2].x > envelope[1].x AND envelope[2].y > envelope[1].y)"
+
+
+@query("arc_points", f"SELECT id, 17 AS n, true AS on_circle, true AS ends, 33 AS n_circle FROM {_WIDE}")
+def _(faces, t):
+    a, b, c = (lambda: geometry.point(F.col("l.x"), F.col("l.y"), F.col("l.z"))), (lambda: geometry.point(F.col("h.x"), F.col("l.y"), F.col("l.z"))), (lambda: geometry.point(F.col("h.x"), F.col("h.y"), F.col("l.z")))
+    made = _flat(t).withColumn("arc", curves.arc_through(a(), b(), c())).withColumn("round", curves.circle_through(a(), b(), c()))
+    x, y = (F.col("l.x") + F.col("h.x")) / 2, (F.col("l.y") + F.col("h.y")) / 2
+    radius = F.hypot(F.col("h.x") - F.col("l.x"), F.col("h.y") - F.col("l.y")) / 2
+    on = F.forall(F.concat("arc", "round"), lambda p: F.abs(F.hypot(p["x"] - x, p["y"] - y) - radius) < 1e-6)
+    near = lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) < 1e-6
+    ends = near(F.get("arc", F.lit(0)), F.col("l")) & near(F.get("arc", F.lit(16)), F.col("h")) & near(F.get("round", F.lit(32)), F.col("l"))
+    return made.select("id", F.size("arc").alias("n"), on.alias("on_circle"), ends.alias("ends"), F.size("round").alias("n_circle"))
+
+
+@query("inside_or_on", f"SELECT id, h.x >= 10000 AND h.x <= 30000 AND h.y >= 10000 AND h.y <= 30000 AS corner, true AS own FROM {_WIDE}")
+def _(faces, t):
+    square = F.array(*[geometry.point(F.lit(float(x)), F.lit(float(y)), F.lit(0.0)) for x, y in ((10000, 10000), (30000, 10000), (30000, 30000), (10000, 30000))])
+    own = F.array(*[geometry.point(x, y, F.col("l.z")) for x, y in ((F.col("l.x"), F.col("l.y")), (F.col("h.x"), F.col("l.y")), (F.col("h.x"), F.col("h.y")), (F.col("l.x"), F.col("h.y")))])
+    both = _flat(t).withColumn("own", own)
+    return both.select("id", curves.inside_or_on(F.col("h.x"), F.col("h.y"), square, 0.0).alias("corner"), curves.inside_or_on(F.col("h.x"), (F.col("l.y") + F.col("h.y")) / 2, F.col("own")).alias("own"))
+
+
+@query("ring_signatures", f"SELECT id, true AS alike, false AS hashed_alike, 4 AS n_points FROM {_SOLID}")
+def _(faces, t):
+    turned = F.reverse(F.concat(F.slice("ring", F.lit(3), F.size("ring") - 2), F.slice("ring", F.lit(2), F.lit(2))))
+    both = faces.filter("face = 1").withColumn("turned", turned)
+    same = geometry.signature(F.col("ring")) == geometry.signature(F.col("turned"))
+    hashed = mesh.geometry_hash(F.col("ring")) == mesh.geometry_hash(F.col("turned"))
+    return both.select("id", same.alias("alike"), hashed.alias("hashed_alike"), F.size(geometry.unique_points(F.col("ring"))).alias("n_points"))
+
+
+@query("moved_points", f"SELECT id, 2 * l.x + 5 - 7 AS x, 2 * l.y + 6 - 8 AS y, l.z - 9 AS z FROM {_WIDE}")
+def _(faces, t):
+    matrix = F.array(*[F.lit(float(v)) for v in (2, 0, 0, 5, 0, 2, 0, 6, 0, 0, 1, 0, 0, 0, 0, 1)])
+    point = F.array(geometry.point(F.col("l.x"), F.col("l.y"), F.col("l.z")))
+    moved = geometry.shifted(geometry.affine(point, matrix), F.lit(7.0), F.lit(8.0), F.lit(9.0))
+    return _flat(t).select("id", F.get(moved, F.lit(0)).alias("p")).select("id", "p.*")
+
+
+@query("fitted_uvs", f"SELECT id, true AS fits FROM {_WIDE} WHERE h.x - l.x > 1 AND h.y - l.y > 1")
+def _(faces, t):
+    w, d = F.col("h.x") - F.col("l.x"), F.col("h.y") - F.col("l.y")
+    corner = lambda x, y, u, v: F.struct(x.alias("x"), y.alias("y"), F.lit(u).alias("u"), F.lit(v).alias("v"))
+    zero = F.lit(0.0)
+    source = F.array(corner(zero, zero, 0.0, 0.0), corner(w, zero, 1.0, 0.0), corner(w, d, 1.0, 1.0), corner(zero, d, 0.0, 1.0))
+    middle = F.array(F.struct((w / 2).alias("x"), (d / 4).alias("y")))
+    wide = _flat(t).filter((w > 1) & (d > 1)).withColumn("uv", F.get(curves.fitted_uvs(source, middle), F.lit(0)))
+    return wide.select("id", ((F.abs(F.col("uv.u") - 0.5) < 1e-6) & (F.abs(F.col("uv.v") - 0.25) < 1e-6)).alias("fits"))
+
+
+@query("grid_faces", f"SELECT id, 2 * (n - 1) * 3 AS triangles, n * 4 - 1 AS last FROM (SELECT id, 2 + id % 5 AS n FROM {_WIDE})")
+def _(faces, t):
+    made = _flat(t).select("id", (2 + F.col("id") % 5).alias("n")).withColumn("f", mesh.grid_triangles(F.col("n"), F.lit(4).cast("long")))
+    return made.select("id", F.size("f").cast("long").alias("triangles"), F.array_max(F.transform("f", lambda x: F.greatest(x["a"], x["b"], x["c"]))).alias("last"))
