@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanloom.functions import geometry
+from urbanloom.operators.relations import placed_templates
 from urbanloom.sources import city_attributes as parse
 from urbanloom.sources import city_sink as sink
 from urbanloom.sources.citygml import promoted, read_features, read_members, rings, scan_file
@@ -120,3 +121,45 @@ def _(spark, path):
 @query("file_lods", "2.0", f"SELECT l AS lod, CASE WHEN l = 1 THEN (SELECT count(*) FROM feature f JOIN objectclass o ON o.id = f.objectclass_id WHERE {_FLAT}) ELSE 0 END AS n FROM range(5) AS r(l)")
 def _(spark, path):
     return scan_file(spark, path)["lods"].groupBy(F.col("lod").cast("long").alias("lod")).agg(F.sum("n").alias("n"))
+
+
+def _looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, body): an appearance for each feature: a colour for two targets and a texture for a ring."""
+    f = table(spark, sf_dir, "feature").select("id", F.concat(F.lit("F"), F.col("id").cast("string")).alias("feature_id"))
+    n = F.col("id").cast("string")
+    colours = f.select("feature_id", F.explode(F.array(F.concat(F.lit("P"), n), F.concat(F.lit("Q&"), n))).alias("target"), (F.col("id") % 5 / 4).alias("r"), (F.col("id") % 3 / 2).alias("g"), F.lit(0.5).alias("b"))
+    rings_ = f.select("feature_id", F.concat(F.lit("img"), (F.col("id") % 7).cast("string"), F.lit(".png")).alias("image"), F.concat(F.lit("P"), n).alias("target"), F.concat(F.lit("R"), n).alias("ring"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0), F.col("id") % 10 / 10).alias("uv"))
+    made = sink.materials_xml(colours).withColumnRenamed("xml", "m").join(sink.textures_xml(rings_), "feature_id")
+    return made.select(F.lit("looks").alias("file"), sink.appearance_xml(F.lit("day"), F.col("m"), F.col("xml")).alias("body"))
+
+
+def look_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of targets, written as appearances and read again."""
+    return parse.materials(_looks(spark, sf_dir)).select("theme", "target", "r", "g", "b")
+
+
+def look_textures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texture coordinates of rings, written as appearances and read again."""
+    return parse.textures(_looks(spark, sf_dir)).select("image", "target", "ring", F.size("uv").alias("n"), F.get("uv", F.lit(5)).alias("v"))
+
+
+def implicit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instances of templates in members, with the template's point under the matrix and moved to the reference point."""
+    f = table(spark, sf_dir, "feature").filter("envelope is not null").select("id", F.col("envelope")[0].alias("l"))
+    at = F.concat_ws(" ", *[F.col(f"l.{k}").cast("string") for k in "xyz"])
+    shape = sink.element("core:relativeGMLGeometry", attributes={"xlink:href": F.concat(F.lit("#T"), (F.col("id") % 3).cast("string"))})
+    matrix = sink.text_element("core:transformationMatrix", F.lit("2 0 0 0 0 2 0 0 0 0 2 0 0 0 0 1"))
+    place = sink.element("core:referencePoint", sink.element("gml:Point", sink.element("gml:pos", at)))
+    body = sink.element("frn:CityFurniture", sink.element("frn:lod1ImplicitRepresentation", sink.element("core:ImplicitGeometry", matrix, shape, place)), attributes={"gml:id": F.concat(F.lit("F"), F.col("id").cast("string"))})
+    found = parse.implicit_geometries(f.select(F.lit("implicit").alias("file"), body.alias("body")))
+    shapes = spark.range(2).select(F.concat(F.lit("T"), F.col("id").cast("string")).alias("template"), F.array(geometry.point(F.col("id") + 1.0, F.lit(0.0), F.lit(0.0))).alias("points"))
+    placed = placed_templates(found, shapes)
+    return placed.select("feature_id", "lod", "template", F.get("points", F.lit(0)).alias("p")).select("feature_id", "lod", "template", "p.x", "p.y", "p.z")
+
+
+QUERIES |= {"look_materials": look_materials, "look_textures": look_textures, "implicit_places": implicit_places}
+SQL |= {
+    "look_materials": "SELECT 'day' AS theme, p || id AS target, (id % 5) / 4 AS r, (id % 3) / 2 AS g, CAST(0.5 AS DOUBLE) AS b FROM feature, (SELECT unnest(['P', 'Q&']) AS p)",
+    "look_textures": "SELECT 'img' || (id % 7) || '.png' AS image, 'P' || id AS target, 'R' || id AS ring, 6 AS n, (id % 10) / 10 AS v FROM feature",
+    "implicit_places": "SELECT 'F' || id AS feature_id, 1 AS lod, 'T' || (id % 3) AS template, CASE WHEN id % 3 < 2 THEN 2 * (id % 3 + 1) + envelope[1].x END AS x, CASE WHEN id % 3 < 2 THEN envelope[1].y END AS y, CASE WHEN id % 3 < 2 THEN envelope[1].z END AS z FROM feature WHERE envelope IS NOT NULL",
+}
